@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,22 +13,44 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds at least one in so many rows; at most so many keys can be hot.
 HOT_SHARE = 256
 
+_local: str | None = None
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary folder."""
+    global _local
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if _local is None:
+        _local = tempfile.mkdtemp(prefix="kerfspark-")
+        atexit.register(shutil.rmtree, _local, ignore_errors=True)
+    return f"file://{_local}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from that table: no lineage, and sizes that Spark knows.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, notebooks on one
-    machine) a temporary one is made.
+    A plain checkpoint would keep the size estimates of the plan before it, which multiply join by join in a loop.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="kerfspark-checkpoint-"))
-    return df.checkpoint(eager)
+    path = f"{shared_folder(df.sparkSession)}/kerfspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete a cut table that nothing will read again."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
