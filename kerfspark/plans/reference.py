@@ -1,4 +1,227 @@
-"""Queries of the domain operators over the bridged test tables."""
+"""Queries of the domain operators over the bridged test tables and the drawings' own, each with its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kerfspark.functions import geometry as g
+from kerfspark.functions import layers
+from kerfspark.operators import classify as c
+from kerfspark.operators import graphs, metrics, pid, rules
+from kerfspark.operators.pairs import band_pairs, distance, near_pairs
+from kerfspark.plans import bridge
+from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_PANELS, SQL_PID
+from kerfspark.runtime import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(n, digits).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+
+
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = lambda s, d: rounded(query(s, d))
+    if sql:
+        ORACLE[name] = sql
+
+
+def over_holes(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda s, d: f(bridge.holes(s, d))
+
+
+def over_panels(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda s, d: f(bridge.panels(s, d))
+
+
+EDGE = "least(x - xmin, xmax - x, y - ymin, ymax - y)"
+
+
+def rule_sql(source: str, rule: str, severity: str, node: str, measured: str, where: str) -> str:
+    return f"select panel_id, '{rule}' rule_id, '{severity}' severity, {node} node, round(({measured})::double, 6) measured from {source} where {where}"
+
+
+PAIRS = "(select a.panel_id, a.seq sa, b.seq sb, a.diameter da, b.diameter db, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) dist, a.x xa, a.y ya, b.x xb, b.y yb from holes a join holes b on a.panel_id = b.panel_id and a.seq < b.seq)"
+OFF = "least(dist % 32, 32 - dist % 32)"
+
+RULES = {
+    "geo004_range": rule_sql("panels", "GEO-004", "ERROR", "null::varchar", "case when least(xmin, ymin) < -100 then least(xmin, ymin) else greatest(xmax, ymax) end", "least(xmin, ymin) < -100 or greatest(xmax, ymax) > 5000"),
+    "geo006_duplicates": rule_sql(PAIRS, "GEO-006", "WARNING", "sa || '+' || sb", "dist", "dist <= 0.1 and abs(da - db) <= 0.1"),
+    "geo007_bounds": rule_sql("holes", "GEO-007", "ERROR", "seq::varchar", f"diameter / 2 - {EDGE}", f"diameter / 2 - {EDGE} > 0.1"),
+    "mfg001_edge_clearance": rule_sql("holes", "MFG-001", "ERROR", "seq::varchar", EDGE, f"{EDGE} < 8"),
+    "mfg002_spacing": rule_sql(PAIRS, "MFG-002", "ERROR", "sa || '+' || sb", "dist - da / 2 - db / 2", "dist - da / 2 - db / 2 < 3"),
+    "mfg005_shelf_grid": f"select panel_id, 'MFG-005' rule_id, 'WARNING' severity, null::varchar node, round(max({OFF}), 6) measured from {PAIRS} where abs(da - 5) <= 0.5 and abs(db - 5) <= 0.5 and dist >= 16 and {OFF} > 0.5 group by panel_id",
+    "mfg006_hinge_edge": rule_sql("holes", "MFG-006", "WARNING", "seq::varchar", EDGE, f"abs(diameter - 35) <= 1 and abs({EDGE} - 22.5) > 1"),
+    "mfg007_blind_depth": rule_sql("holes", "MFG-007", "WARNING", "seq::varchar", "depth", "depth > 13.5"),
+    "mfg008_density": "select panel_id, 'MFG-008' rule_id, 'WARNING' severity, null::varchar node, round(sum(diameter * diameter) * (3.141592653589793::double / 4) / (any_value(w) * any_value(h)), 6) measured from holes join panels using (panel_id) group by panel_id having sum(diameter * diameter) * (3.141592653589793::double / 4) / (any_value(w) * any_value(h)) > 0.3::double",
+    "mfg009_panel_dims": "select panel_id, 'MFG-009' rule_id, 'WARNING' severity, node, measured from (select panel_id, 'width' node, w measured, w < 50 or w > 3600 bad from panels union all select panel_id, 'height', h, h < 50 or h > 3600 from panels union all select panel_id, 'area', w * h, w * h < 5000 from panels) where bad",
+    "mfg011_drill_range": rule_sql("holes", "MFG-011", "ERROR", "seq::varchar", "diameter", "diameter < 3 or diameter > 40"),
+    "mfg012_on_edge": rule_sql("holes", "MFG-012", "ERROR", "seq::varchar", "least(abs(x - xmin), abs(x - xmax), abs(y - ymin), abs(y - ymax))", "least(abs(x - xmin), abs(x - xmax), abs(y - ymin), abs(y - ymax)) <= 0.1"),
+}
+LAYER1 = ["geo004_range", "geo006_duplicates", "geo007_bounds"]
+_OPERATORS: dict[str, Query] = {
+    "geo004_range": over_panels(rules.coordinate_range),
+    "geo006_duplicates": over_holes(rules.duplicates),
+    "geo007_bounds": over_holes(rules.outside),
+    "mfg001_edge_clearance": over_holes(rules.edge_clearance),
+    "mfg002_spacing": over_holes(rules.spacing),
+    "mfg005_shelf_grid": over_holes(rules.pin_grid),
+    "mfg006_hinge_edge": over_holes(rules.cup_edge),
+    "mfg007_blind_depth": over_holes(rules.blind_depth),
+    "mfg008_density": lambda s, d: rules.density(bridge.panels(s, d), bridge.holes(s, d)),
+    "mfg009_panel_dims": over_panels(rules.panel_size),
+    "mfg011_drill_range": over_holes(rules.drill_range),
+    "mfg012_on_edge": over_holes(rules.on_edge),
+}
+for _name, _query in _OPERATORS.items():
+    add(_name, _query, f"with {SQL_HOLES} {RULES[_name]}")
+
+_FOUND = "".join(f", {n}_ as ({q})" for n, q in RULES.items())
+_UNION = lambda names: " union all ".join(f"select * from {n}_" for n in names)
+REPORT = f"""with {SQL_HOLES}{_FOUND},
+l1 as (select panel_id, count(*) filter (severity = 'ERROR') e, count(*) filter (severity <> 'ERROR') w from ({_UNION(LAYER1)}) group by 1),
+l2 as (select panel_id, count(*) filter (severity = 'ERROR') e, count(*) filter (severity <> 'ERROR') w from ({_UNION([n for n in RULES if n not in LAYER1])}) group by 1),
+r as (select panel_id, coalesce(l1.e, 0) e1, coalesce(l1.w, 0) w1, coalesce(l2.e, 0) e2, coalesce(l2.w, 0) w2 from panels left join l1 using (panel_id) left join l2 using (panel_id))
+select panel_id, e1 = 0 layer1_passed, (e1 + case when e1 = 0 then e2 else 0 end)::bigint n_error, (w1 + case when e1 = 0 then w2 else 0 end)::bigint n_warning, e1 = 0 and e2 = 0 overall_valid from r"""
+
+
+def rule_report(s: SparkSession, d: str) -> DataFrame:
+    p, h = bridge.panels(s, d), bridge.holes(s, d)
+    return rules.report(p, rules.geometric(p, h), rules.machining(p, h))
+
+
+add("rule_report", rule_report, REPORT)
+
+# contours
+_CORNERS = "(list_transform(range(1, len(vertices) + 1), lambda i: {'a': vertices[i], 'b': vertices[case when i = len(vertices) then 1 else i + 1 end]}))"
+_AREA = f"(list_sum(list_transform({_CORNERS}, lambda e: e.a[1] * e.b[2] - e.b[1] * e.a[2])) / 2)"
+_LENGTH = f"list_sum(list_transform({_CORNERS}, lambda e: sqrt((e.b[1] - e.a[1]) * (e.b[1] - e.a[1]) + (e.b[2] - e.a[2]) * (e.b[2] - e.a[2]))))"
+
+
+def contour_measures(s: SparkSession, d: str) -> DataFrame:
+    v = F.col("vertices")
+    return bridge.contours(s, d).select("contour_id", "layer", F.abs(g.signed_area(v)).alias("area"), (g.signed_area(v) < 0).alias("clockwise"), g.ring_length(v, F.lit(True)).alias("perimeter"), g.box(v)["xmax"].alias("xmax"), g.box(v)["ymax"].alias("ymax"))
+
+
+add(
+    "contour_measures",
+    contour_measures,
+    f"with {SQL_CONTOURS} select contour_id, layer, round(abs({_AREA}), 6) area, {_AREA} < 0 clockwise, round({_LENGTH}, 6) perimeter, w xmax, h ymax from contours",
+)
+add(
+    "contour_checks",
+    lambda s, d: rules.contour_checks(bridge.contours(s, d)),
+    f"""with {SQL_CONTOURS} select contour_id, not is_closed and h > 0.01 is_open, k = 2 crosses, false degenerate, is_closed and {_AREA} < 0 clockwise, is_closed and abs({_AREA}) < 1 no_area,
+    is_closed and layer in ('POCKET','CUT','ENGRAVE') and k = 1 and degrees(acos((((w / 2) * (-w / 2)) + (h * 0.75) * (h * 0.75)) / (w * w / 4 + h * h * 0.5625))) < 90 sharp,
+    is_closed and layer in ('POCKET','CUT','ENGRAVE') and least(w, h) < 7.2 narrow from contours where k <> 2
+    union all select contour_id, not is_closed and h > 0.01, true, false, is_closed and {_AREA} < 0, is_closed and abs({_AREA}) < 1, false, is_closed and layer in ('POCKET','CUT','ENGRAVE') and least(w, h) < 7.2 from contours where k = 2""",
+)
+
+# pairs
+add("edges_adjacent", over_holes(lambda h: near_pairs(h, "panel_id", "seq", 96.0, distance() <= 2 * F.greatest("diameter_a", "diameter_b") + 10, ["diameter"]).select("panel_id", "seq_a", "seq_b", distance().alias("distance"))), f"with {SQL_HOLES} select panel_id, sa seq_a, sb seq_b, round(dist, 6) distance from {PAIRS} where dist <= 2 * greatest(da, db) + 10")
+add("edges_same_row", over_holes(lambda h: band_pairs(h, "panel_id", "seq", "y", 1.0)), f"with {SQL_HOLES} select panel_id, sa seq_a, sb seq_b from {PAIRS} where abs(ya - yb) <= 1")
+add("edges_same_column", over_holes(lambda h: band_pairs(h, "panel_id", "seq", "x", 1.0)), f"with {SQL_HOLES} select panel_id, sa seq_a, sb seq_b from {PAIRS} where abs(xa - xb) <= 1")
+add(
+    "edges_contains",
+    over_holes(lambda h: h.where(g.edge_distance(F.col("x"), F.col("y")) >= 1.0).select("panel_id", "seq")),
+    f"with {SQL_HOLES} select panel_id, seq from holes where {EDGE} >= 1",
+)
+add("nearest_spacing", over_holes(c.nearest_spacing), f"with {SQL_HOLES}, n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200) select panel_id, seq, round(min(dist), 6) spacing from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by 1, 2")
+add("congruent_panels", over_panels(c.congruent_pairs), f"with {SQL_PANELS} select a.project, a.panel_id panel_a, b.panel_id panel_b from panels a join panels b on a.project = b.project and a.panel_id < b.panel_id where abs(greatest(a.w, a.h) - greatest(b.w, b.h)) <= 3 and abs(least(a.w, a.h) - least(b.w, b.h)) <= 3")
+
+# classification
+_PEERS = f"peers as (select panel_id, seq, count(*) peers from (select panel_id, sa seq, da d, db e, dist from {PAIRS} union all select panel_id, sb, db, da, dist from {PAIRS}) where abs(d - 5) <= 0.5 and abs(e - d) <= 0.5 and dist >= 1 and (dist % 32 < 1 or dist % 32 > 31) group by 1, 2)"
+_KIND = "case when regexp_matches(layer, '^(DRILL)') then 'drill' when regexp_matches(layer, '^(POCKET)') then 'pocket' else 'unknown' end"
+_HOLE = lambda to, tol, ceil, bonus: f"least(1.0::double, greatest(0.0::double, 1 - abs(diameter - {to}::double) / {tol}::double) + {bonus}::double, {ceil}::double)"
+_THROUGH = lambda ceil: f"{ceil}::double * greatest(0.0::double, 1 - (case when diameter < 3 then 3 - diameter when diameter > 30 then diameter - 30 else 0 end) / 4)"
+_CLASSES = f"""{SQL_HOLES}, {_PEERS}, k as (select h.*, p.peers, {EDGE} edge, {_KIND} kind from holes h left join peers p using (panel_id, seq)),
+p as (select *, case when abs(diameter - 35) <= 1 and contains(layer, 'HINGE') then 'P1' when abs(diameter - 35) <= 1 and abs(edge - 22.5) <= 2 then 'P2' when abs(diameter - 5) <= 0.5 and peers >= 2 then 'P3'
+  when abs(diameter - 7) <= 0.5 and contains(layer, 'CONFIRMAT') then 'P4' when abs(diameter - 7) <= 0.3::double then 'P4b' when abs(diameter - 6) <= 0.2::double or abs(diameter - 8) <= 0.2::double or abs(diameter - 10) <= 0.2::double then 'P5'
+  when diameter between 20 and 50 and kind in ('drill', 'cut', 'unknown') then 'P5b' when kind = 'drill' or contains(layer, 'DRILL') then 'P6' else 'P7' end priority from k),
+classes as (select panel_id, seq, priority, case priority when 'P1' then {_HOLE(35, 1, 0.9, 0.05)} when 'P2' then {_HOLE(35, 1, 0.9, 0.05)} when 'P3' then {_HOLE(5, 0.5, 0.95, 0.13)} when 'P4' then {_HOLE(7, 0.5, 0.9, 0.05)} when 'P4b' then {_HOLE(7, 0.3, 0.7, 0)}
+  when 'P5' then case when abs(diameter - 6) <= 0.2::double then {_HOLE(6, 0.2, 0.7, 0)} when abs(diameter - 8) <= 0.2::double then {_HOLE(8, 0.2, 0.7, 0)} else {_HOLE(10, 0.2, 0.7, 0)} end when 'P5b' then 0.68::double when 'P6' then {_THROUGH(0.75)} else {_THROUGH(0.7)} end confidence,
+  case priority when 'P1' then 'HINGE_CUP_HOLE' when 'P2' then 'HINGE_CUP_HOLE' when 'P3' then 'SHELF_PIN_HOLE' when 'P4' then 'CONFIRMAT_HOLE' when 'P4b' then 'CONFIRMAT_HOLE' when 'P5' then 'DOWEL_HOLE' when 'P5b' then 'HARDWARE_HOLE'
+  when 'P6' then case when {_THROUGH(0.75)} >= 0.3 then 'THROUGH_HOLE' else 'UNKNOWN_FEATURE' end else case when {_THROUGH(0.7)} >= 0.3 then 'THROUGH_HOLE' else 'UNKNOWN_FEATURE' end end feature_class from p)"""
+add("classify_features", over_holes(c.classify), f"with {_CLASSES} select panel_id, seq, feature_class, round(confidence, 6) confidence, priority from classes")
+add("infer_operations", over_holes(lambda h: c.operations(c.classify(h))), f"with {_CLASSES} select panel_id, 'DRILLING' operation_type, count(*) nodes, round(sum(round(confidence * 10000)::bigint) / count(*) / 10000, 6) confidence from classes where feature_class <> 'UNKNOWN_FEATURE' group by 1")
+add("layer_blind", over_holes(c.layer_blind))
+_BORE = "list_min(list_transform([5.0, 6.0, 7.0, 8.0, 10.0, 15.0, 35.0]::double[], lambda b: {'gap': abs(%s - b), 'bore': b})).bore"
+add("hole_clusters", over_holes(c.bore_clusters), f"with {SQL_HOLES} select {_BORE % 'diameter'} bore, count(*) n, round(count(*) / (select count(*) from holes), 6) share, round(avg(diameter), 6) mean, round(stddev_pop(diameter), 6) deviation from holes group by 1")
+add("dialect_reliance", over_holes(c.dialect_reliance), f"with {SQL_HOLES}, b as (select project, round(diameter, 1) dominant, count(*) n from holes group by 1, 2), m as (select *, sum(n) over (partition by project)::bigint holes, row_number() over (partition by project order by n desc, dominant) r from b) select project, holes, dominant, round(n / holes, 6) share, n / holes >= 0.6 and abs(dominant - {_BORE % 'dominant'}) > 0.6 relies_on_layers from m where r = 1")
+add("edge_hole_counts", over_holes(c.edge_hole_counts), f"with {SQL_HOLES} select panel_id, sum((abs(x - xmin) <= 50)::int)::bigint left_holes, sum((abs(x - xmax) <= 50)::int)::bigint right_holes, sum((abs(y - ymin) <= 50)::int)::bigint bottom_holes, sum((abs(y - ymax) <= 50)::int)::bigint top_holes from holes group by 1")
+add("assembly_bands", over_panels(c.thickness_bands), f"with {SQL_PANELS} select project, thickness band, count(*) panels, min(panel_id) first_panel from panels group by 1, 2 having count(*) >= 2")
+add("node_features", over_holes(graphs.node_features), f"with {SQL_HOLES} select panel_id, seq, round(diameter * diameter / max(diameter * diameter) over (partition by panel_id), 6) area_share, round(diameter / max(diameter) over (partition by panel_id), 6) perimeter_share, round(least(diameter / 100, 2), 6) size, round(least(greatest((x - xmin) / (xmax - xmin), 0), 1), 6) px, round(least(greatest((y - ymin) / (ymax - ymin), 0), 1), 6) py, 0.0::double is_cut, ({_KIND} = 'drill')::int::double is_drill, ({_KIND} = 'pocket')::int::double is_pocket, ({_KIND} = 'unknown')::int::double is_other, round(least(greatest({EDGE}, 0) / greatest(xmax - xmin, ymax - ymin), 1), 6) edge_share from holes")
+
+# statistics
+add("diameter_describe", over_holes(lambda h: c.describe(h, "diameter")), f"with {SQL_HOLES} select count(*) n, min(diameter) min, max(diameter) max, round(avg(diameter), 6) mean, round(stddev_pop(diameter), 6) deviation, round(quantile_cont(diameter, 0.5), 6) median, round(quantile_cont(diameter, 0.05), 6) p05, round(quantile_cont(diameter, 0.95), 6) p95 from holes")
+add("diameter_histogram", over_holes(lambda h: h.groupBy(F.floor(F.col("diameter") / 2.0).cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))), f"with {SQL_HOLES} select floor(diameter / 2)::bigint bucket, count(*) n from holes group by 1")
+add("width_weights", over_panels(lambda p: c.value_weights(p, "w")), f"with {SQL_PANELS} select w as value, count(*) n, round(count(*) / (select count(*) from panels), 4) share from panels group by 1")
+
+# layers of drawings
+add(
+    "layer_parse",
+    lambda s, d: table(s, d, "entities").select("layer").distinct().select("layer", layers.layer_type(F.col("layer")).alias("kind"), layers.layer_type_longest(F.col("layer")).alias("kind_longest"), layers.depth_from_layer(F.col("layer"), layers.layer_type(F.col("layer"))).alias("depth"), layers.thickness_from_layer(F.col("layer")).alias("thickness")),
+)
+
+# metrics, over the text's language and length as labels and scores
+_TRUTH = "t as (select doc_id, lang is not null and lower(lang) like 'en%' y, (n_chars % 101) / 100.0::double score, source truth, case when doc_id % 5 = 0 then 'job_tickets' else source end guess from documents where n_chars is not null and source is not null)"
+
+
+def truth(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "documents").where("n_chars is not null and source is not null")
+    return t.select("doc_id", F.coalesce(F.lower("lang").startswith("en"), F.lit(False)).alias("y"), ((F.col("n_chars") % 101) / 100.0).alias("score"), F.col("source").alias("truth"), F.when(F.col("doc_id") % 5 == 0, "job_tickets").otherwise(F.col("source")).alias("guess"))
+
+
+_MATRIX = f"{_TRUTH}, m as (select truth, guess, count(*) n from t group by 1, 2)"
+_PRF = f"""{_MATRIX}, l as (select truth label from m union select guess from m), k as (select label, coalesce((select sum(n) from m where truth = label), 0) support, coalesce((select sum(n) from m where guess = label), 0) said, coalesce((select sum(n) from m where truth = label and guess = label), 0) hit from l), f as (select label, support::bigint support, case when said > 0 then hit / said else 0 end::double as "precision", case when support > 0 then hit / support else 0 end::double recall from k), r as (select *, case when "precision" + recall > 0 then 2 * "precision" * recall / ("precision" + recall) else 0 end f1 from f)"""
+add("confusion_matrix", lambda s, d: metrics.confusion(truth(s, d), "truth", "guess"), f"with {_MATRIX} select * from m")
+add("prf_per_class", lambda s, d: metrics.per_class(metrics.confusion(truth(s, d), "truth", "guess")), f"""with {_PRF} select label, support, round("precision", 6) as "precision", round(recall, 6) recall, round(f1, 6) f1 from r""")
+add("f1_summary", lambda s, d: metrics.summary(metrics.confusion(truth(s, d), "truth", "guess")), f"with {_PRF}, a as (select (sum(n) filter (truth = guess)) / sum(n) accuracy from m) select round(avg(f1), 6) macro_f1, round(avg(f1) filter (support > 0), 6) macro_f1_present, round(any_value(accuracy), 6) micro_f1, round(any_value(accuracy), 6) accuracy from r, a")
+add("binary_rates", lambda s, d: metrics.binary_rates(truth(s, d).withColumn("said", F.col("score") >= 0.5), "y", "said"), f"""with {_TRUTH}, c as (select count(*) filter (y and score >= 0.5) tp, count(*) filter (not y and score >= 0.5) fp, count(*) filter (y and score < 0.5) fn, count(*) filter (not y and score < 0.5) tn from t) select tp, fp, fn, tn, round(tp / (tp + fp), 6) as "precision", round(tp / (tp + fn), 6) recall, round(2 * tp / (2 * tp + fp + fn), 6) f1, round(fp / (fp + tn), 6) fpr, round(fn / (tp + fn), 6) fnr, round((tp + tn) / (tp + fp + fn + tn), 6) accuracy from c""")
+add("roc_auc", lambda s, d: metrics.roc_auc(truth(s, d), "y", "score"), f"with {_TRUTH}, b as (select score, count(*) filter (y) p, count(*) filter (not y) n from t group by 1), u as (select p, n, coalesce(sum(n) over (order by score rows between unbounded preceding and 1 preceding), 0) below from b) select round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) auc from u")
+add("best_f1_threshold", lambda s, d: metrics.best_threshold(truth(s, d), "y", "score"), f"with {_TRUTH}, g as (select k / 100.0::double threshold, (select count(*) from t where y and score >= k / 100.0::double) tp, (select count(*) from t where not y and score >= k / 100.0::double) fp, (select count(*) from t where y) p from range(101) r(k)), f as (select threshold, 2 * tp / (tp + fp + p) f1 from g) select threshold, round(f1, 6) f1 from f order by f1 desc, threshold limit 1")
+add("reliability_curve", lambda s, d: metrics.reliability(truth(s, d).withColumn("score", F.col("score")), "score", "y"), f"with {_TRUTH}, b as (select least(floor(score * 10), 9)::int bin, count(*) n, avg(score) mean_confidence, avg(y::int) accuracy from t group by 1) select bin, n, round(mean_confidence, 6) mean_confidence, round(accuracy, 6) accuracy from b")
+add("ece", lambda s, d: metrics.calibration_error(metrics.reliability(truth(s, d), "score", "y")), f"with {_TRUTH}, b as (select least(floor(score * 10), 9)::int bin, count(*) n, avg(score) c, avg(y::int) a from t group by 1) select round(sum(n * abs(c - a)) / sum(n), 6) ece from b")
+add("isotonic_fit", lambda s, d: metrics.isotonic(truth(s, d), "score", "y"))
+add("class_weights", lambda s, d: metrics.class_weights(truth(s, d), "truth"), f"with {_TRUTH}, b as (select truth as label, count(*) n from t group by 1) select label, n, round((select sum(n) from b) / ((select count(*) from b) * n), 6) weight from b")
+_SETS = "s as (select node_id, list_distinct(list_filter(feature_node_ids, lambda x: x is not null)) a from operation_nodes where feature_node_ids is not null)"
+add("set_agreement", lambda s, d: metrics.set_agreement(_sets(s, d), "a", "b", 21), f"with {_SETS}, o as (select (node_id like '%0')::int * len(a) off from s) select round(sum(off) / (count(*) * 21), 6) hamming_loss, round(avg((off = 0)::int), 6) subset_accuracy from o")
+add("iou", lambda s, d: metrics.iou(_sets(s, d), "a", "b"), f"with {_SETS} select round(avg(case when len(a) = 0 then 1 when node_id like '%0' then 0 else 1 end), 6) mean_iou from s")
+
+
+def _sets(s: SparkSession, d: str) -> DataFrame:
+    a = F.array_distinct(F.filter("feature_node_ids", lambda x: x.isNotNull()))
+    return table(s, d, "operation_nodes").where("feature_node_ids is not null").select(a.alias("a"), F.when(F.col("node_id").endswith("0"), F.array().cast("array<string>")).otherwise(a).alias("b"))
+
+
+# splits and integrity
+add("split_assign", lambda s, d: graphs.index_split(table(s, d, "documents").select(F.concat(F.lit("sample_"), "doc_id").alias("sample_id")), "sample_id"), "select 'sample_' || doc_id sample_id, case when doc_id % 100 < 70 then 'train' when doc_id % 100 < 85 then 'val' else 'test' end split from documents")
+add("split_clashes", lambda s, d: graphs.split_clashes(table(s, d, "generated_samples"), "sample_id", "split"), "select sample_id, count(distinct split) splits from generated_samples where split is not null group by 1 having count(distinct split) > 1")
+
+
+def feature_edges(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "feature_nodes").select(F.col("node_id").alias("src"), F.explode("geometry_node_ids").alias("dst")).distinct()
+
+
+def all_nodes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "feature_nodes").select("node_id").unionByName(table(s, d, "geometry_nodes").select("node_id")).distinct()
+
+
+_EDGES = "e as (select distinct node_id src, dst from (select node_id, unnest(geometry_node_ids) dst from feature_nodes)), n as (select node_id from feature_nodes union select node_id from geometry_nodes)"
+add("dangling_edges", lambda s, d: graphs.dangling(feature_edges(s, d), all_nodes(s, d)), f"with {_EDGES} select src, dst, src not in (select node_id from n) src_missing, dst not in (select node_id from n) dst_missing from e where src not in (select node_id from n) or dst not in (select node_id from n)")
+add("orphan_nodes", lambda s, d: graphs.orphans(table(s, d, "geometry_nodes"), table(s, d, "feature_nodes")), f"with {_EDGES} select distinct node_id, graph_id from geometry_nodes where node_id not in (select dst from e)")
+add("out_of_range", lambda s, d: graphs.out_of_range(table(s, d, "feature_nodes")), "select distinct node_id, coalesce(not (confidence between 0 and 1), false) bad_confidence, coalesce(diameter_mm <= 0, false) bad_diameter from feature_nodes where not (confidence between 0 and 1) or diameter_mm <= 0")
+add("neighbours", lambda s, d: graphs.neighbours(feature_edges(s, d)), f"with {_EDGES} select node_id, sum(o)::bigint out_degree, sum(i)::bigint in_degree from (select src node_id, 1 o, 0 i from e union all select dst, 0, 1 from e) group by 1")
+add("nest_layouts", lambda s, d: graphs.nest_layouts(table(s, d, "nested_panels")), "with p as (select distinct on (panel_id) * from nested_panels where len(bounding_box) = 4) select layout_id, count(*) panels, round(sum(area_mm2), 6) used, round(sum(area_mm2) / ((max(bounding_box[3]) - min(bounding_box[1])) * (max(bounding_box[4]) - min(bounding_box[2]))), 6) utilisation from p group by 1")
+add("nest_overlaps", lambda s, d: graphs.nest_overlaps(table(s, d, "nested_panels")), "with p as (select distinct on (panel_id) layout_id, panel_id, bounding_box b from nested_panels where len(bounding_box) = 4), m as (select x.layout_id, x.panel_id panel_a, y.panel_id panel_b, least(x.b[3], y.b[3]) - greatest(x.b[1], y.b[1]) w, least(x.b[4], y.b[4]) - greatest(x.b[2], y.b[2]) h from p x join p y on x.layout_id = y.layout_id and x.panel_id < y.panel_id) select layout_id, panel_a, panel_b, round(w * h, 6) overlap from m where w > 0 and h > 0")
+add("cytoscape", lambda s, d: graphs.to_cytoscape(table(s, d, "geometry_nodes").dropDuplicates(["node_id"]), feature_edges(s, d)))
+
+# process diagrams
+add("pid_tags", lambda s, d: pid.tags(bridge.components(s, d)), f"with {SQL_PID}, p as (select component_id, tag, regexp_extract(tag, '^([A-Z]{{1,5}})-?\\s?(\\d{{1,5}})([A-Z]?)$', 1) l, regexp_extract(tag, '(\\d+)', 1)::int n from components) select component_id, tag, left(l, 1) variable, substr(l, 2) functions, n loop, regexp_full_match(substr(l, 2), '[ABCDEGHIKLMNOPQRSTUVWXYZ]+') valid from p")
+add("pid_isolated", lambda s, d: pid.isolated(bridge.components(s, d), bridge.connections(s, d)), f"with {SQL_PID} select component_id, tag from components where component_id not in (select src from connections union select dst from connections)")
+add("pid_loops", lambda s, d: pid.loops(bridge.components(s, d)), f"with {SQL_PID}, p as (select regexp_extract(tag, '(\\d+)', 1)::int loop, substr(regexp_extract(tag, '^([A-Z]+)', 1), 2) f, left(tag, 1) v from components), b as (select loop, count(*) components, bool_or(contains(f, 'C')) c, bool_or(contains(f, 'T')) t, bool_or(contains(f, 'V') or contains(f, 'Z') or v = 'Z') z from p group by 1) select loop, components, t has_transmitter, z has_final_element, t and z complete from b where c")

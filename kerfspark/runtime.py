@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds at least one in so many rows; at most so many keys can be hot.
-HOT_SHARE = 256
+#: A key with so many rows or more is hot; of such keys so many, the most frequent, are dealt into so many parts.
+HOT_ROWS, HOT_KEYS, HOT_PARTS = 50_000, 256, 64
 
 _local: str | None = None
 
@@ -53,28 +53,24 @@ def forget(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
-    """Keys with at least 1/HOT_SHARE of the rows, from a table of one row a key: never more than HOT_SHARE rows."""
-    total = counts.agg(F.sum(n).alias("_total"))
-    return counts.join(F.broadcast(total), F.col(n) * HOT_SHARE >= F.col("_total")).select(key)
+def hot_hashes(counts: DataFrame, key: str, n: str) -> list[int]:
+    """Hashes of the most frequent keys with HOT_ROWS rows or more: HOT_KEYS numbers at most, whatever the data."""
+    top = counts.where(F.col(key).isNotNull() & (F.col(n) >= HOT_ROWS)).orderBy(F.col(n).desc()).limit(HOT_KEYS)
+    return [r[0] for r in top.select(F.xxhash64(key)).collect()]
 
 
 def lookup(rows: DataFrame, index: DataFrame, key: str, spread: str, counts: DataFrame | None = None) -> DataFrame:
     """Left join of ``rows`` with ``index`` (unique in ``key``), where one key may hold a third of the rows.
 
-    The hot keys' index entries are broadcast, at most HOT_SHARE rows by construction; the rows they serve are dealt
-    out over the shuffle by ``spread`` instead of by their key, all others meet the index in a shuffled join.
-    ``counts`` (key, n) spares a counting pass where the caller has it. Rows with a null key get nulls.
+    Rows of a hot key, and rows without key, are dealt into parts by ``spread``; of a hot key's entry every part has a
+    copy. ``counts`` (key, n) spares a counting pass where the caller has it.
     """
-    columns = [c for c in index.columns if c != key]
     counts = counts if counts is not None else rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts.where(F.col(key).isNotNull()), key, "n")
-    packed = index.select(key, F.struct(*columns).alias("_entry"))
-    few = packed.join(hot, key).withColumnRenamed("_entry", "_hot")
-    met = rows.join(F.broadcast(few), key, "left")
-    deal = F.xxhash64(spread)
-    home = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.xxhash64(key)).otherwise(deal)
-    met = met.withColumn("_deal", home).withColumn("_probe", F.when(F.col("_hot").isNull(), F.col(key)))
-    cold = packed.select(F.xxhash64(key).alias("_deal"), F.col(key).alias("_probe"), F.col("_entry").alias("_cold"))
-    met = met.join(cold, ["_deal", "_probe"], "left").withColumn("_got", F.coalesce("_hot", "_cold"))
-    return met.select(*rows.columns, *[F.col("_got")[c].alias(c) for c in columns])
+    hot = hot_hashes(counts, key, "n")
+    is_hot = F.xxhash64(key).isin(hot) if hot else F.lit(False)
+    part = F.pmod(F.xxhash64(spread), F.lit(HOT_PARTS))
+    left = rows.withColumn("_part", F.when(F.col(key).isNull() | is_hot, part).otherwise(F.lit(0).cast("bigint")))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.lit(HOT_PARTS - 1).cast("bigint"))
+    right = index.withColumn("_part", F.explode(F.when(is_hot, parts).otherwise(F.array(F.lit(0).cast("bigint")))))
+    names = [c for c in index.columns if c != key]
+    return left.join(right, [key, "_part"], "left").select(*rows.columns, *names)
