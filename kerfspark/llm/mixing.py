@@ -1,8 +1,9 @@
 """Mixing sources to target shares of the tokens, with a cap on repeats.
 
-Capped water-filling: with a total to reach (all tokens of the mixed sources if not given), every source wants its share;
-a source that can't give that even at its most repeats is clamped to what it has, and its want is dealt to the others
-in proportion, until nothing changes. Each source's epochs are then whole passes over its documents plus a seeded
+Capped water-filling: with a total to reach, every source wants its share; a source that can't give that even at its
+most repeats is clamped to what it has, and its want is dealt to the others in proportion, until nothing changes. Without
+a given total it is the largest at which nothing is clamped, so that every source that has tokens reaches its share;
+``ALL`` asks for as many tokens as the mixed sources have. Each source's epochs are then whole passes over its documents plus a seeded
 fraction: in an order shuffled by the seed, documents are taken once more as long as the middle of each still lies within
 the fraction's tokens. What is reached is within half a document of what was wanted.
 
@@ -20,6 +21,8 @@ from kerfspark.llm.encoding import VOCABULARY, token_counts
 from kerfspark.llm.ranks import running_total
 from kerfspark.runtime import cut
 
+ALL = -1
+
 
 def fill(share: dict[str, float], most: dict[str, float], total: float) -> dict[str, float]:
     """Tokens to take of each source."""
@@ -52,7 +55,9 @@ def plan(tokens: DataFrame, targets: DataFrame, total: int | None = None) -> lis
     want = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()}
     have = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     most = {s: float(have.get(s, 0) * want[s][1]) for s in want}
-    goal = fill({s: want[s][0] for s in want}, most, sum(have.values()) if total is None else total)
+    if total is None:
+        total = min((most[s] / share * sum(w[0] for t, w in want.items() if most[t]) for s, (share, _) in want.items() if share > 0 and most[s]), default=0.0)
+    goal = fill({s: want[s][0] for s in want}, most, sum(have.values()) if total == ALL else total)
     rows = []
     for s, (share, cap) in want.items():
         n = have.get(s, 0)

@@ -55,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": lambda s, d: encoding.encode(table(s, d, "documents")),
     "p9_mixture": lambda s, d: mixing.mixture(*_docs(s, d)),
     "p9_shares": lambda s, d: mixing.shares(*_docs(s, d)),
+    "p9_filled": lambda s, d: mixing.mixture(*_docs(s, d), total=mixing.ALL),
+    "p9_filled_shares": lambda s, d: mixing.shares(*_docs(s, d), total=mixing.ALL),
     "p10_found": lambda s, d: truncation.found(table(s, d, "documents")),
     "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
 }
