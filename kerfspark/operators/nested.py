@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 NODE = "graph_id string, node_id string, node_pos bigint, subtype string, shape string, name string, layer string, confidence double, diameter_mm double, is_closed boolean"
@@ -163,7 +164,7 @@ def child_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHILD.split(", ")])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_complete(payload: pd.Series) -> pd.Series:
     return payload.map(lambda x: complete(x) is not None).astype(bool)
 

@@ -15,12 +15,12 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerfspark.runtime import lookup
 
-DAWN = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+DAWN = "0001-01-01 00:00:00"
 
 
 def key(c: str | Column) -> Column:
@@ -30,7 +30,7 @@ def key(c: str | Column) -> Column:
 
 
 def at(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("timestamp_ntz"), DAWN)
+    return F.coalesce(F.col(c).cast("timestamp_ntz"), F.lit(DAWN).cast("timestamp_ntz"))
 
 
 def parent_rows(table: DataFrame, name: str) -> DataFrame:
@@ -54,7 +54,6 @@ def judged(refs: DataFrame, parents: DataFrame) -> DataFrame:
     at_once = ~F.coalesce(lives, F.lit(False))
     waits = at_once & (F.col("born") > F.col("seen")) & (F.col("died").isNull() | (F.col("died") > F.col("born")))
     return met.select(
-        *refs.columns[:0],
         "ref_table",
         "ref_id",
         "kind",
@@ -93,8 +92,7 @@ def snapshots(refs: DataFrame) -> DataFrame:
     event = lambda c, n, p: F.struct(F.date_format(F.trunc(c, "month"), "yyyy-MM").alias("month"), F.lit(n).alias("n"), F.when(F.col("orphaned_at").isNotNull() & (F.lit(c) == "seen"), 1).otherwise(0).alias("o"), F.lit(p).alias("p"), F.col(c).isNotNull().alias("ok"))
     events = refs.select("ref_table", F.explode(F.array(event("seen", 1, 0), event("orphaned_at", 0, 1), event("resolved_at", 0, -1), event("reopened_at", 0, 1))).alias("e")).where("e.ok")
     months = events.groupBy("ref_table", F.col("e.month").alias("month")).agg(F.sum("e.n").alias("references"), F.sum("e.o").alias("orphans"), F.sum("e.p").alias("_change"))
-    from pyspark.sql import Window  # one row a table and month from here on
-
+    # one row a table and month from here on
     return months.withColumn("pending", F.sum("_change").over(Window.partitionBy("ref_table").orderBy("month"))).drop("_change")
 
 
