@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from kerfspark.runtime import cut
 
@@ -80,61 +81,62 @@ def contexts(folded: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def places(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The folded text (runs of digits as one) and, for each of its places, whether an end could follow."""
-    raw = codes(text)
+def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The folded texts one after another (runs of digits as one, zeros between texts), and whether an end could follow each place.
+
+    A text's own end is no such place: it counts apart, by how likely it is no cut.
+    """
+    gap = "\0" * max(ORDERS)
+    raw = codes(gap + gap.join(texts) + gap)
     f = fold(raw)
-    after = np.append(raw[1:], 10)
-    later = np.append(raw[2:], [10, 10])[: len(raw)]
+    after, later = np.append(raw[1:], 0), np.append(raw[2:], [0, 0])
     stop = np.isin(raw, codes(STOPS))
-    space = np.isin(after, codes(SPACES))
-    line = np.isin(after, codes("\n\r"))
-    ends_here = (stop | (np.isin(raw, codes(CLOSERS)) & np.append(False, stop[:-1]))) & (space | np.isin(after, codes(CLOSERS)))
-    stop_next = np.isin(after, codes(STOPS)) & np.isin(later, codes(SPACES + CLOSERS)) & ~stop
+    space, closer = np.isin(after, codes(SPACES)), np.isin(after, codes(CLOSERS))
+    ends_here = (stop | (np.isin(raw, codes(CLOSERS)) & np.append(False, stop[:-1]))) & (space | closer)
+    stop_next = np.isin(after, codes(STOPS)) & np.isin(later, codes(SPACES + CLOSERS + "\0")) & ~stop
     wide_stop = np.isin(raw, codes("。！？")) | np.isin(after, codes("。！？"))
-    end = line | ends_here | stop_next | wide_stop
-    end[-1:] = False  # the text's own end is counted apart, by how likely it is no cut
+    end = (np.isin(after, codes("\n\r")) | ends_here | stop_next | wide_stop) & (after != 0)
     keep = ~((f == 48) & (np.append(f[1:], 0) == 48))
     return f[keep], end[keep]
 
 
 def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(context, n, ends) of chunks of texts."""
-    gap = np.zeros(max(ORDERS), dtype=np.uint64)
-    held: list = []
-    size = 0
 
-    def flush():
-        f = np.concatenate([x for t, _ in held for x in (gap, t)])
-        e = np.concatenate([x for _, t in held for x in (np.zeros(len(gap), dtype=bool), t)])
-        real = np.concatenate([x for t, _ in held for x in (np.zeros(len(gap), dtype=bool), np.ones(len(t), dtype=bool))])
+    def chunk(texts: list[str]) -> Iterator[pd.DataFrame]:
+        f, e = places(texts)
+        real = f != 0
         for h in contexts(f):
             keys, at = np.unique(h[real], return_inverse=True)
             yield pd.DataFrame({"context": keys, "n": np.bincount(at, minlength=len(keys)), "ends": np.bincount(at, weights=e[real], minlength=len(keys)).astype("int64")})
 
+    held: list[str] = []
+    size = 0
     for batch in batches:
         for text in batch["body"]:
             if text:
-                held.append(places(text))
-                size += len(held[-1][0])
+                held.append(text)
+                size += len(text)
                 if size >= CHUNK:
-                    yield from flush()
+                    yield from chunk(held)
                     held, size = [], 0
     if held:
-        yield from flush()
+        yield from chunk(held)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(ArrayType(LongType()))
 def last_contexts(bodies: pd.Series) -> pd.Series:
     """The contexts, by order, at the end of each text."""
     gap = np.zeros(max(ORDERS), dtype=np.uint64)
     out = []
     for text in bodies:
-        tail = text or ""
-        f = fold(codes(tail[-400:])) if len(tail) > 400 and not tail[-400:].isdigit() else fold(codes(tail))
-        f = f[~((f == 48) & (np.append(f[1:], 0) == 48))]
-        whole = len(tail) <= 400
-        padded = np.concatenate([gap, f]) if whole else f
+        text = text or ""
+        for reach in (64, len(text)):
+            f = fold(codes(text[-reach:])) if text else gap[:0]
+            f = f[~((f == 48) & (np.append(f[1:], 0) == 48))]
+            if reach >= len(text) or len(f) >= max(ORDERS):
+                break
+        padded = f[-max(ORDERS) :] if len(f) >= max(ORDERS) else np.concatenate([gap, f])
         out.append([int(h[-1]) for h in contexts(padded)] if len(f) else [])
     return pd.Series(out)
 
@@ -155,7 +157,7 @@ def bodies(documents: DataFrame) -> DataFrame:
 
 
 def limits(b: DataFrame) -> DataFrame:
-    """(source, unit, length) of the field limits. One row a source and length goes through the window."""
+    """(source, unit, length) of the field limits of distinct texts. One row a source and length goes through the window."""
     by = b.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("_l")).select("source", "_l.*").groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
     whole = Window.partitionBy("source", "unit")
@@ -185,7 +187,7 @@ def judged(documents: DataFrame) -> DataFrame:
     rate = levels.where("order = 0").groupBy("context").agg(F.first("n").alias("n"), F.first("ends").alias("ends"), F.sum(F.col("trains").cast("bigint")).alias("f")).agg(((F.sum("ends") + F.sum("f")) / F.sum("n")).alias("r")).first()["r"]
     base = min(max(rate or 0.01, 1e-6), 0.5)
 
-    l = limits(b)
+    l = limits(b.join(first, "doc_id", "left_semi"))
     at = l.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("_c"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("_b")).withColumnRenamed("source", "_s")
     on = F.coalesce(F.array_contains("_c", F.col("chars")), F.lit(False)) | F.coalesce(F.exists("_b", lambda x: (F.col("bytes") <= x) & (F.col("bytes") > x - 4)), F.lit(False))
     long = F.length("body") >= max(ORDERS)
