@@ -20,20 +20,21 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from kerfspark.runtime import cut
 
 DIGIT_BITS = 16
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def order_key(v: pd.Series) -> pd.Series:
     """Integers ordered as the doubles are; -0.0 is 0.0."""
     bits = (v.to_numpy(dtype="float64") + 0.0).view("int64")
     return pd.Series(bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def key_value(k: pd.Series) -> pd.Series:
     bits = k.to_numpy(dtype="int64")
     return pd.Series((bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)).view("float64"))
