@@ -3,11 +3,11 @@
 Texts are split in Spark by the vocabulary's own word pattern; each distinct word is encoded once; the ids come back to
 their places by a join. Words with at least 1/FREQUENT of all places (so at most FREQUENT words, of at most LONGEST
 characters: a bounded table) are broadcast, which serves nearly all places without a shuffle; the rest meet the word
-table in a shuffled join. No word is so frequent there that a key could be hot.
+table in a shuffled join, in which only a longer word can be frequent: those are dealt into parts.
 
 Null and empty texts have an empty list. Texts of any length are encoded whole. Special tokens' names in a text are
-ordinary text. Repeated doc_ids are not expected (the column is unique); a null doc_id gives its own row. Extra columns
-are ignored.
+ordinary text. Repeated doc_ids are not expected (the column is unique); texts with a null doc_id come out as
+one row with a null. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerfspark.runtime import cut
+from kerfspark.runtime import cut, lookup
 
 VOCABULARY = os.environ.get("KERFSPARK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 FREQUENT, LONGEST = 65536, 64
+#: Stands for a null doc_id within a run.
+NO_ID = -(2**63)
 # The word pattern of the vocabulary, with Unicode's white space spelled out for Java.
 SPACE = r"\t-\r\x{85}\p{Z}"
 WORD = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -56,16 +58,22 @@ def word_table(places: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids)"""
-    places = words(documents)
-    distinct = cut(word_table(places, path))
+    """(doc_id, ids)
+
+    The texts are dealt by doc_id once; the frequent words' ids then come to their places and back into their document
+    without another shuffle, and only the places of the rest are shuffled.
+    """
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
+    distinct = cut(word_table(words(keyed), path))
     total = F.broadcast(distinct.agg(F.sum("n").alias("_total")))
-    frequent = F.broadcast(distinct.join(total, F.col("n") * FREQUENT >= F.col("_total")).where(F.length("word") <= LONGEST).select("word", "ids"))
-    near = places.join(frequent, "word").select("doc_id", "pos", "ids")
-    far = places.join(frequent, "word", "left_anti").join(distinct.select("word", "ids").join(frequent.select("word"), "word", "left_anti"), "word").select("doc_id", "pos", "ids")
-    every = documents.select("doc_id", F.lit(-1).alias("pos"), F.array().cast("array<int>").alias("ids"))
-    gathered = every.unionByName(near).unionByName(far).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("_parts"))
-    return gathered.select("doc_id", F.flatten(F.transform(F.array_sort("_parts"), lambda p: p["ids"])).alias("ids"))
+    frequent = F.broadcast(cut(distinct.join(total, F.col("n") * FREQUENT >= F.col("_total")).where(F.length("word") <= LONGEST).select("word", "ids")))
+    spots = keyed.repartition("doc_id").select("doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
+    near = spots.join(frequent, "word", "left").groupBy("doc_id").agg(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("_near"))
+    rare = distinct.select("word", "ids").join(frequent.select("word"), "word", "left_anti")
+    missed = words(keyed).join(frequent, "word", "left_anti")
+    far = lookup(missed, rare, "word", "doc_id", counts=distinct.where(F.length("word") > LONGEST).select("word", "n")).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("_far"))
+    every = F.when(F.col("_far").isNull(), F.col("_near")).otherwise(F.concat("_near", "_far"))
+    return near.join(far, "doc_id", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.flatten(F.transform(F.array_sort(every), lambda p: p["ids"])).alias("ids"))
 
 
 def pieces(path: str = VOCABULARY) -> list[tuple[int, bytes]]:

@@ -29,6 +29,7 @@ def test_round_trip(spark):
 
 
 def test_no_texts(spark):
+    assert [(r.doc_id, list(r.ids)) for r in encoding.encode(spark.createDataFrame([(None, "a quokka"), (3, "a b")], "doc_id bigint, text string")).orderBy("doc_id").collect()] == [(None, [64, 627, 482, 4914]), (3, [64, 275])]
     assert encoding.encode(docs(spark, [])).count() == 0
     assert [list(r.ids) for r in encoding.encode(docs(spark, [(None, None)])).collect()] == [[]]
 
