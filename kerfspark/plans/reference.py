@@ -15,6 +15,8 @@ from kerfspark.operators.pairs import band_pairs, distance, near_pairs
 from kerfspark.plans import bridge
 from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_PANELS, SQL_PID
 from kerfspark.runtime import table
+from kerfspark.sources import dxf
+from kerfspark.streaming.references import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,6 +170,31 @@ add(
     lambda s, d: table(s, d, "entities").select("layer").distinct().select("layer", layers.layer_type(F.col("layer")).alias("kind"), layers.layer_type_longest(F.col("layer")).alias("kind_longest"), layers.depth_from_layer(F.col("layer"), layers.layer_type(F.col("layer"))).alias("depth"), layers.thickness_from_layer(F.col("layer")).alias("thickness")),
 )
 
+# drawing files, written and read again
+
+
+def drawings(s: SparkSession, d: str) -> DataFrame:
+    """(path, content) of every panel with its holes."""
+    hole = F.struct("x", "y", (F.col("diameter") / 2).alias("r"), "layer")
+    by = bridge.holes(s, d).groupBy("panel_id").agg(F.array_sort(F.collect_list(F.struct("seq", hole.alias("h")))).alias("_h"), *[F.first(c).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    text = dxf.render({c: F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")}, F.transform("_h", lambda x: x["h"]))
+    return by.select(F.concat(F.lit("panel_"), "panel_id").alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+add(
+    "dxf_entities",
+    lambda s, d: dxf.entities(dxf.parse(drawings(s, d))).select("source_file", "seq", "entity_type", "layer", "layer_type", "diameter_mm", "depth_mm", F.round("area_mm2", 2).alias("area_mm2"), F.col("box.xmin").alias("xmin"), F.col("box.ymax").alias("ymax")),
+    f"""with {SQL_HOLES} select 'panel_' || panel_id source_file, seq, 'CIRCLE' entity_type, layer, {_KIND.replace("'unknown'", "'unknown'")} layer_type, round(2 * (diameter / 2), 6) diameter_mm,
+    case layer when 'DRILL_D5' then 5.0 when 'POCKET_D6' then 6.0 end::double depth_mm, round(round(3.141592653589793::double * (diameter / 2) * (diameter / 2), 4), 2) area_mm2, round(x - diameter / 2, 6) xmin, round(y + diameter / 2, 6) ymax from holes
+    union all select 'panel_' || panel_id, 0, 'LWPOLYLINE', 'BORDER', 'border', null, null, w * h, xmin, ymax from panels where panel_id in (select panel_id from holes)""",
+)
+add(
+    "panel_boundaries",
+    lambda s, d: dxf.boundaries(dxf.entities(dxf.parse(drawings(s, d)))).select("source_file", "inferred", "seq", "xmin", "ymin", "xmax", "ymax"),
+    f"with {SQL_HOLES} select 'panel_' || panel_id source_file, false inferred, 0 seq, xmin, ymin, xmax, ymax from panels where panel_id in (select panel_id from holes)",
+)
+add("event_windows", lambda s, d: event_windows(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total")), "select strftime(date_trunc('day', ts), '%Y-%m-%d') as \"day\", event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2")
+
 # metrics, over the text's language and length as labels and scores
 _TRUTH = "t as (select doc_id, lang is not null and lower(lang) like 'en%' y, (n_chars % 101) / 100.0::double score, source truth, case when doc_id % 5 = 0 then 'job_tickets' else source end guess from documents where n_chars is not null and source is not null)"
 
