@@ -97,7 +97,7 @@ def broken_lines(files: DataFrame) -> DataFrame:
     return lines(files).where(F.col("record_hash").isNull() & (F.trim(F.col("bytes").cast("string")) != "")).select("file_id", "line_no", "length", "crc32")
 
 
-def blocks(files: DataFrame, block_bytes: int = 128 << 20) -> DataFrame:
+def blocks(files: DataFrame, block_bytes: int = 64 << 20) -> DataFrame:
     """The containers: block_id, data and index (an array of places in data). Of each record one copy, in order of file_id and line_no within a block.
 
     Records are dealt into as many blocks as their bytes fill on average, by hash, so no block is much larger than block_bytes; one

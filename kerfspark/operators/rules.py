@@ -114,20 +114,46 @@ def contour_checks(contours: DataFrame) -> DataFrame:
     )
 
 
-def geometric(panels: DataFrame, holes: DataFrame) -> DataFrame:
-    return coordinate_range(panels).unionByName(duplicates(holes)).unionByName(outside(holes))
-
-
-def machining(panels: DataFrame, holes: DataFrame) -> DataFrame:
-    out = edge_clearance(holes)
-    for more in (spacing(holes), pin_grid(holes), cup_edge(holes), blind_depth(holes), density(panels, holes), panel_size(panels), drill_range(holes), on_edge(holes)):
+def _hole_tests() -> list[tuple[str, str, Column, Column]]:
+    """(rule, severity, condition, measured) of the checks that need one hole and its panel's box."""
+    edge = g.edge_distance(F.col("x"), F.col("y"))
+    line = F.least(*[F.abs(F.col(a) - F.col(b)) for a, b in (("x", "xmin"), ("x", "xmax"), ("y", "ymin"), ("y", "ymax"))])
+    over, d = F.col("diameter") / 2 - edge, F.col("diameter")
+    return [
+        ("GEO-007", "ERROR", over > PARAMS["panel_slack"], over),
+        ("MFG-001", "ERROR", edge < PARAMS["edge_clearance"], edge),
+        ("MFG-006", "WARNING", (F.abs(d - PARAMS["cup"]) <= PARAMS["cup_tol"]) & (F.abs(edge - PARAMS["cup_edge"]) > PARAMS["cup_edge_tol"]), edge),
+        ("MFG-007", "WARNING", F.col("depth") > PARAMS["depth_ratio"] * PARAMS["stock"], F.col("depth")),
+        ("MFG-011", "ERROR", (d < PARAMS["drill_min"]) | (d > PARAMS["drill_max"]), d),
+        ("MFG-012", "ERROR", line <= PARAMS["on_edge"], line),
+    ]
+
+
+def _exploded(rows: DataFrame, node: Column, tests: list[tuple[str, str, Column, Column]]) -> DataFrame:
+    """All tests' findings of each row in one pass."""
+    each = F.array(*[F.when(cond, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), measured.cast("double").alias("measured"))) for rule, severity, cond, measured in tests])
+    found = rows.select("panel_id", node.cast("string").alias("node"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("_f"))
+    return found.select("panel_id", "_f.rule_id", "_f.severity", "node", "_f.measured")
+
+
+def all_findings(panels: DataFrame, holes: DataFrame, largest: float = 64.0) -> DataFrame:
+    """The findings of all checks from one pass over the holes, one pair join and one over the panels.
+
+    The same rows as the single checks give, which stay for asking one thing.
+    """
+    gap = distance() - F.col("diameter_a") / 2 - F.col("diameter_b") / 2
+    same = (distance() <= PARAMS["same_place"]) & (F.abs(F.col("diameter_a") - F.col("diameter_b")) <= PARAMS["same_size"])
+    pairs = near_pairs(holes, "panel_id", "seq", largest + PARAMS["spacing"], same | (gap < PARAMS["spacing"]), ["diameter"])
+    paired = _exploded(pairs, F.concat_ws("+", "seq_a", "seq_b"), [("GEO-006", "WARNING", same, distance()), ("MFG-002", "ERROR", gap < PARAMS["spacing"], gap)])
+    out = _exploded(holes, F.col("seq"), _hole_tests()).unionByName(paired)
+    for more in (pin_grid(holes), coordinate_range(panels), density(panels, holes), panel_size(panels)):
         out = out.unionByName(more)
     return out
 
 
-def report(panels: DataFrame, layer1: DataFrame, layer2: DataFrame) -> DataFrame:
-    """One row a panel: what was found; the second layer's findings count where the first has no error."""
-    found = layer1.withColumn("_layer", F.lit(1)).unionByName(layer2.withColumn("_layer", F.lit(2)))
+def report(panels: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row a panel: what was found; machining findings count where there is no geometric error."""
+    found = findings.withColumn("_layer", F.when(F.col("rule_id").startswith("GEO"), 1).otherwise(2))
     count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
     one, two, error = F.col("_layer") == 1, F.col("_layer") == 2, F.col("severity") == "ERROR"
     by = found.groupBy("panel_id").agg(count(one & error).alias("e1"), count(two & error).alias("e2"), count(one & ~error).alias("w1"), count(two & ~error).alias("w2"))

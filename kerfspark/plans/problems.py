@@ -25,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_evidence": lambda s, d: nested.evidence(table(s, d, "graph_docs")),
     "p6_found": lambda s, d: packing.surplus_records(table(s, d, "sample_files")),
     "p6_index": lambda s, d: packing.block_index(packing.blocks(table(s, d, "sample_files"))),
+    "p6_blocks": lambda s, d: packing.blocks(table(s, d, "sample_files")).select("block_id", F.size("index").alias("records"), F.octet_length("data").alias("bytes"), F.crc32("data").alias("crc32"), "data"),
+    "p6_broken": lambda s, d: packing.broken_lines(table(s, d, "sample_files")),
     "p7_found": lambda s, d: orphans.found(_orphans(s, d)),
     "p7_months": lambda s, d: orphans.snapshots(_orphans(s, d)),
 }

@@ -14,7 +14,7 @@ from kerfspark.operators import graphs, metrics, pid, rules
 from kerfspark.operators.pairs import band_pairs, distance, near_pairs
 from kerfspark.plans import bridge
 from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_PANELS, SQL_PID
-from kerfspark.runtime import table
+from kerfspark.runtime import cut, table
 from kerfspark.sources import dxf
 from kerfspark.streaming.references import event_windows
 
@@ -93,8 +93,8 @@ select panel_id, e1 = 0 layer1_passed, (e1 + case when e1 = 0 then e2 else 0 end
 
 
 def rule_report(s: SparkSession, d: str) -> DataFrame:
-    p, h = bridge.panels(s, d), bridge.holes(s, d)
-    return rules.report(p, rules.geometric(p, h), rules.machining(p, h))
+    p, h = bridge.panels(s, d), cut(bridge.holes(s, d))
+    return rules.report(p, rules.all_findings(p, h))
 
 
 add("rule_report", rule_report, REPORT)
