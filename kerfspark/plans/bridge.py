@@ -22,7 +22,7 @@ def panels(s: SparkSession, d: str) -> DataFrame:
     k, w = F.col("o_orderkey"), (300 + 100 * (F.col("o_custkey") % 10)).cast("double")
     h = F.when(k % 97 == 0, 40).otherwise(300 + 60 * (k % 25)).cast("double")
     x = F.when(k % 101 == 0, 6000.0).otherwise(0.0)
-    cols = o.select(k.alias("panel_id"), F.col("o_custkey").alias("project"), x.alias("xmin"), F.lit(0.0).alias("ymin"), w.alias("w"), h.alias("h"), (16 + k % 4).cast("double").alias("thickness"))
+    cols = o.select(k.alias("panel_id"), F.col("o_custkey").alias("project"), x.alias("xmin"), F.lit(0.0).alias("ymin"), w.alias("w"), h.alias("h"), F.when(k % 13 == 0, 6).otherwise(16 + k % 4).cast("double").alias("thickness"))
     return cols.select("panel_id", "project", "xmin", "ymin", (F.col("xmin") + F.col("w")).alias("xmax"), F.col("h").alias("ymax"), "w", "h", "thickness")
 
 
@@ -71,7 +71,7 @@ def connections(s: SparkSession, d: str) -> DataFrame:
 SQL_PANELS = """panels as (
   select panel_id, project, xmin, 0.0::double ymin, xmin + w xmax, h ymax, w, h, thickness from (
     select o_orderkey panel_id, o_custkey project, (case when o_orderkey % 101 = 0 then 6000 else 0 end)::double xmin, (300 + 100 * (o_custkey % 10))::double w,
-           (case when o_orderkey % 97 = 0 then 40 else 300 + 60 * (o_orderkey % 25) end)::double h, (16 + o_orderkey % 4)::double thickness from orders))"""
+           (case when o_orderkey % 97 = 0 then 40 else 300 + 60 * (o_orderkey % 25) end)::double h, (case when o_orderkey % 13 = 0 then 6 else 16 + o_orderkey % 4 end)::double thickness from orders))"""
 
 SQL_HOLES = (
     SQL_PANELS

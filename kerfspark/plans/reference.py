@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kerfspark.functions import geometry as g
 from kerfspark.functions import layers
 from kerfspark.operators import classify as c
-from kerfspark.operators import graphs, metrics, pid, rules
+from kerfspark.operators import corpus, graphs, identify, metrics, pid, rules
 from kerfspark.operators.pairs import band_pairs, distance, near_pairs
 from kerfspark.plans import bridge
 from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_PANELS, SQL_PID
@@ -159,6 +159,62 @@ add("edge_hole_counts", over_holes(c.edge_hole_counts), f"with {SQL_HOLES} selec
 add("assembly_bands", over_panels(c.thickness_bands), f"with {SQL_PANELS} select project, thickness band, count(*) panels, min(panel_id) first_panel from panels group by 1, 2 having count(*) >= 2")
 add("node_features", over_holes(graphs.node_features), f"with {SQL_HOLES} select panel_id, seq, round(diameter * diameter / max(diameter * diameter) over (partition by panel_id), 6) area_share, round(diameter / max(diameter) over (partition by panel_id), 6) perimeter_share, round(least(diameter / 100, 2), 6) size, round(least(greatest((x - xmin) / (xmax - xmin), 0), 1), 6) px, round(least(greatest((y - ymin) / (ymax - ymin), 0), 1), 6) py, 0.0::double is_cut, ({_KIND} = 'drill')::int::double is_drill, ({_KIND} = 'pocket')::int::double is_pocket, ({_KIND} = 'unknown')::int::double is_other, round(least(greatest({EDGE}, 0) / greatest(xmax - xmin, ymax - ymin), 1), 6) edge_share from holes")
 
+_EDGE_HOLES = "eh as (select panel_id, sum((abs(x - xmin) <= 50)::int + (abs(x - xmax) <= 50)::int + (abs(y - ymin) <= 50)::int + (abs(y - ymax) <= 50)::int)::bigint joinery from holes group by 1)"
+_PARTS = f"""{_CLASSES}, n as (select panel_id, count(*) filter (feature_class = 'HINGE_CUP_HOLE') cups, count(*) filter (feature_class = 'SHELF_PIN_HOLE') pins, count(*) filter (feature_class = 'CONFIRMAT_HOLE') screws, count(*) filter (feature_class = 'DOWEL_HOLE') dowels, count(*) filter (feature_class = 'HARDWARE_HOLE') fittings from classes group by 1),
+f as (select p.panel_id, w * h area, greatest(w, h) / least(w, h) aspect, thickness, coalesce(cups, 0) cups, coalesce(pins, 0) pins, coalesce(screws, 0) screws, coalesce(dowels, 0) dowels, coalesce(fittings, 0) fittings from panels p left join n using (panel_id)),
+cand as (select panel_id, 'DOOR' part_type, case when cups >= 2 then 0.9 else 0.75 end::double confidence, 0 i from f where cups >= 1 union all select panel_id, 'SIDE_PANEL', case when screws + dowels > 0 then 0.85 else 0.72 end, 1 from f where pins >= 4
+  union all select panel_id, 'BACK_PANEL', 0.7, 2 from f where thickness <= 8 and area >= 80000 and cups + pins + screws = 0 union all select panel_id, 'SHELF', 0.62, 3 from f where aspect >= 3 and screws + dowels >= 1 and pins < 4
+  union all select panel_id, 'DRAWER_FRONT', 0.55, 4 from f where fittings >= 1 and cups = 0 and area >= 32000),
+ranked as (select *, row_number() over (partition by panel_id order by confidence desc, i) r from cand),
+parts as (select panel_id, coalesce(max(part_type) filter (r = 1), 'UNKNOWN_PART') part_type, coalesce(max(confidence) filter (r = 1), 0) confidence, coalesce(string_agg(part_type, ',' order by r) filter (r between 2 and 4), '') alternatives from panels left join ranked using (panel_id) group by 1)"""
+
+
+def annotated(s: SparkSession, d: str) -> DataFrame:
+    return c.classify(bridge.holes(s, d))
+
+
+add("part_identify", lambda s, d: identify.parts(bridge.panels(s, d), annotated(s, d)), f"with {_PARTS} select panel_id, part_type, round(confidence, 6) confidence, alternatives from parts")
+add(
+    "labels",
+    lambda s, d: identify.labels(identify.parts(bridge.panels(s, d), annotated(s, d)), annotated(s, d)),
+    f"with {_PARTS}, l as (select 'f:' || panel_id || ':' || seq label_id, 'feature' kind, feature_class as value, confidence from classes union all select 'p:' || panel_id, 'part', part_type, confidence from parts) select label_id, kind, value, round(confidence, 6) confidence, case when confidence >= 0.75 then 'auto_accepted' else 'needs_review' end status from l",
+)
+_ROLES = f"""{SQL_HOLES}, {_EDGE_HOLES}, u as (select project, panel_id, greatest(w, h) l, least(w, h) s, w * h area, thickness, coalesce(joinery, 0) j from panels left join eh using (panel_id) where project in (select project from panels group by 1 having count(*) >= 3)),
+cp as (select a.project, a.panel_id a, b.panel_id b, a.s depth, row_number() over (partition by a.project order by a.j + b.j desc, a.panel_id, b.panel_id) r from u a join u b on a.project = b.project and a.panel_id < b.panel_id and abs(a.l - b.l) <= 3 and abs(a.s - b.s) <= 3),
+sides as (select * from cp where r = 1), rest as (select u.*, a, b, depth from u join sides using (project) where panel_id <> a and panel_id <> b),
+caps as (select *, row_number() over (partition by project order by area desc, panel_id) k from rest where j > 0 and (abs(l - depth) <= 3 or abs(s - depth) <= 3)),
+roles as (select project, unnest([a, b]) panel_id, 'SIDE_PANEL' as role from sides union all select project, panel_id, case k when 1 then 'TOP_PANEL' when 2 then 'BOTTOM_PANEL' else 'SHELF' end from caps
+  union all select project, panel_id, 'BACK_PANEL' from rest where thickness <= 8 and j = 0)"""
+
+
+def carcass_roles(s: SparkSession, d: str) -> DataFrame:
+    return identify.carcasses(bridge.panels(s, d), c.edge_hole_counts(bridge.holes(s, d)))
+
+
+add("carcass_roles", carcass_roles, f"with {_ROLES} select project, panel_id, role from roles")
+add(
+    "carcass_assemblies",
+    lambda s, d: identify.assemblies(carcass_roles(s, d)),
+    f"with {_ROLES}, b as (select project, count(*) panels, count(*) filter (role = 'SIDE_PANEL') = 2 and count(*) filter (role in ('TOP_PANEL', 'BOTTOM_PANEL', 'SHELF')) > 0 solved from roles group by 1) select project, panels, solved, round(case when solved then least(0.85, 0.4 + 0.1 * panels + 0.05) else 0 end::double, 6) confidence from b",
+)
+add("complexity", lambda s, d: identify.complexity(annotated(s, d)), f"with {_CLASSES}, b as (select panel_id, count(distinct feature_class) kinds, count(*) features from classes group by 1) select panel_id, kinds, features, case when kinds > 5 or features > 15 then 'complex' when kinds <= 3 and features <= 5 then 'simple' else 'medium' end complexity from b")
+_CATALOGUE = "cat(bore, feature_class, tol, setback, stol) as (values (5.0::double, 'SHELF_PIN_HOLE', 0.2::double, 37.0::double, 1.0::double), (6.0, 'DOWEL_HOLE', 0.2, null, null), (7.0, 'CONFIRMAT_HOLE', 0.3, 12.0, 5.0), (8.0, 'DOWEL_HOLE', 0.2, null, null), (10.0, 'DOWEL_HOLE', 0.2, null, null), (15.0, 'HARDWARE_HOLE', 0.3, null, null), (35.0, 'HINGE_CUP_HOLE', 0.5, 22.5, 1.5))"
+add(
+    "catalog_validation",
+    lambda s, d: corpus.conformance(bridge.holes(s, d).withColumn("edge", g.edge_distance(F.col("x"), F.col("y"))), c.nearest_spacing(bridge.holes(s, d))),
+    f"""with {SQL_HOLES}, {_CATALOGUE}, h as (select *, {EDGE} edge, {_BORE % 'diameter'} bore from holes), n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200),
+    sp as (select min(dist) spacing from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by panel_id, seq), so as (select abs(spacing - greatest(1, round_even(spacing / 32, 0)) * 32) o from sp where spacing between 20 and 200),
+    dm as (select bore, count(*) n, avg(diameter) m from h group by 1 having count(*) >= 3), se as (select bore, count(*) n, quantile_cont(edge, 0.5) m from h where abs(round(diameter, 0) - bore) < 0.51 group by 1 having count(*) >= 3),
+    r as (select 'diameter' metric, feature_class, bore, m measured, bore expected, abs(m - bore) deviation, n support, abs(m - bore) <= tol passed from dm join cat using (bore) union all select 'edge_setback', feature_class, bore, m, setback, abs(m - setback), n, abs(m - setback) <= stol from se join cat using (bore) where setback is not null
+    union all select 'grid_spacing', 'SHELF_PIN_HOLE', 5.0, avg(o), 0.0, avg(o), count(*), avg((o <= 0.5)::int) >= 0.5 from so having count(*) >= 3) select metric, feature_class, bore, round(measured, 6) measured, expected, round(deviation, 6) deviation, support, passed from r""",
+)
+add(
+    "tune_ruleset",
+    lambda s, d: corpus.tuned(bridge.holes(s, d), bridge.panels(s, d)),
+    f"""with {SQL_HOLES}, b as (select {_BORE % 'diameter'} bore, diameter from holes), k as (select bore, count(*) n, avg(diameter) m, stddev_pop(diameter) s, case bore when 5 then 'shelf_pin' when 7 then 'confirmat' when 35 then 'hinge_cup' end p from b where abs(diameter - bore) <= 1 and bore in (5, 7, 35) group by 1)
+    select p || '_diameter_mm' "parameter", round(m, 2) as value, 'measured' as source, n from k union all select p || '_tolerance_mm', round(greatest(0.2, 3 * s), 2), 'measured', n from k union all select 'panel_thickness_mm', round(quantile_cont(thickness, 0.5), 2), 'measured', count(*) from panels""",
+)
+
 # statistics
 add("diameter_describe", over_holes(lambda h: c.describe(h, "diameter")), f"with {SQL_HOLES} select count(*) n, min(diameter) min, max(diameter) max, round(avg(diameter), 6) mean, round(stddev_pop(diameter), 6) deviation, round(quantile_cont(diameter, 0.5), 6) median, round(quantile_cont(diameter, 0.05), 6) p05, round(quantile_cont(diameter, 0.95), 6) p95 from holes")
 add("diameter_histogram", over_holes(lambda h: h.groupBy(F.floor(F.col("diameter") / 2.0).cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))), f"with {SQL_HOLES} select floor(diameter / 2)::bigint bucket, count(*) n from holes group by 1")
