@@ -33,6 +33,8 @@ UNIT_NAMES = {
 GRID_MM, GRID_SLACK = 0.1, 0.2
 #: Least spread of the natural logs of a magnitude among files.
 LEAST_SPREAD = 0.3
+#: Most that one magnitude's squared log residual counts: a file may hold nothing but hinge cups.
+MOST_RESIDUAL = 4.5
 #: Weights, in units of log likelihood, of all values on the grid, of one text anchor (three at most) and against the declared unit.
 GRID_WEIGHT, ANCHOR_WEIGHT, DECLARED_WEIGHT = 6.0, 3.0, 4.0
 #: Log residual within which an identity holds; margin of cost under which a file's solution isn't unique.
@@ -114,7 +116,7 @@ def file_units(q: DataFrame) -> DataFrame:
         for m in logs:
             spread = F.greatest((F.col(f"_{m}")[2] - F.col(f"_{m}")[0]) / 1.35, F.lit(LEAST_SPREAD))
             gap = (F.log(F.col(m) * f) - F.col(f"_{m}")[1]) / spread
-            cost = cost + F.coalesce(gap * gap / 2, F.lit(0.0))
+            cost = cost + F.coalesce(F.least(gap * gap / 2, F.lit(MOST_RESIDUAL)), F.lit(0.0))
         costs.append(F.struct(cost.alias("cost"), F.lit(u).alias("unit")))
     ranked = files.join(F.broadcast(usual)).withColumn("_costs", F.array_sort(F.array(*costs)))
     return ranked.select("source_file", F.col("_costs")[0]["unit"].alias("unit"), (F.col("_costs")[1]["cost"] - F.col("_costs")[0]["cost"] >= UNIQUE_MARGIN).alias("unique"), "n")

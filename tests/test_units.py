@@ -69,6 +69,12 @@ def test_millimetres(cases):
     assert rows[907].coordinates is None and rows[904].diameter_mm == 5.0
 
 
+def test_small_file_of_cups(spark, cases):
+    rows = [r for i in range(30) for r in circles(i * 100, f"f{i}", "c-mm", None, "mm", n=12)] + circles(9000, "cups", "c-in", None, "in", n=2, r=17.5)
+    got = units.unit_cases(spark.createDataFrame([(*r[:9], "") for r in rows], SCHEMA), cases[1]).collect()
+    assert {(r.entity_key, r.field_name, r.unit_code) for r in got} == {(k, f, "in") for k in (9000, 9001) for f in ("coordinates", "diameter_mm", "depth_mm")}
+
+
 def test_empty(spark, cases):
     assert units.unit_cases(cases[0].limit(0), cases[1]).count() == 0
     assert units.unit_cases(cases[0], cases[1].limit(0)).where("entity_key between 400 and 419").count() == 60, "magnitudes alone tell the unit"
