@@ -149,3 +149,24 @@ def dialect_reliance(holes: DataFrame) -> DataFrame:
 def thickness_bands(panels: DataFrame, tol: float = 1.0) -> DataFrame:
     """Assemblies by project and thickness band, of two panels and more."""
     return panels.groupBy("project", F.bround(F.col("thickness") / tol, 0).alias("band")).agg(F.count(F.lit(1)).alias("panels"), F.min("panel_id").alias("first_panel")).where("panels >= 2")
+
+
+def classify_contours(shapes: DataFrame) -> DataFrame:
+    """(contour_id, feature_class, confidence, priority) of shapes that aren't circles; ``shapes`` needs entity_type, layer, is_closed, the box's sides w and h, length and edge (distance to the panel's nearest side, or null)."""
+    kind, layer, t = layer_type(F.col("layer")), F.upper("layer"), F.col("entity_type")
+    poly = t.isin("LWPOLYLINE", "POLYLINE", "SPLINE", "ELLIPSE")
+    ring = poly & F.col("is_closed")
+    long, short = F.greatest("w", "h"), F.least("w", "h")
+    slim = (short > 1e-6) & (long / short >= 5) & short.between(2.0, 20.0)
+    rules = [
+        ("P7b", (poly | t.isin("LINE", "ARC")) & ((kind == "engrave") | layer.rlike("ENGRAVE|ETCH|SCORE|MARK")), "ENGRAVING", 0.75),
+        ("P8a", ring & (kind == "pocket") & slim, "GROOVE", 0.68),
+        ("P8", ring & ((kind == "pocket") | layer.contains("POCKET")), "POCKET", 0.65),
+        ("P10", ring & kind.isin("cut", "border"), "INTERNAL_CUTOUT", 0.80),
+        ("P10b", t.isin("LINE", "ARC") & kind.isin("cut", "border", "unknown") & (F.col("length") <= 60) & (F.col("edge") <= 15), None, 0.65),
+    ]
+    out = F.struct(F.lit("UNKNOWN_FEATURE").alias("feature_class"), F.lit(0.0).alias("confidence"), F.lit("P11").alias("priority"))
+    for name, cond, label, confidence in reversed(rules):
+        value = F.lit(label) if label else F.when(t == "LINE", "CHAMFER").otherwise("FILLET")
+        out = F.when(F.coalesce(cond, F.lit(False)), F.struct(value.alias("feature_class"), F.lit(confidence).alias("confidence"), F.lit(name).alias("priority"))).otherwise(out)
+    return shapes.select("contour_id", out.alias("_r")).select("contour_id", "_r.*")

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from kerfspark.functions import geometry as g
 from kerfspark.functions import layers
 from kerfspark.operators import classify as c
-from kerfspark.operators import corpus, graphs, identify, metrics, pid, rules
+from kerfspark.operators import corpus, graphs, identify, metrics, model, nesting, pid, rules, synth
 from kerfspark.operators.pairs import band_pairs, distance, near_pairs
 from kerfspark.plans import bridge
 from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_PANELS, SQL_PID
 from kerfspark.runtime import cut, table
-from kerfspark.sources import dxf
+from kerfspark.sources import dxf, export
 from kerfspark.streaming.references import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,6 +215,51 @@ add(
     select p || '_diameter_mm' "parameter", round(m, 2) as value, 'measured' as source, n from k union all select p || '_tolerance_mm', round(greatest(0.2, 3 * s), 2), 'measured', n from k union all select 'panel_thickness_mm', round(quantile_cont(thickness, 0.5), 2), 'measured', count(*) from panels""",
 )
 
+
+
+def contour_shapes(s: SparkSession, d: str) -> DataFrame:
+    v, b = F.col("vertices"), g.box(F.col("vertices"))
+    return bridge.contours(s, d).select("contour_id", F.lit("LWPOLYLINE").alias("entity_type"), "layer", "is_closed", (b["xmax"] - b["xmin"]).alias("w"), (b["ymax"] - b["ymin"]).alias("h"), g.ring_length(v, F.col("is_closed")).alias("length"), F.lit(None).cast("double").alias("edge"))
+
+
+add(
+    "classify_contours",
+    lambda s, d: c.classify_contours(contour_shapes(s, d)),
+    f"""with {SQL_CONTOURS}, p as (select contour_id, case when layer = 'ENGRAVE' then 'P7b' when is_closed and layer = 'POCKET' and greatest(w, h) / least(w, h) >= 5 and least(w, h) between 2 and 20 then 'P8a' when is_closed and layer = 'POCKET' then 'P8' when is_closed and layer in ('CUT', 'SHEET') then 'P10' else 'P11' end priority from contours)
+    select contour_id, case priority when 'P7b' then 'ENGRAVING' when 'P8a' then 'GROOVE' when 'P8' then 'POCKET' when 'P10' then 'INTERNAL_CUTOUT' else 'UNKNOWN_FEATURE' end feature_class, case priority when 'P7b' then 0.75 when 'P8a' then 0.68 when 'P8' then 0.65 when 'P10' then 0.8 else 0 end::double confidence, priority from p""",
+)
+
+
+def nearest_centroid(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    return model.predict(e, "vec_id", "embedding", cut(model.centroids(e, "label", "embedding")))
+
+
+add(
+    "nearest_centroid",
+    nearest_centroid,
+    """with m as (select label, i, avg(v::double) m from (select label, unnest(embedding) v, generate_subscripts(embedding, 1) i from embeddings where label is not null) group by 1, 2), e as (select vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) i from embeddings),
+    g as (select vec_id, label, sqrt(sum((v - m) * (v - m))) dist from e join m using (i) group by 1, 2) select vec_id, arg_min(label, dist) predicted, round(min(dist), 6) distance from g group by 1""",
+)
+add("synthetic_gate", lambda s, d: synth.gated(synth.generate(s, 2000, seed=42)).groupBy("intended_valid", "fault").agg(F.count(F.lit(1)).alias("samples")))
+
+
+def nest_shapes(s: SparkSession, d: str) -> DataFrame:
+    """The drawings' own shapes; the first copy of each entity."""
+    e = table(s, d, "entities").groupBy("entity_key").agg(F.first("source_file").alias("drawing"), *[F.first(n).alias(n) for n in ("entity_type", "layer", "coordinates", "is_closed", "centroid")])
+    ring = F.col("entity_type").isin("LWPOLYLINE", "POLYLINE")
+    return e.where("drawing is not null").select("drawing", F.col("entity_key").alias("seq"), "entity_type", "layer", F.when(ring, F.col("coordinates")).alias("vertices"), "is_closed", F.get("centroid", F.lit(0)).alias("x"), F.get("centroid", F.lit(1)).alias("y"))
+
+
+add("nest_analysis", lambda s, d: nesting.layouts(nest_shapes(s, d)))
+add("nest_split", lambda s, d: nesting.assign(nest_shapes(s, d)))
+add(
+    "panel_svg",
+    lambda s, d: bridge.holes(s, d).groupBy("panel_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", (F.col("diameter") / 2).alias("r")))).alias("_h"), *[F.first(n).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")]).select("panel_id", export.panel_svg({n: F.col(n) for n in ("xmin", "ymin", "xmax", "ymax")}, F.col("_h")).alias("svg")),
+)
+add("labels_json", lambda s, d: export.labels_json(annotated(s, d), identify.parts(bridge.panels(s, d), annotated(s, d))))
+add("graph_json", lambda s, d: export.graph_json(table(s, d, "geometry_nodes").dropDuplicates(["node_id"]).select("graph_id", "node_id", "geometry_type", "layer", "centroid", "diameter_mm"), table(s, d, "feature_nodes").select("graph_id", F.col("node_id").alias("src"), F.explode("geometry_node_ids").alias("dst")).distinct()))
+
 # statistics
 add("diameter_describe", over_holes(lambda h: c.describe(h, "diameter")), f"with {SQL_HOLES} select count(*) n, min(diameter) min, max(diameter) max, round(avg(diameter), 6) mean, round(stddev_pop(diameter), 6) deviation, round(quantile_cont(diameter, 0.5), 6) median, round(quantile_cont(diameter, 0.05), 6) p05, round(quantile_cont(diameter, 0.95), 6) p95 from holes")
 add("diameter_histogram", over_holes(lambda h: h.groupBy(F.floor(F.col("diameter") / 2.0).cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))), f"with {SQL_HOLES} select floor(diameter / 2)::bigint bucket, count(*) n from holes group by 1")
