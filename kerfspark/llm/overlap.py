@@ -7,7 +7,7 @@ feature near a cell's edge in one band is inside in others. Candidates that keep
 reach the share of features are verified exactly: features are paired one to one by augmenting paths within their
 class. Confirmed classes are spread out to their samples at the end.
 
-Samples without features, without panel or with a null panel measure match nothing; a feature without class or position
+Samples without id, without features, without panel or with a null panel measure match nothing; a feature without class or position
 pairs with nothing; diameters pair if both are null (NaN counts as null). Of a repeated sample_id one row counts (values
 are the same). Unknown or null splits are no split. Empty tables give no pairs; extra columns are ignored.
 """

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from kerfspark.runtime import cut
+from kerfspark.runtime import cut, lookup
 
 #: Lengths of contexts; characters that are folded and counted at a time.
 ORDERS, CHUNK = (1, 2, 3, 4, 6, 9), 2_000_000
@@ -169,8 +169,8 @@ def limits(b: DataFrame) -> DataFrame:
 def log_odds(levels: DataFrame, whole: DataFrame, base: float) -> DataFrame:
     """(doc_id, log_odds): ``levels`` has each text's contexts with n and inner ends, ``whole`` each text's chance to be no cut."""
     w = levels.join(whole, "doc_id")
-    finals = w.where("trains").groupBy("context").agg(F.sum("whole").alias("finals"))
-    met = w.join(finals, "context").withColumn("_others", F.col("ends") + F.greatest(F.col("finals") - F.col("whole"), F.lit(0.0)))
+    finals = cut(w.where("trains").groupBy("context").agg(F.sum("whole").alias("finals"), F.count(F.lit(1)).alias("_texts")))
+    met = lookup(w, finals.drop("_texts"), "context", "doc_id", counts=finals.select("context", F.col("_texts").alias("n"))).withColumn("_others", F.col("ends") + F.greatest(F.col("finals") - F.col("whole"), F.lit(0.0)))
     steps = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", "n", "_others"))).alias("_steps"))
     chance = F.aggregate("_steps", F.lit(base), lambda p, x: (x["_others"] + BACKOFF * p) / (F.greatest(x["n"] - 1, F.lit(0)) + BACKOFF))
     return steps.select("doc_id", (F.log(F.lit(base)) - F.log(F.greatest(chance, F.lit(1e-9)))).alias("log_odds"))
@@ -182,16 +182,18 @@ def judged(documents: DataFrame) -> DataFrame:
     model = b.select("body").distinct().mapInPandas(counts, "context bigint, n bigint, ends bigint").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     first = b.groupBy(F.md5("body").alias("_m")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("trains"))
     asked = b.select("doc_id", F.posexplode(last_contexts("body")).alias("order", "context")).join(first, "doc_id", "left").withColumn("trains", F.coalesce("trains", F.lit(False)))
-    levels = cut(asked.join(model, "context"))
+    # half of all texts may end in one character: the contexts of one place are hot keys
+    levels = cut(lookup(cut(asked), model, "context", "doc_id"))
     # the rate of ends at large, as the contexts of one character have it
     rate = levels.where("order = 0").groupBy("context").agg(F.first("n").alias("n"), F.first("ends").alias("ends"), F.sum(F.col("trains").cast("bigint")).alias("f")).agg(((F.sum("ends") + F.sum("f")) / F.sum("n")).alias("r")).first()["r"]
     base = min(max(rate or 0.01, 1e-6), 0.5)
 
     l = limits(b.join(first, "doc_id", "left_semi"))
     at = l.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("_c"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("_b")).withColumnRenamed("source", "_s")
+    at = cut(at)  # Spark then knows its size, and whether to broadcast it
     on = F.coalesce(F.array_contains("_c", F.col("chars")), F.lit(False)) | F.coalesce(F.exists("_b", lambda x: (F.col("bytes") <= x) & (F.col("bytes") > x - 4)), F.lit(False))
     long = F.length("body") >= max(ORDERS)
-    facts = cut(b.join(F.broadcast(at), F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "source", "lang", on.alias("at_limit"), "extra", long.alias("_long")))
+    facts = cut(b.join(at, F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "source", "lang", on.alias("at_limit"), "extra", long.alias("_long")))
 
     odds = lambda p: F.log(p / (1 - p))
     clamp = lambda x, a, z: F.least(F.greatest(x, F.lit(a)), F.lit(z))
@@ -205,7 +207,8 @@ def judged(documents: DataFrame) -> DataFrame:
         broad = fine.groupBy("_s", "_a").agg(((F.sum("_sum") + 0.2) / (F.sum("_n") + 2)).alias("_whole")).select(F.col("_s").alias("_s2"), F.col("_a").alias("_a2"), "_whole")
         share = clamp((F.col("_sum") + SMOOTH * F.col("_whole")) / (F.col("_n") + SMOOTH), LEAST, MOST)
         shares = fine.join(broad, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_a") == F.col("_a2"))).select("_s", "_l", "_a", share.alias("_new"))
-        met = scored.join(F.broadcast(shares), scored["source"].eqNullSafe(F.col("_s")) & scored["lang"].eqNullSafe(F.col("_l")) & (scored["at_limit"] == F.col("_a")))
+        shares = cut(shares)
+        met = scored.join(shares, scored["source"].eqNullSafe(F.col("_s")) & scored["lang"].eqNullSafe(F.col("_l")) & (scored["at_limit"] == F.col("_a")))
         p = 1 / (1 + F.exp(-clamp(F.col("log_odds") + odds(F.col("_new")), -50.0, 50.0)))
         now = cut(met.select("doc_id", "source", "lang", "at_limit", "extra", "_long", "log_odds", p.alias("cut_chance"), F.col("_new").alias("_share")))
     return now.select("doc_id", "source", "lang", "at_limit", "log_odds", "cut_chance", (F.col("cut_chance") > 0.5).alias("is_cut"))
