@@ -49,7 +49,8 @@ def roc_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
 
 def best_threshold(rows: DataFrame, truth: str, score: str, steps: int = 100) -> DataFrame:
     """The first of the thresholds 0, 1/steps, ... 1 with the best F1. Scores are counted by the highest threshold they reach."""
-    by = rows.groupBy(F.floor(F.round(F.col(score) * steps, 6)).alias("k")).agg(F.sum(F.col(truth).cast("bigint")).alias("p"), F.sum((~F.col(truth)).cast("bigint")).alias("n"))
+    reached = F.least(F.greatest(F.floor(F.round(F.col(score) * steps, 6)), F.lit(-1)), F.lit(steps))
+    by = rows.groupBy(reached.alias("k")).agg(F.sum(F.col(truth).cast("bigint")).alias("p"), F.sum((~F.col(truth)).cast("bigint")).alias("n"))
     all_p = F.broadcast(by.agg(F.sum("p").alias("_all")))
     grid = rows.sparkSession.range(steps + 1).withColumnRenamed("id", "t")
     met = grid.join(F.broadcast(by), F.col("k") >= F.col("t"), "left").groupBy("t").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("fp")).join(all_p)

@@ -6,10 +6,10 @@ a node's fields are its own or under ``data``, whether a list is a list, a singl
 those states route every node to its subtype table (geometry, feature, other) and every child to vertices, hypotheses or
 evidence, all with the common supertype keys (graph_id, node_id) and their place in the parent.
 
-Of each graph the latest complete delivery counts (of two received at once, that with the larger delivery_id). Null,
-empty, broken or non-object payloads are no deliveries; null entries of a list keep their place and give no row; a node
-without id gets its place as id; repeated node ids of one payload keep the first row a child. An empty table gives
-empty tables. Further columns are ignored.
+Of each graph the latest complete delivery counts (of two received at once, that with the larger delivery_id). Rows
+without graph_id are left out; null, empty, broken or non-object payloads are no deliveries; null entries of a list keep
+their place and give no row; a node without id gets its place as id; repeated node ids of one payload keep the first row
+a child. An empty table gives empty tables. Further columns are ignored.
 """
 
 from __future__ import annotations

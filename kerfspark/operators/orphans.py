@@ -9,7 +9,7 @@ follow from its own arrival and its parent's life. ``snapshots`` counts, a table
 that were orphans at once, and those pending at the month's end.
 
 Ids are compared in lower case without surrounding spaces; null and blank ids are no references; of repeated rows the
-earliest copy counts (at equal times the smallest row). Rows without arrived_at count as arrived before all others.
+earliest copy counts (at equal times the smallest row); referring rows without own id are each kept, with a null. Rows without arrived_at count as arrived before all others.
 Extra columns are ignored.
 """
 
@@ -42,7 +42,8 @@ def parent_rows(table: DataFrame, name: str) -> DataFrame:
 def references(table: DataFrame, ref_table: str, ref_id: str, target: Column, kind: str) -> DataFrame:
     """(ref_table, ref_id, kind, target_id, seen) of a table's earliest rows; ``target`` is an id or a list of ids."""
     rows = table.select(F.col(ref_id).alias("ref_id"), target.alias("_targets"), at("arrived_at").alias("seen"))
-    first = rows.groupBy("ref_id").agg(F.min(F.struct("seen", "_targets")).alias("_first")).select("ref_id", "_first.*")
+    own = F.when(F.col("ref_id").isNull(), F.to_json(F.struct("seen", "_targets")))
+    first = rows.groupBy("ref_id", own.alias("_own")).agg(F.min(F.struct("seen", "_targets")).alias("_first")).select("ref_id", "_first.*")
     each = first.select("ref_id", "seen", F.explode(F.array_distinct(F.transform("_targets", key))).alias("target_id"))
     return each.where(F.col("target_id").isNotNull()).select(F.lit(ref_table).alias("ref_table"), "ref_id", F.lit(kind).alias("kind"), "target_id", "seen")
 

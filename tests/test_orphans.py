@@ -26,6 +26,8 @@ def test_cases(spark):
     p = parents(spark, [("Feat-1", 1, None), ("feat-2", 5, None), ("feat-3", 1, 3), ("feat-3", 4, None), ("feat-4", 2, 9), (None, 1, None), (" ", 1, None)])
     r = refs(spark, [("a", ["feat-1 ", "FEAT-1", None, "", "  ", "feat-2", "feat-9"], 3), ("a", ["feat-1", "feat-7"], 8), ("b", ["feat-3"], 3), ("c", ["feat-3"], 2), ("d", ["feat-4"], 2), ("e", None, 1), ("f", [], 1), ("g", ["feat-1"], 0)])
     assert found(r, p) == [("a", "feat-2"), ("a", "feat-9"), ("b", "feat-3"), ("g", "feat-1")]
+    none = refs(spark, [(None, ["x"], 3), (None, ["y"], 4)])
+    assert sorted(r.target_id for r in orphans.found(orphans.advance(None, none, p)[0]).collect()) == ["x", "y"]
 
 
 def test_deliveries_end_alike(spark):
