@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kerfspark.functions import geometry as g
 from kerfspark.functions import layers
 from kerfspark.operators import classify as c
-from kerfspark.operators import corpus, graphs, identify, metrics, model, nesting, pid, rules, synth
+from kerfspark.operators import corpus, graphs, identify, metrics, model, nesting, pid, rules, synth, units
 from kerfspark.operators.pairs import band_pairs, distance, near_pairs
 from kerfspark.plans import bridge
 from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_PANELS, SQL_PID
@@ -245,10 +245,10 @@ add("synthetic_gate", lambda s, d: synth.gated(synth.generate(s, 2000, seed=42))
 
 
 def nest_shapes(s: SparkSession, d: str) -> DataFrame:
-    """The drawings' own shapes; the first copy of each entity."""
-    e = table(s, d, "entities").groupBy("entity_key").agg(F.first("source_file").alias("drawing"), *[F.first(n).alias(n) for n in ("entity_type", "layer", "coordinates", "is_closed", "centroid")])
+    """The drawings' own shapes in millimetres; one copy of each entity."""
+    e = units.to_millimetres(table(s, d, "entities").where("source_file is not null"), table(s, d, "parser_configs"))
     ring = F.col("entity_type").isin("LWPOLYLINE", "POLYLINE")
-    return e.where("drawing is not null").select("drawing", F.col("entity_key").alias("seq"), "entity_type", "layer", F.when(ring, F.col("coordinates")).alias("vertices"), "is_closed", F.get("centroid", F.lit(0)).alias("x"), F.get("centroid", F.lit(1)).alias("y"))
+    return cut(e.select(F.col("source_file").alias("drawing"), F.col("entity_key").alias("seq"), "entity_type", "layer", F.when(ring, F.col("coordinates")).alias("vertices"), "is_closed", F.get("centroid", F.lit(0)).alias("x"), F.get("centroid", F.lit(1)).alias("y")))
 
 
 add("nest_analysis", lambda s, d: nesting.layouts(nest_shapes(s, d)))

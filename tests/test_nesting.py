@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from kerfspark.operators import nesting
+from kerfspark.plans import reference
 from kerfspark.sources import export
 
 SHAPES = "drawing string, seq int, entity_type string, layer string, vertices array<array<double>>, is_closed boolean, x double, y double"
@@ -30,6 +31,25 @@ def test_nest(spark):
     assert nesting.assign(shapes.limit(0)).count() == 0
 
 
+def test_queries_in_any_unit(spark, tmp_path):
+    rows = []
+    for k, (unit, mm) in enumerate((("mm", 1.0), ("m", 1000.0), ("in", 25.4))):
+        key = 100 * k
+        own = [rect(unit, key, "SHEET", 0.0, 0.0, 1524.0, 1016.0), rect(unit, key + 1, "CUT", 50.8, 50.8, 609.6, 762.0), rect(unit, key + 2, "CUT", 711.2, 50.8, 508.0, 762.0), hole(unit, key + 3, 101.6, 101.6), hole(unit, key + 4, 711.2 + 50.8, 101.6), hole(unit, key + 5, 101.6, 965.2)]
+        for d, seq, kind, layer, v, closed, x, y in own:
+            at = [[c / mm for c in p] for p in v or [[x, y, 4.0]]]
+            rows.append((seq, d, f"c-{unit}", None, kind, layer, at, closed, [x / mm, y / mm], None, None, None, None, None, None, None, None))
+    names = "entity_key bigint, source_file string, config_id string, units_original string, entity_type string, layer string, coordinates array<array<double>>, is_closed boolean, centroid array<double>, bounding_box array<double>, area_mm2 double, perimeter_mm double, diameter_mm double, radius_mm double, depth_mm double, elevation_z double, size_text string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame([(f"c-{u}", u) for u in ("mm", "m", "in")], "config_id string, target_units string").write.parquet(f"{tmp_path}/parser_configs.parquet")
+    lay = {r.drawing: r for r in reference.QUERIES["nest_analysis"](spark, str(tmp_path)).collect()}
+    assert {d: r.panels for d, r in lay.items()} == {"mm": 2, "m": 2, "in": 2}
+    assert all(abs(r.panel_area - 1117.6 * 762.0) < 0.01 and abs(r.sheet_area - 1524.0 * 1016.0) < 0.01 for r in lay.values())
+    split = reference.QUERIES["nest_split"](spark, str(tmp_path)).collect()
+    want = {(1, 1, "outline"), (2, 2, "outline"), (3, 1, "inside"), (4, 2, "inside"), (5, 1, "nearest")}
+    assert all({(r.seq % 100, r.panel % 100, r.how) for r in split if r.drawing == d} == want for d in lay)
+
+
 def test_nearest_against_all_pairs(spark):
     r = random.Random(4)
     panels = [rect("d", i, "CUT", 3000.0 * (i % 5), 2500.0 * (i // 5), 400.0, 300.0) for i in range(15)]
