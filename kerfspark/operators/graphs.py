@@ -98,8 +98,10 @@ def nest_overlaps(panels: DataFrame) -> DataFrame:
 
 
 def to_cytoscape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One JSON text an element, nodes with their position."""
+    """One JSON text an element; nodes with their fields, their type by any of the tables' names, and their position."""
     at = F.when(F.size("centroid") >= 2, F.struct(F.col("centroid")[0].alias("x"), F.col("centroid")[1].alias("y")))
-    n = nodes.select(F.lit("nodes").alias("part"), F.col("node_id").alias("id"), F.to_json(F.struct(F.struct(F.col("node_id").alias("id"), F.col("geometry_type").alias("type"), "layer").alias("data"), at.alias("position"))).alias("element"))
-    e = edges.select(F.lit("edges").alias("part"), F.concat_ws("->", "src", "dst").alias("id"), F.to_json(F.struct(F.struct(F.col("src").alias("source"), F.col("dst").alias("target")).alias("data"))).alias("element"))
+    kind = F.coalesce("geometry_type", "feature_class", "operation_type").alias("type")
+    data = F.struct(F.col("node_id").alias("id"), kind, *[c for c in nodes.columns if c != "node_id"])
+    n = nodes.select(F.lit("nodes").alias("part"), F.col("node_id").alias("id"), F.to_json(F.struct(data.alias("data"), at.alias("position"))).alias("element"))
+    e = edges.select("src", "dst").distinct().select(F.lit("edges").alias("part"), F.concat_ws("->", "src", "dst").alias("id"), F.to_json(F.struct(F.struct(F.col("src").alias("source"), F.col("dst").alias("target")).alias("data"))).alias("element"))
     return n.unionByName(e)

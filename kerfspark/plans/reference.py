@@ -258,7 +258,37 @@ add(
     lambda s, d: bridge.holes(s, d).groupBy("panel_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", (F.col("diameter") / 2).alias("r")))).alias("_h"), *[F.first(n).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")]).select("panel_id", export.panel_svg({n: F.col(n) for n in ("xmin", "ymin", "xmax", "ymax")}, F.col("_h")).alias("svg")),
 )
 add("labels_json", lambda s, d: export.labels_json(annotated(s, d), identify.parts(bridge.panels(s, d), annotated(s, d))))
-add("graph_json", lambda s, d: export.graph_json(table(s, d, "geometry_nodes").dropDuplicates(["node_id"]).select("graph_id", "node_id", "geometry_type", "layer", "centroid", "diameter_mm"), table(s, d, "feature_nodes").select("graph_id", F.col("node_id").alias("src"), F.explode("geometry_node_ids").alias("dst")).distinct()))
+
+
+def graph_links(s: SparkSession, d: str) -> DataFrame:
+    """(graph_id, src, dst) from features to their geometry and from operations to their features; ids of features in one spelling."""
+    f = table(s, d, "feature_nodes").select("graph_id", F.col("node_id").alias("src"), F.explode("geometry_node_ids").alias("dst"))
+    o = table(s, d, "operation_nodes").select("graph_id", F.col("node_id").alias("src"), F.explode("feature_node_ids").alias("dst")).withColumn("dst", F.lower(F.trim("dst")))
+    return f.unionByName(o).where("src is not null and trim(dst) <> ''").distinct()
+
+
+def graph_nodes(s: SparkSession, d: str, links: DataFrame) -> DataFrame:
+    """Every node once, with its table's fields; an end of a link that stands in no table is a node of type ``missing``."""
+    once = lambda name, kind, *fields: table(s, d, name).where("node_id is not null").dropDuplicates(["node_id"]).select("graph_id", "node_id", F.lit(kind).alias("node_type"), *fields)
+    g = once("geometry_nodes", "geometry", "geometry_type", "layer", "inferred_layer_type", "source_file", "centroid", "diameter_mm", "is_closed")
+    f = once("feature_nodes", "feature", "feature_class", "confidence", "inference_method", "diameter_mm", "position_mm", "group_id", "deleted_at")
+    o = once("operation_nodes", "operation", "operation_type", "confidence", "tool_diameter_mm", "depth_mm")
+    known = g.unionByName(f, allowMissingColumns=True).unionByName(o, allowMissingColumns=True)
+    ends = links.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.min("graph_id").alias("graph_id"))
+    return known.unionByName(ends.join(known.select("node_id"), "node_id", "left_anti").withColumn("node_type", F.lit("missing")), allowMissingColumns=True)
+
+
+def exported(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """A query over the nodes and links of all graphs."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        links = cut(graph_links(s, d))
+        return f(graph_nodes(s, d, links), links)
+
+    return query
+
+
+add("graph_json", exported(export.graph_json))
 
 # statistics
 add("diameter_describe", over_holes(lambda h: c.describe(h, "diameter")), f"with {SQL_HOLES} select count(*) n, min(diameter) min, max(diameter) max, round(avg(diameter), 6) mean, round(stddev_pop(diameter), 6) deviation, round(quantile_cont(diameter, 0.5), 6) median, round(quantile_cont(diameter, 0.05), 6) p05, round(quantile_cont(diameter, 0.95), 6) p95 from holes")
@@ -347,7 +377,7 @@ add("out_of_range", lambda s, d: graphs.out_of_range(table(s, d, "feature_nodes"
 add("neighbours", lambda s, d: graphs.neighbours(feature_edges(s, d)), f"with {_EDGES} select node_id, sum(o)::bigint out_degree, sum(i)::bigint in_degree from (select src node_id, 1 o, 0 i from e union all select dst, 0, 1 from e) group by 1")
 add("nest_layouts", lambda s, d: graphs.nest_layouts(table(s, d, "nested_panels")), "with p as (select distinct on (panel_id) * from nested_panels where len(bounding_box) = 4) select layout_id, count(*) panels, round(sum(area_mm2), 6) used, round(sum(area_mm2) / ((max(bounding_box[3]) - min(bounding_box[1])) * (max(bounding_box[4]) - min(bounding_box[2]))), 6) utilisation from p group by 1")
 add("nest_overlaps", lambda s, d: graphs.nest_overlaps(table(s, d, "nested_panels")), "with p as (select distinct on (panel_id) layout_id, panel_id, bounding_box b from nested_panels where len(bounding_box) = 4), m as (select x.layout_id, x.panel_id panel_a, y.panel_id panel_b, least(x.b[3], y.b[3]) - greatest(x.b[1], y.b[1]) w, least(x.b[4], y.b[4]) - greatest(x.b[2], y.b[2]) h from p x join p y on x.layout_id = y.layout_id and x.panel_id < y.panel_id) select layout_id, panel_a, panel_b, round(w * h, 6) overlap from m where w > 0 and h > 0")
-add("cytoscape", lambda s, d: graphs.to_cytoscape(table(s, d, "geometry_nodes").dropDuplicates(["node_id"]), feature_edges(s, d)))
+add("cytoscape", exported(graphs.to_cytoscape))
 
 # process diagrams
 add("pid_tags", lambda s, d: pid.tags(bridge.components(s, d)), f"with {SQL_PID}, p as (select component_id, tag, regexp_extract(tag, '^([A-Z]{{1,5}})-?\\s?(\\d{{1,5}})([A-Z]?)$', 1) l, regexp_extract(tag, '(\\d+)', 1)::int n from components) select component_id, tag, left(l, 1) variable, substr(l, 2) functions, n loop, regexp_full_match(substr(l, 2), '[ABCDEGHIKLMNOPQRSTUVWXYZ]+') valid from p")

@@ -11,8 +11,9 @@ def graph_json(nodes: DataFrame, edges: DataFrame, graph: str = "graph_id") -> D
     rest = lambda d: F.struct(*[c for c in d.columns if c != graph])
     n = nodes.groupBy(graph).agg(F.array_sort(F.collect_list(rest(nodes))).alias("nodes"))
     e = edges.groupBy(graph).agg(F.array_sort(F.collect_list(rest(edges))).alias("links"))
-    met = n.join(e, graph, "left")
-    return met.select(graph, F.to_json(F.struct(F.col(graph), "nodes", F.coalesce("links", F.array().cast(e.schema["links"].dataType)).alias("links"))).alias("text"))
+    met = n.join(e.withColumnRenamed(graph, "_graph"), F.col(graph).eqNullSafe(F.col("_graph")), "full")
+    listed = lambda d, c: F.coalesce(c, F.array().cast(d.schema[c].dataType)).alias(c)
+    return met.select(F.coalesce(graph, "_graph").alias(graph), listed(n, "nodes"), listed(e, "links")).select(graph, F.to_json(F.struct(graph, "nodes", "links")).alias("text"))
 
 
 def labels_json(annotations: DataFrame, parts: DataFrame) -> DataFrame:

@@ -79,3 +79,27 @@ def test_exports(spark):
     assert tuple(export.review_sheet(labels).first())[:3] == ("x", "through hole", 40)
     svg = spark.range(1).select(export.panel_svg({k: F.lit(v) for k, v in (("xmin", 0.0), ("ymin", 0.0), ("xmax", 100.0), ("ymax", 50.0))}, F.array(F.struct(F.lit(10.0).alias("x"), F.lit(5.0).alias("y"), F.lit(2.5).alias("r"))))).first()[0]
     assert 'cx="10.0" cy="45.0" r="2.5"' in svg and svg.endswith("</svg>")
+
+
+def test_exported_links_have_their_ends(spark, tmp_path):
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("geometry_nodes", [("g1", "G", "a.dxf", "circle", "DRILL", "drill", [1.0, 2.0], 5.0, True)] * 2, "node_id string, graph_id string, source_file string, geometry_type string, layer string, inferred_layer_type string, centroid array<double>, diameter_mm double, is_closed boolean")
+    write("feature_nodes", [("f1", "G", "HOLE", 0.9, "rule", 5.0, [1.0, 2.0], ["g1"], None, None), ("f2", "H", "SLOT", 0.5, "rule", None, None, ["g9"], None, None), ("f3", "I", None, None, None, None, None, None, None, None)], "node_id string, graph_id string, feature_class string, confidence double, inference_method string, diameter_mm double, position_mm array<double>, geometry_node_ids array<string>, group_id string, deleted_at timestamp")
+    write("operation_nodes", [("o1", "G", "DRILLING", 0.8, 5.0, 9.0, [" F1", "f1", None, ""]), ("o2", "H", "ROUTING", 0.8, None, None, ["f8"])], "node_id string, graph_id string, operation_type string, confidence double, tool_diameter_mm double, depth_mm double, feature_node_ids array<string>")
+    docs = {r.graph_id: json.loads(r.text) for r in reference.QUERIES["graph_json"](spark, str(tmp_path)).collect()}
+    kinds = {g: {n["node_id"]: n["node_type"] for n in x["nodes"]} for g, x in docs.items()}
+    assert kinds == {"G": {"g1": "geometry", "f1": "feature", "o1": "operation"}, "H": {"f2": "feature", "o2": "operation", "g9": "missing", "f8": "missing"}, "I": {"f3": "feature"}}
+    assert {g: {(e["src"], e["dst"]) for e in x["links"]} for g, x in docs.items()} == {"G": {("f1", "g1"), ("o1", "f1")}, "H": {("f2", "g9"), ("o2", "f8")}, "I": set()}
+    elements = [(r.part, json.loads(r.element)) for r in reference.QUERIES["cytoscape"](spark, str(tmp_path)).collect()]
+    ids = [x["data"]["id"] for part, x in elements if part == "nodes"]
+    edges = [(x["data"]["source"], x["data"]["target"]) for part, x in elements if part == "edges"]
+    assert sorted(ids) == ["f1", "f2", "f3", "f8", "g1", "g9", "o1", "o2"] and len(edges) == 4 and all(e in ids for pair in edges for e in pair)
+    assert next(x for part, x in elements if x["data"].get("id") == "g1")["position"] == {"x": 1.0, "y": 2.0}
+
+
+def test_links_without_nodes_stay(spark):
+    n = spark.createDataFrame([("g", "a"), (None, "b")], "graph_id string, node_id string")
+    e = spark.createDataFrame([("h", "a", "b"), (None, "b", "b")], "graph_id string, src string, dst string")
+    docs = {r.graph_id: json.loads(r.text) for r in export.graph_json(n, e).collect()}
+    assert docs["h"]["nodes"] == [] and docs["h"]["links"] == [{"src": "a", "dst": "b"}] and docs["g"]["links"] == []
+    assert len(docs) == 3 and docs[None]["nodes"] == [{"node_id": "b"}] and docs[None]["links"] == [{"src": "b", "dst": "b"}]
