@@ -1,13 +1,13 @@
 """Ids of every text in a public byte-level vocabulary, by a table of distinct words.
 
-Texts are split in Spark by the vocabulary's own word pattern; each distinct word is encoded once; the ids come back to
-their places by a join. Words with at least 1/FREQUENT of all places (so at most FREQUENT words, of at most LONGEST
-characters: a bounded table) are broadcast, which serves nearly all places without a shuffle; the rest meet the word
-table in a shuffled join, in which only a longer word can be frequent: those are dealt into parts.
+Texts are split in Spark, once, by the vocabulary's own word pattern into a written table; each distinct word is encoded
+once; the ids come back to their places by a join. Words with at least 1/FREQUENT of all places (so at most FREQUENT words,
+of at most LONGEST characters: a bounded table) are broadcast, which serves nearly all places without a shuffle; the rest
+meet the word table in a shuffled join, whose frequent words are dealt into parts.
 
 Null and empty texts have an empty list. Texts of any length are encoded whole. Special tokens' names in a text are
-ordinary text. Repeated doc_ids are not expected (the column is unique); texts with a null doc_id come out as
-one row with a null. Extra columns are ignored.
+ordinary text. Every row is a text of its own: rows with a null or a repeated doc_id come out once each, with that doc_id.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from kerfspark.runtime import cut, lookup
 
 VOCABULARY = os.environ.get("KERFSPARK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 FREQUENT, LONGEST = 65536, 64
-#: Stands for a null doc_id within a run.
-NO_ID = -(2**63)
 # The word pattern of the vocabulary, with Unicode's white space spelled out for Java.
 SPACE = r"\t-\r\x{85}\p{Z}"
 WORD = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -40,9 +38,9 @@ def encoder(path: str):
     return tiktoken.Encoding("kerfspark", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def words(documents: DataFrame) -> DataFrame:
-    """(doc_id, pos, word)"""
-    return documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
+def split(documents: DataFrame) -> DataFrame:
+    """(_row, doc_id, words): a written table, so that a row's number stays what it is when a task runs again."""
+    return cut(documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")))
 
 
 def word_table(places: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -60,20 +58,21 @@ def word_table(places: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids)
 
-    The texts are dealt by doc_id once; the frequent words' ids then come to their places and back into their document
+    The words are dealt by row once; the frequent words' ids then come to their places and back into their text
     without another shuffle, and only the places of the rest are shuffled.
     """
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
-    distinct = cut(word_table(words(keyed), path))
+    texts = split(documents)
+    distinct = cut(word_table(texts.select(F.explode("words").alias("word")), path))
     total = F.broadcast(distinct.agg(F.sum("n").alias("_total")))
-    frequent = F.broadcast(cut(distinct.join(total, F.col("n") * FREQUENT >= F.col("_total")).where(F.length("word") <= LONGEST).select("word", "ids")))
-    spots = keyed.repartition("doc_id").select("doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
-    near = spots.join(frequent, "word", "left").groupBy("doc_id").agg(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("_near"))
-    rare = distinct.select("word", "ids").join(frequent.select("word"), "word", "left_anti")
-    missed = words(keyed).join(frequent, "word", "left_anti")
-    far = lookup(missed, rare, "word", "doc_id", counts=distinct.where(F.length("word") > LONGEST).select("word", "n")).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("_far"))
-    every = F.when(F.col("_far").isNull(), F.col("_near")).otherwise(F.concat("_near", "_far"))
-    return near.join(far, "doc_id", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.flatten(F.transform(F.array_sort(every), lambda p: p["ids"])).alias("ids"))
+    common = cut(distinct.join(total, F.col("n") * FREQUENT >= F.col("_total")).where(F.length("word") <= LONGEST).select("word", "ids"))
+    frequent = F.broadcast(common)
+    spots = texts.repartition("_row").select("_row", "doc_id", F.posexplode_outer("words").alias("pos", "word"))
+    near = spots.join(frequent, "word", "left").groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("_near"))
+    rare = cut(distinct.join(F.broadcast(common.select("word")), "word", "left_anti"))
+    missed = texts.select("_row", F.posexplode("words").alias("pos", "word")).join(F.broadcast(common.select("word")), "word", "left_anti")
+    far = lookup(missed, rare.select("word", "ids"), "word", "_row", counts=rare.select("word", "n")).groupBy("_row").agg(F.collect_list(F.struct("pos", "ids")).alias("_far"))
+    every = F.sort_array(F.when(F.col("_far").isNull(), F.col("_near")).otherwise(F.concat("_near", "_far")))
+    return near.join(far, "_row", "left").select("doc_id", F.flatten(every["ids"]).alias("ids"))
 
 
 def pieces(path: str = VOCABULARY) -> list[tuple[int, bytes]]:
@@ -82,13 +81,13 @@ def pieces(path: str = VOCABULARY) -> list[tuple[int, bytes]]:
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) by a join with the id-to-piece table (as many rows as the vocabulary has ids)."""
+    """(doc_id, text), a row for each row, by a join with the id-to-piece table (as many rows as the vocabulary has ids)."""
     spark = encoded.sparkSession
     table = F.broadcast(spark.createDataFrame(pieces(path), "id int, piece binary"))
-    each = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(table, "id")
-    joined = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("_p"))
-    back = joined.select("doc_id", F.concat_ws("", F.transform("_p", lambda p: F.hex(p["piece"]))).alias("_hex"))
-    return encoded.select("doc_id").join(back, "doc_id", "left").select("doc_id", F.coalesce(F.decode(F.unhex("_hex"), "UTF-8"), F.lit("")).alias("text"))
+    rows = cut(encoded.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "ids"))
+    each = rows.repartition("_row").select("_row", "doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(table, "id", "left")
+    joined = each.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", F.hex("piece").alias("h"))))).alias("_p"))
+    return joined.select("doc_id", F.decode(F.unhex(F.concat_ws("", F.col("_p")["h"])), "UTF-8").alias("text"))
 
 
 def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -9,7 +9,11 @@ The thresholds come from the shares of cut texts, found by expectation maximisat
 that was added at a cut and white space are taken off before the context is read; an unambiguous mark, and markup or JSON
 that is opened at the start and not closed at the end, count in favour of a cut.
 
-Null, empty and blank texts, and texts shorter than the longest context, are never cut. Repeated texts train the model once and are each judged. Null sources and
+Only contexts that some text ends in are counted: their hashes are set in a bit field of bounded size that the counting
+tasks hold, and what passes it by chance finds no partner in the join. A text shorter than the longest context is judged
+by the contexts it has, its beginning being part of them, and needs more evidence: such short cuts are rare.
+
+Null, empty and blank texts, and rows without doc_id, are never cut. Repeated texts train the model once and are each judged. Null sources and
 languages form groups of their own; languages are compared by their first two letters. Very long texts are read whole. An
 empty table gives no rows. Extra columns are ignored.
 """
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from kerfspark.runtime import cut, lookup
+from kerfspark.runtime import cut, forget, lookup
 
 #: Lengths of contexts; characters that are folded and counted at a time.
 ORDERS, CHUNK = (1, 2, 3, 4, 6, 9), 2_000_000
@@ -32,10 +36,14 @@ ORDERS, CHUNK = (1, 2, 3, 4, 6, 9), 2_000_000
 BACKOFF = 2.0
 #: Log-odds of an unambiguous mark, of unclosed markup, and of a mark that authors also write themselves.
 MARK, OPEN, DOTS = 8.0, 8.0, 1.0
+#: Log-odds against a cut that leaves less than the longest context: a limit or a broken transfer seldom leaves so little.
+SHORT = 8.0
 #: A field limit: so many texts of a source at one length, so many times the mean number around it (within so many lengths), and so large a share of the source.
 LIMIT_TEXTS, LIMIT_TIMES, LIMIT_AROUND, LIMIT_SHARE = 5, 8.0, 12, 0.004
 #: Share of cut texts to begin with, at a limit and elsewhere; weight in texts of the shares of the larger group; rounds.
 FIRST, SMOOTH, ROUNDS = (0.5, 0.03), 20.0, 3
+#: Bits of the field of contexts asked for: so many a context, at most so many, which bounds it at 32 MB.
+FIELD_BITS, MOST_BITS = 16, 1 << 28
 #: Bounds of the shares: even at a limit, a text may be whole.
 LEAST, MOST = 0.0005, 0.95
 
@@ -100,28 +108,46 @@ def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return f[keep], end[keep]
 
 
-def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(context, n, ends) of chunks of texts."""
+def bit_field(asked: DataFrame, about: int):
+    """(bits, field): one bit a hash of ``asked.context``; OR-ed together in tasks, so that only set bytes of one field reach the driver."""
+    size = 1 << min(max(about * FIELD_BITS, 1 << 16).bit_length(), MOST_BITS.bit_length() - 1)
+    bit = F.col("context").bitwiseAND(F.lit(size - 1))
+    words = asked.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(context & 63L as int))").alias("bits"))
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    field = np.zeros(size >> 6, dtype=np.uint64)
+    field[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return size, field
+
+
+def counter(size: int, shared):
+    """A function of batches of bodies that gives (context, n, ends) of chunks of texts, for contexts in the bit field."""
 
     def chunk(texts: list[str]) -> Iterator[pd.DataFrame]:
         f, e = places(texts)
         real = f != 0
+        field = shared.value
         for h in contexts(f):
-            keys, at = np.unique(h[real], return_inverse=True)
-            yield pd.DataFrame({"context": keys, "n": np.bincount(at, minlength=len(keys)), "ends": np.bincount(at, weights=e[real], minlength=len(keys)).astype("int64")})
-
-    held: list[str] = []
-    size = 0
-    for batch in batches:
-        for text in batch["body"]:
-            if text:
-                held.append(text)
-                size += len(text)
-                if size >= CHUNK:
-                    yield from chunk(held)
-                    held, size = [], 0
-    if held:
-        yield from chunk(held)
+            h, ends = h[real], e[real]
+            bit = h & np.int64(size - 1)
+            hit = (field[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) != 0
+            keys, at = np.unique(h[hit], return_inverse=True)
+            yield pd.DataFrame({"context": keys, "n": np.bincount(at, minlength=len(keys)), "ends": np.bincount(at, weights=ends[hit], minlength=len(keys)).astype("int64")})
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[str] = []
+        size_held = 0
+        for batch in batches:
+            for text in batch["body"]:
+                if text:
+                    held.append(text)
+                    size_held += len(text)
+                    if size_held >= CHUNK:
+                        yield from chunk(held)
+                        held, size_held = [], 0
+        if held:
+            yield from chunk(held)
+
+    return counts
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -152,8 +178,8 @@ def bodies(documents: DataFrame) -> DataFrame:
     opened = (start.rlike(r"^\{") & (end != "}")) | (start.rlike(r"^<[a-z]") & (end != ">"))
     body = F.regexp_replace(dots, WHITE + "+$", "")
     d = documents.select("doc_id", "source", F.lower(F.substring(F.trim("lang"), 1, 2)).alias("lang"), "text", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
-    d = d.where(F.col("text").isNotNull() & (F.length(text) > 0))
-    return d.select("doc_id", "source", "lang", "chars", "bytes", body.alias("body"), (marked + dotted + F.when(opened, OPEN).otherwise(0.0)).alias("extra"))
+    d = d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length(text) > 0))
+    return d.select("doc_id", "source", "lang", "chars", "bytes", body.alias("body"), (marked + dotted + F.when(opened, OPEN).otherwise(0.0) - F.when(F.length(body) < max(ORDERS), SHORT).otherwise(0.0)).alias("extra"))
 
 
 def limits(b: DataFrame) -> DataFrame:
@@ -166,24 +192,30 @@ def limits(b: DataFrame) -> DataFrame:
     return l.where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.col("_around")) & (F.col("n") >= LIMIT_SHARE * F.col("_all"))).select("source", "unit", "length")
 
 
-def log_odds(levels: DataFrame, whole: DataFrame, base: float) -> DataFrame:
-    """(doc_id, log_odds): ``levels`` has each text's contexts with n and inner ends, ``whole`` each text's chance to be no cut."""
+def log_odds(levels: DataFrame, whole: DataFrame, base: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, log_odds), and the written table behind it: ``levels`` has each text's contexts with n and inner ends, ``whole`` each text's chance to be no cut."""
     w = levels.join(whole, "doc_id")
     finals = cut(w.where("trains").groupBy("context").agg(F.sum("whole").alias("finals"), F.count(F.lit(1)).alias("_texts")))
     met = lookup(w, finals.drop("_texts"), "context", "doc_id", counts=finals.select("context", F.col("_texts").alias("n"))).withColumn("_others", F.col("ends") + F.greatest(F.col("finals") - F.col("whole"), F.lit(0.0)))
-    steps = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", "n", "_others"))).alias("_steps"))
+    steps = met.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("order", "n", "_others"))).alias("_steps"))
     chance = F.aggregate("_steps", F.lit(base), lambda p, x: (x["_others"] + BACKOFF * p) / (F.greatest(x["n"] - 1, F.lit(0)) + BACKOFF))
-    return steps.select("doc_id", (F.log(F.lit(base)) - F.log(F.greatest(chance, F.lit(1e-9)))).alias("log_odds"))
+    return steps.select("doc_id", (F.log(F.lit(base)) - F.log(F.greatest(chance, F.lit(1e-9)))).alias("log_odds")), finals
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, source, lang, at_limit, log_odds of a cut before any prior, cut_chance and is_cut."""
     b = cut(bodies(documents))
-    model = b.select("body").distinct().mapInPandas(counts, "context bigint, n bigint, ends bigint").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    spark = documents.sparkSession
     first = b.groupBy(F.md5("body").alias("_m")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("trains"))
     asked = b.select("doc_id", F.posexplode(last_contexts("body")).alias("order", "context")).join(first, "doc_id", "left").withColumn("trains", F.coalesce("trains", F.lit(False)))
     # half of all texts may end in one character: the contexts of one place are hot keys
-    levels = cut(lookup(cut(asked), model, "context", "doc_id"))
+    asked = cut(asked)
+    each = asked.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
+    size, field = bit_field(asked.select("context"), asked._cut_rows)
+    count = counter(size, spark.sparkContext.broadcast(field))
+    model = b.select("body").distinct().mapInPandas(count, "context bigint, n bigint, ends bigint").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    levels = cut(lookup(asked, model, "context", "doc_id", counts=each))
+    forget(asked)
     # the rate of ends at large, as the contexts of one character have it
     rate = levels.where("order = 0").groupBy("context").agg(F.first("n").alias("n"), F.first("ends").alias("ends"), F.sum(F.col("trains").cast("bigint")).alias("f")).agg(((F.sum("ends") + F.sum("f")) / F.sum("n")).alias("r")).first()["r"]
     base = min(max(rate or 0.01, 1e-6), 0.5)
@@ -192,15 +224,14 @@ def judged(documents: DataFrame) -> DataFrame:
     at = l.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("_c"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("_b")).withColumnRenamed("source", "_s")
     at = cut(at)  # Spark then knows its size, and whether to broadcast it
     on = F.coalesce(F.array_contains("_c", F.col("chars")), F.lit(False)) | F.coalesce(F.exists("_b", lambda x: (F.col("bytes") <= x) & (F.col("bytes") > x - 4)), F.lit(False))
-    long = F.length("body") >= max(ORDERS)
-    facts = cut(b.join(at, F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "source", "lang", on.alias("at_limit"), "extra", long.alias("_long")))
+    facts = cut(b.join(at, F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "source", "lang", on.alias("at_limit"), "extra"))
 
     odds = lambda p: F.log(p / (1 - p))
     clamp = lambda x, a, z: F.least(F.greatest(x, F.lit(a)), F.lit(z))
     now = facts.withColumn("_share", F.when(F.col("at_limit"), FIRST[0]).otherwise(FIRST[1])).withColumn("cut_chance", F.col("_share"))
     for _ in range(ROUNDS):
-        fresh = log_odds(levels, now.select("doc_id", (1 - F.col("cut_chance")).alias("whole")), base)
-        scored = now.drop("cut_chance", "log_odds").join(fresh, "doc_id", "left").withColumn("log_odds", F.when(F.col("_long"), F.coalesce("log_odds", F.lit(0.0)) + F.col("extra")).otherwise(-50.0))
+        fresh, finals = log_odds(levels, now.select("doc_id", (1 - F.col("cut_chance")).alias("whole")), base)
+        scored = now.drop("cut_chance", "log_odds").join(fresh, "doc_id", "left").withColumn("log_odds", F.coalesce("log_odds", F.lit(0.0)) + F.col("extra"))
         p = 1 / (1 + F.exp(-clamp(F.col("log_odds") + odds(F.col("_share")), -50.0, 50.0)))
         scored = cut(scored.withColumn("_p", p))
         fine = scored.groupBy(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("at_limit").alias("_a")).agg(F.sum("_p").alias("_sum"), F.count(F.lit(1)).alias("_n"))
@@ -210,7 +241,10 @@ def judged(documents: DataFrame) -> DataFrame:
         shares = cut(shares)
         met = scored.join(shares, scored["source"].eqNullSafe(F.col("_s")) & scored["lang"].eqNullSafe(F.col("_l")) & (scored["at_limit"] == F.col("_a")))
         p = 1 / (1 + F.exp(-clamp(F.col("log_odds") + odds(F.col("_new")), -50.0, 50.0)))
-        now = cut(met.select("doc_id", "source", "lang", "at_limit", "extra", "_long", "log_odds", p.alias("cut_chance"), F.col("_new").alias("_share")))
+        last = now
+        now = cut(met.select("doc_id", "source", "lang", "at_limit", "extra", "log_odds", p.alias("cut_chance"), F.col("_new").alias("_share")))
+        forget(scored, shares, last, finals)
+    forget(levels)
     return now.select("doc_id", "source", "lang", "at_limit", "log_odds", "cut_chance", (F.col("cut_chance") > 0.5).alias("is_cut"))
 
 

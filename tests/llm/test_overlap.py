@@ -1,6 +1,8 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kerfspark import runtime
 from kerfspark.llm import overlap
 
 SAMPLES = "sample_id string, dataset_id string, split string, panel struct<width_mm:double,height_mm:double,thickness_mm:double,panel_type:string>, features array<struct<feature_class:string,diameter_mm:double,position_mm:array<double>>>, content string, kind int"
@@ -47,6 +49,22 @@ def test_repeats_and_hot_copies(spark):
     assert len(pairs(spark, *rows)) == 200
 
 
+def test_matching_of_many_features():
+    """Chains of features each near two of the other sample, where every first choice has to move; and three thousand at once."""
+    chain = [{"c": "H", "x": 1.5 * i, "y": 0.0, "d": None} for i in range(1500)]
+    other = [{"c": "H", "x": 1.5 * i - 0.8, "y": 0.0, "d": None} for i in range(1500)]
+    many = [{"c": "H", "x": float(i % 60) * 3, "y": float(i // 60) * 3, "d": 5.0} for i in range(3000)]
+    far = [{**f, "x": f["x"] + 1.5} for f in many[:400]] + many[400:]
+    got = overlap.alike.func(pd.Series([chain, many, many]), pd.Series([other, many[::-1], far]))
+    assert list(got) == [True, True, False]
+
+
+def test_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT_ROWS", 3)
+    rows = [(f"t{i}", "train", P, [*feats(8), ("X", 5.0, [500.0, 10.0 * i])]) for i in range(12)] + [(f"v{i}", "test", P, [*feats(8), ("X", 5.0, [500.0, 10.0 * i])]) for i in range(6)]
+    assert pairs(spark, *rows) == sorted((f"t{i}", f"v{j}") for i in range(12) for j in range(6) if 8 >= 0.9 * 9 - 1e-9 or i == j)
+
+
 @pytest.mark.parametrize("n", [6, 12, 24])
 def test_recall_of_jittered_copies(spark, n):
     import random

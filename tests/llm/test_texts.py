@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kerfspark.llm import encoding, mixing, truncation
 
@@ -29,7 +30,10 @@ def test_round_trip(spark):
 
 
 def test_no_texts(spark):
-    assert [(r.doc_id, list(r.ids)) for r in encoding.encode(spark.createDataFrame([(None, "a quokka"), (3, "a b")], "doc_id bigint, text string")).orderBy("doc_id").collect()] == [(None, [64, 627, 482, 4914]), (3, [64, 275])]
+    odd = spark.createDataFrame([(None, "a quokka"), (None, "a b"), (3, "a b"), (3, "a b"), (None, None)], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, list(r.ids)) for r in encoding.encode(odd).collect())
+    assert got == [(0, []), (0, [64, 275]), (0, [64, 627, 482, 4914]), (3, [64, 275]), (3, [64, 275])]
+    assert sorted(r.text for r in encoding.decode(encoding.encode(odd)).collect()) == ["", "a b", "a b", "a b", "a quokka"]
     assert encoding.encode(docs(spark, [])).count() == 0
     assert [list(r.ids) for r in encoding.encode(docs(spark, [(None, None)])).collect()] == [[]]
 
@@ -51,11 +55,22 @@ def mix(spark):
 
 
 def test_shares(mix):
-    got = {r.source: r for r in mixing.shares(*mix).collect()}
+    got = {r.source: r for r in mixing.shares(*mix, total=mixing.EVEN).collect()}
     assert got["big"].reached_share == pytest.approx(0.7, abs=0.02) and got["small"].reached_share == pytest.approx(0.3, abs=0.02)
     assert got["absent"].mixed_tokens == 0 and set(got) == {"big", "small", "absent"}
 
 
+def test_clamped(mix):
+    """As many tokens as there are: the small source gives all its repeats, the big one the rest, more than its share."""
+    got = {r.source: r for r in mixing.shares(*mix).collect()}
+    small, big = got["small"], got["big"]
+    assert small.clamped and small.mixed_tokens == 5 * small.available_tokens and small.most_copies == 5
+    assert not big.clamped and big.reached_share > 0.7 and big.most_copies <= 2
+    assert abs(big.mixed_tokens + small.mixed_tokens - big.available_tokens - small.available_tokens) <= 25
+    letters = {r.source: r for r in mixing.shares(*mix, size=F.length("text")).collect()}
+    assert letters["small"].available_tokens == 40 * len("few words here") and letters["small"].clamped
+
+
 def test_caps_and_seeds(mix):
     a = {(r.doc_id, r.copies) for r in mixing.mixture(*mix).collect()}
     assert a == {(r.doc_id, r.copies) for r in mixing.mixture(*mix).collect()} != {(r.doc_id, r.copies) for r in mixing.mixture(*mix, seed=1).collect()}
@@ -105,6 +120,14 @@ def test_open_markup(spark):
     assert {r.doc_id for r in truncation.found(docs(spark, rows)).collect()} == {5, 9}
 
 
+def test_short_texts(spark):
+    """A short text with a mark of a cut is one; short whole texts aren't."""
+    rows, _ = corpus(400)
+    short = ["Bore 7 [truncated]", "Bore 7 [...]", "ok", "12", "AB", "done."]
+    d = docs(spark, [(t, "notes") for t in short] + [(t, "notes") for t, _ in rows])
+    assert {r.doc_id for r in truncation.found(d).where("doc_id < 6").collect()} == {0, 1}
+
+
 def test_odd_texts(spark):
     rows, _ = corpus(100)
     odd = [None, "", "  \n", "👍", "ok", "z" * 100_000, "…", "\u0000a\u0000bcdefghijk."]
