@@ -1,42 +1,58 @@
 """References to rows that don't exist (yet, or any more), kept as keyed pending state.
 
-State is two tables: ``parents`` (target_id, born, died: the earliest copy of each parent row) and ``refs`` (one row a
-reference, with the times at which it became an orphan, was resolved and was orphaned again). ``advance`` moves the
-state by one delivery of new references and parent rows: new references probe the parent index, arriving parents
-resolve the references that wait for them, deletions reopen resolved ones. Starting from nothing, one delivery with all
-rows is the batch report; many deliveries one after another end in the same state (tested), as every reference's times
-follow from its own arrival and its parent's life. ``snapshots`` counts, a table and month, references that arrived,
-that were orphans at once, and those pending at the month's end.
+State is two tables: ``parents`` (what is known of each parent's life) and ``refs`` (one row a reference, with the times at
+which it became an orphan, was resolved and was orphaned again). ``advance`` moves the state by one delivery of new
+references and parent rows: new references probe the parent index, arriving parents resolve the references that wait for
+them, deletions reopen resolved ones, also such as come with a later copy of the parent. Only references whose parent the
+delivery touches are judged anew. ``report`` runs all tables through deliveries by period of arrival; one delivery with all
+rows, or any other cut, ends in the same state (tested), as every reference's times follow from its own arrival and its
+parent's life. ``snapshots`` counts, a table and month, references that arrived, those that were orphans at once, and
+those pending at the month's end, quiet months included.
+
+Whether a reference is an orphan at once goes by its parent's earliest copy (its arrival, and the deletion it tells of). A
+deletion told by a later copy reopens references from the time it is known and done.
 
 Ids are compared in lower case without surrounding spaces; null and blank ids are no references; of repeated rows the
 earliest copy counts (at equal times the smallest row); referring rows without own id are each kept, with a null. Rows without arrived_at count as arrived before all others.
-Extra columns are ignored.
+Extra columns are ignored; empty tables have no references and resolve none.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerfspark.runtime import lookup
+from kerfspark.runtime import cut, forget, lookup
 
 DAWN = "0001-01-01 00:00:00"
+IDENTITY = ["ref_table", "ref_id", "kind", "target_id"]
+REFS = "ref_table string, ref_id string, kind string, target_id string, seen timestamp_ntz, orphaned_at timestamp_ntz, resolved_at timestamp_ntz, reopened_at timestamp_ntz"
+PARENTS = "target_id string, born timestamp_ntz, died timestamp_ntz, told timestamp_ntz"
 
 
 def key(c: str | Column) -> Column:
     """The id as it is compared, null if blank."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")), F.lit(""))
 
 
 def at(c: str) -> Column:
     return F.coalesce(F.col(c).cast("timestamp_ntz"), F.lit(DAWN).cast("timestamp_ntz"))
 
 
+def merged(parents: DataFrame) -> DataFrame:
+    """One row a parent: ``born`` and ``died`` of its earliest copy, ``told`` the first time a deletion is known and done."""
+    first = F.min(F.struct("born", "died")).alias("_first")
+    return parents.groupBy("target_id").agg(first, F.min("told").alias("told")).select("target_id", "_first.*", "told")
+
+
 def parent_rows(table: DataFrame, name: str) -> DataFrame:
-    """(target_id, born, died) of the earliest copy of each parent row."""
-    own = table.select(key(name).alias("target_id"), at("arrived_at").alias("born"), F.col("deleted_at").cast("timestamp_ntz").alias("died"))
-    return own.where(F.col("target_id").isNotNull()).groupBy("target_id").agg(F.min(F.struct("born", "died")).alias("_first")).select("target_id", "_first.*")
+    """(target_id, born, died, told) of each parent."""
+    died = F.col("deleted_at").cast("timestamp_ntz")
+    own = table.select(key(name).alias("target_id"), at("arrived_at").alias("born"), died.alias("died"), F.when(died.isNotNull(), F.greatest(died, at("arrived_at"))).alias("told"))
+    return merged(own.where(F.col("target_id").isNotNull()))
 
 
 def references(table: DataFrame, ref_table: str, ref_id: str, target: Column, kind: str) -> DataFrame:
@@ -48,22 +64,14 @@ def references(table: DataFrame, ref_table: str, ref_id: str, target: Column, ki
     return each.where(F.col("target_id").isNotNull()).select(F.lit(ref_table).alias("ref_table"), "ref_id", F.lit(kind).alias("kind"), "target_id", "seen")
 
 
-def judged(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def judged(refs: DataFrame, parents: DataFrame, at_most: int | None = None) -> DataFrame:
     """Probe: when each reference became an orphan, was resolved, and was orphaned (again)."""
-    met = lookup(refs.select("ref_table", "ref_id", "kind", "target_id", "seen"), parents, "target_id", "ref_id")
+    met = lookup(refs.select(*IDENTITY, "seen"), parents, "target_id", "ref_id", at_most=at_most)
     lives = (F.col("born") <= F.col("seen")) & (F.col("died").isNull() | (F.col("died") > F.col("seen")))
     at_once = ~F.coalesce(lives, F.lit(False))
     waits = at_once & (F.col("born") > F.col("seen")) & (F.col("died").isNull() | (F.col("died") > F.col("born")))
-    return met.select(
-        "ref_table",
-        "ref_id",
-        "kind",
-        "target_id",
-        "seen",
-        F.when(at_once, F.col("seen")).alias("orphaned_at"),
-        F.when(waits, F.col("born")).alias("resolved_at"),
-        F.when(~at_once | waits, F.col("died")).alias("reopened_at"),
-    )
+    gone = F.coalesce("died", F.greatest("told", "seen", "born"))
+    return met.select(*IDENTITY, "seen", F.when(at_once, F.col("seen")).alias("orphaned_at"), F.when(waits, F.col("born")).alias("resolved_at"), F.when((~at_once | waits) & F.col("told").isNotNull(), gone).alias("reopened_at"))
 
 
 def advance(state: tuple[DataFrame, DataFrame] | None, new_refs: DataFrame, new_parents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,13 +83,13 @@ def advance(state: tuple[DataFrame, DataFrame] | None, new_refs: DataFrame, new_
     if state is None:
         return judged(new_refs, new_parents), new_parents
     old_refs, old_parents = state
-    parents = old_parents.unionByName(new_parents).groupBy("target_id").agg(F.min(F.struct("born", "died")).alias("_first")).select("target_id", "_first.*")
+    parents = merged(old_parents.unionByName(new_parents))
     touched = old_refs.join(new_parents.select("target_id").distinct(), "target_id", "left_semi")
-    identity = ["ref_table", "ref_id", "kind", "target_id"]
-    anew = touched.select(*identity, "seen").unionByName(new_refs.select(*identity, "seen")).unionByName(old_refs.select(*identity, "seen").join(new_refs.select(*identity).distinct(), identity, "left_semi"))
-    anew = anew.groupBy(*identity).agg(F.min("seen").alias("seen"))
-    untouched = old_refs.join(new_parents.select("target_id").distinct(), "target_id", "left_anti").join(new_refs.select(*identity).distinct(), identity, "left_anti")
-    return untouched.select(*identity, "seen", "orphaned_at", "resolved_at", "reopened_at").unionByName(judged(anew, parents)), parents
+    again = old_refs.select(*IDENTITY, "seen").join(new_refs.select(*IDENTITY).distinct(), IDENTITY, "left_semi")
+    anew = touched.select(*IDENTITY, "seen").unionByName(new_refs.select(*IDENTITY, "seen")).unionByName(again)
+    anew = anew.groupBy(*IDENTITY).agg(F.min("seen").alias("seen"))
+    untouched = old_refs.join(new_parents.select("target_id").distinct(), "target_id", "left_anti").join(new_refs.select(*IDENTITY).distinct(), IDENTITY, "left_anti")
+    return untouched.select(*IDENTITY, "seen", "orphaned_at", "resolved_at", "reopened_at").unionByName(judged(anew, parents)), parents
 
 
 def found(refs: DataFrame) -> DataFrame:
@@ -89,12 +97,18 @@ def found(refs: DataFrame) -> DataFrame:
 
 
 def snapshots(refs: DataFrame) -> DataFrame:
-    """(ref_table, month, references, orphans, pending): of references by month of arrival, and those pending at the end of each month."""
-    event = lambda c, n, p: F.struct(F.date_format(F.trunc(c, "month"), "yyyy-MM").alias("month"), F.lit(n).alias("n"), F.when(F.col("orphaned_at").isNotNull() & (F.lit(c) == "seen"), 1).otherwise(0).alias("o"), F.lit(p).alias("p"), F.col(c).isNotNull().alias("ok"))
+    """(ref_table, month, references, orphans, pending): of references by month of arrival, and those pending at the end of each month, from a table's first month to its last."""
+    event = lambda c, n, p: F.struct(F.trunc(c, "month").alias("month"), F.lit(n).alias("n"), F.when(F.col("orphaned_at").isNotNull() & (F.lit(c) == "seen"), 1).otherwise(0).alias("o"), F.lit(p).alias("p"), F.col(c).isNotNull().alias("ok"))
     events = refs.select("ref_table", F.explode(F.array(event("seen", 1, 0), event("orphaned_at", 0, 1), event("resolved_at", 0, -1), event("reopened_at", 0, 1))).alias("e")).where("e.ok")
     months = events.groupBy("ref_table", F.col("e.month").alias("month")).agg(F.sum("e.n").alias("references"), F.sum("e.o").alias("orphans"), F.sum("e.p").alias("_change"))
     # one row a table and month from here on
-    return months.withColumn("pending", F.sum("_change").over(Window.partitionBy("ref_table").orderBy("month"))).drop("_change")
+    later = F.lead("month").over(Window.partitionBy("ref_table").orderBy("month"))
+    whole = months.withColumn("_next", F.coalesce(F.add_months(later, -1), F.col("month")))
+    filled = whole.withColumn("_m", F.explode(F.sequence("month", "_next", F.expr("interval 1 month"))))
+    quiet = F.col("_m") != F.col("month")
+    counted = [F.when(quiet, 0).otherwise(F.col(c)).alias(c) for c in ("references", "orphans", "_change")]
+    each = filled.select("ref_table", F.date_format("_m", "yyyy-MM").alias("month"), *counted)
+    return each.withColumn("pending", F.sum("_change").over(Window.partitionBy("ref_table").orderBy("month"))).drop("_change")
 
 
 def all_references(operations: DataFrame, panels: DataFrame, joins: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,9 +117,33 @@ def all_references(operations: DataFrame, panels: DataFrame, joins: DataFrame) -
     return to_features, references(joins, "join_hypotheses", "join_id", F.array("panel_a"), "panel")
 
 
-def report(operations: DataFrame, panels: DataFrame, joins: DataFrame, features: DataFrame, panel_refs: DataFrame) -> DataFrame:
-    """The reference state after one delivery of everything."""
+def deliveries(refs: DataFrame, parents: DataFrame, n: int) -> list[Column]:
+    """Conditions on a column ``_at`` that deal rows into so many periods of arrival, of about equally many references."""
+    ranks = [k / n for k in range(1, n)]
+    bounds = refs.agg(F.percentile_approx(F.col("seen").cast("timestamp").cast("double"), ranks, 1000).alias("b")).first()["b"] or []
+    moments = [F.timestamp_seconds(F.lit(b)).cast("timestamp_ntz") for b in bounds]
+    low = [None, *moments]
+    return [reduce(lambda a, c: a & c, [c for c in ((F.col("_at") > a) if a is not None else None, (F.col("_at") <= z) if z is not None else None) if c is not None], F.lit(True)) for a, z in zip(low, [*moments, None])]
+
+
+def followed(refs: DataFrame, parents: DataFrame, periods: int) -> DataFrame:
+    """The reference state after deliveries of references and parents in the order of their arrival."""
+    refs, parents = cut(refs), cut(parents)
+    state: tuple[DataFrame, DataFrame] | None = None
+    for when in deliveries(refs, parents, periods):
+        new_refs = refs.withColumn("_at", F.col("seen")).where(when).drop("_at")
+        new_parents = parents.withColumn("_at", F.col("born")).where(when).drop("_at")
+        fresh = tuple(cut(t) for t in advance(state, new_refs, new_parents))
+        forget(*(state or ()))
+        state = fresh
+    forget(refs, parents)
+    return state[0]
+
+
+def report(operations: DataFrame, panels: DataFrame, joins: DataFrame, features: DataFrame, panel_refs: DataFrame, periods: int = 3) -> DataFrame:
+    """The reference state of all tables after so many deliveries."""
     to_features, to_panels = all_references(operations, panels, joins)
-    one, _ = advance(None, to_features, parent_rows(features, "node_id"))
-    two, _ = advance(None, to_panels, parent_rows(panel_refs, "panel_id"))
-    return one.unionByName(two)
+    named = lambda kind, p: p.withColumn("target_id", F.concat(F.lit(kind), "target_id"))
+    refs = named("f:", to_features).unionByName(named("p:", to_panels))
+    parents = named("f:", parent_rows(features, "node_id")).unionByName(named("p:", parent_rows(panel_refs, "panel_id")))
+    return followed(refs, parents, periods).withColumn("target_id", F.substring("target_id", 3, 1 << 30))

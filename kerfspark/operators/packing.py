@@ -1,14 +1,17 @@
 """Many tiny files into few large blocks: indexed archive containers.
 
-A block holds the original bytes of many records one after another; the index has of each record its file's path, its
-line, block, offset, length and checksum, so that any record is read back by one ranged read and blocks are read in
-parallel. A record is a line that is complete JSON; records with equal values (whatever the order of keys, spacing,
-escapes or spelling of numbers) are stored once, the first by (file_id, line_no), and the others point at the kept one
-by content hash.
-
-Null and empty contents have no records; lines that aren't complete JSON (half-written ends, blank lines) are listed by
-``broken_lines`` and not packed; ties can't occur as (file_id, line_no) is unique, and were a file_id repeated, its
-equal lines would be equal records of which one stays. An empty table gives an empty index and no block.
+``index`` has a row for every line of every file: its file's path, its role, the block, offset and length of its bytes and
+their checksum. Blocks of kind ``records`` hold each record once, the first by (file_id, line_no): a record is a line that
+is complete JSON, and records with equal values (whatever the order of keys, spacing, escapes or spelling of numbers) are
+equal. The other copies are surplus: their rows point at the kept record (``kept_file_id``, ``kept_line_no``) and, where
+they are spelled as it is, at its very bytes. Bytes that are no record or spelled otherwise go to blocks of kind ``rest``,
+so that nothing is lost: ``rebuild`` gives every file back byte for byte, ``unpack`` the records, ``fetch`` any single line
+by one ranged read. Blocks are filled to about ``block_bytes`` each and can be read in parallel.
+
+Roles: ``record``, ``surplus``, ``broken`` (holds something, but no complete JSON), ``blank``. A null content is a file
+without lines, an empty one a file with one blank line. Records nested deeper than the JSON reader goes (some ten thousand
+levels) are broken lines. Ties can't occur as (file_id, line_no) is unique; were a file_id repeated, its equal lines
+would be equal records of which one stays. An empty table gives an empty index and no block. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,26 +26,51 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINE = "file_id bigint, folder string, file_name string, line_no bigint, length bigint, crc32 bigint, record_hash binary, bytes binary"
-#: Parts into which the copies of one record are dealt before the first of all is found.
-DEAL = 64
+from kerfspark.runtime import cut, lookup
+
+PLACE = "file_id bigint, path string, line_no bigint, n_lines bigint, length bigint, crc32 bigint, record_hash binary, byte_hash binary, is_blank boolean"
+BLOCK_BYTES, HELD_BYTES = 64 << 20, 16 << 20
+
+
+def spelled(number) -> str:
+    """One spelling of all equal numbers."""
+    d = Decimal(number)
+    if not d:
+        return "0"
+    sign, digits, exponent = d.as_tuple()
+    bare = "".join(map(str, digits)).lstrip("0")
+    short = bare.rstrip("0")
+    return f"{'-' * sign}{short}e{exponent + len(bare) - len(short)}"
 
 
 def canonical(value) -> str:
-    """One spelling for all equal values; strings, numbers, flags and null never mix."""
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{canonical(value[k])}" for k in sorted(value)) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, (Decimal, int)) and not isinstance(value, bool):
-        d = Decimal(value)
-        if not d:
-            return "0"
-        sign, digits, exponent = d.as_tuple()
-        bare = "".join(map(str, digits)).lstrip("0")
-        short = bare.rstrip("0")
-        return f"{'-' * sign}{short}e{exponent + len(bare) - len(short)}"
-    return json.dumps(value)
+    """One spelling for all equal values, without recursion; strings, numbers, flags and null never mix."""
+    out: list[str] = []
+    work: list = [value]
+    plain: list = [False]
+    while work:
+        value, is_text = work.pop(), plain.pop()
+        if is_text:
+            out.append(value)
+        elif isinstance(value, dict):
+            out.append("{")
+            work.append("}")
+            plain.append(True)
+            for k in sorted(value, reverse=True):
+                work += [",", value[k], f"{json.dumps(k)}:"]
+                plain += [True, False, True]
+        elif isinstance(value, list):
+            out.append("[")
+            work.append("]")
+            plain.append(True)
+            for v in reversed(value):
+                work += [",", v]
+                plain += [True, False]
+        elif isinstance(value, (Decimal, int)) and not isinstance(value, bool):
+            out.append(spelled(value))
+        else:
+            out.append(json.dumps(value))
+    return "".join(out)
 
 
 def record_hash(line: str) -> bytes | None:
@@ -53,80 +81,120 @@ def record_hash(line: str) -> bytes | None:
 
     try:
         value = json.loads(line, parse_float=Decimal, parse_int=Decimal, parse_constant=refuse)
+        spelling = canonical(value)
     except (ValueError, RecursionError, ArithmeticError):
         return None
-    return hashlib.blake2b(canonical(value).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return hashlib.blake2b(spelling.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
 
+def pieces(columns: str, row_of):
+    """A function of batches of files that hands on a row a line, in pieces of bounded bytes."""
+    names = [x.split()[0] for x in columns.split(", ")]
 
-def split_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in LINE.split(", ")]
-    for batch in batches:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
-        for file_id, folder, name, content in zip(batch["file_id"], batch["folder"], batch["file_name"], batch["content"]):
-            for i, line in enumerate((content or "").split("\n")):
-                raw = line.encode("utf-8")
-                rows.append((file_id, folder, name, i, len(raw), zlib.crc32(raw), record_hash(line.removeprefix("﻿")), raw))
-                held += len(raw)
-                if held > 32 << 20:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, held = [], 0
+        for batch in batches:
+            for file_id, path, content in zip(batch["file_id"], batch["path"], batch["content"]):
+                lines = content.split("\n")
+                for i, line in enumerate(lines):
+                    rows.append(row_of(file_id, path, i, len(lines), line))
+                    held += len(line) + 200
+                    if held > HELD_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
         yield pd.DataFrame(rows, columns=names)
 
+    return run
 
-def lines(files: DataFrame) -> DataFrame:
-    return files.select("file_id", "folder", "file_name", "content").where(F.col("content").isNotNull()).mapInPandas(split_lines, LINE)
 
+def place(file_id, path, i: int, n: int, line: str) -> tuple:
+    raw = line.encode("utf-8")
+    return file_id, path, i, n, len(raw), zlib.crc32(raw), record_hash(line.removeprefix("﻿")), hashlib.blake2b(raw, digest_size=16).digest(), not line.strip()
 
-def marked(files: DataFrame, *keep: str) -> DataFrame:
-    """Each record's place and whether it is the first of its equals. A record's copies are dealt into parts, whose firsts then meet."""
-    records = lines(files).where(F.col("record_hash").isNotNull()).select("file_id", "line_no", "record_hash", *keep)
-    order = ("file_id", "line_no")
-    part = Window.partitionBy("record_hash", F.pmod(F.xxhash64("file_id"), F.lit(DEAL))).orderBy(*order)
-    dealt = records.withColumn("_part_first", F.row_number().over(part) == 1)
-    rest = Window.partitionBy("record_hash", F.when(F.col("_part_first"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("file_id"), F.lit(DEAL)))).orderBy(*order)
-    return dealt.withColumn("is_first", F.col("_part_first") & (F.row_number().over(rest) == 1)).drop("_part_first")
+
+def content_of(files: DataFrame) -> DataFrame:
+    path = F.concat_ws("/", F.coalesce("folder", F.lit("")), F.coalesce("file_name", F.lit("")))
+    return files.select("file_id", path.alias("path"), "content").where(F.col("content").isNotNull())
+
+
+def index(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row a line: file_id, path, line_no, n_lines, role, kept_file_id, kept_line_no, kind, block_id, offset, length, crc32.
+
+    No bytes are shuffled for it. The first of equal records is found by an aggregation, and comes back to its copies by a
+    join that stands a record written over and over; offsets are running sums within a block.
+    """
+    every = cut(content_of(files).mapInPandas(pieces(PLACE, place), PLACE))
+    records = every.where(F.col("record_hash").isNotNull())
+    first = F.min(F.struct("file_id", "line_no", "byte_hash")).alias("_first")
+    firsts = cut(records.groupBy("record_hash").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = lookup(every, firsts.select("record_hash", "_first"), "record_hash", "file_id", counts=firsts.select("record_hash", "n"))
+    kept = (F.col("_first").isNull()) | ((F.col("_first.file_id") == F.col("file_id")) & (F.col("_first.line_no") == F.col("line_no")))
+    role = F.when(F.col("record_hash").isNotNull(), F.when(kept, "record").otherwise("surplus")).when(F.col("is_blank"), "blank").otherwise("broken")
+    same = (role == "surplus") & (F.col("_first.byte_hash") == F.col("byte_hash"))
+    judged = cut(met.select(*[c for c in every.columns if c not in ("record_hash", "byte_hash", "is_blank")], role.alias("role"), F.when(role == "surplus", F.col("_first.file_id")).alias("kept_file_id"), F.when(role == "surplus", F.col("_first.line_no")).alias("kept_line_no"), same.alias("_same")))
+    stored = judged.where((F.col("length") > 0) & ~F.col("_same")).select("file_id", "line_no", "length", F.when(F.col("role") == "record", "records").otherwise("rest").alias("kind"))
+    sizes = {r["kind"]: r["b"] for r in stored.groupBy("kind").agg(F.sum("length").alias("b")).collect()}
+    n = F.when(F.col("kind") == "records", max(1, -(-sizes.get("records", 0) // block_bytes))).otherwise(max(1, -(-sizes.get("rest", 0) // block_bytes)))
+    dealt = stored.withColumn("block_id", F.pmod(F.xxhash64("file_id"), n))
+    before = Window.partitionBy("kind", "block_id").orderBy("file_id", "line_no").rowsBetween(Window.unboundedPreceding, -1)
+    at = cut(dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("length"))
+    own = judged.join(at, ["file_id", "line_no"], "left")
+    # surplus lines spelled as the kept record have its bytes
+    there = at.select(F.col("file_id").alias("kept_file_id"), F.col("line_no").alias("kept_line_no"), F.col("kind").alias("_k"), F.col("block_id").alias("_b"), F.col("offset").alias("_o"))
+    copies = judged.where("_same").groupBy("kept_file_id", "kept_line_no").agg(F.count(F.lit(1)).alias("n"))
+    key = F.concat_ws(":", "kept_file_id", "kept_line_no").alias("_key")
+    there = there.join(copies, ["kept_file_id", "kept_line_no"]).select(key, "_k", "_b", "_o", "n")
+    shared = lookup(own.where("_same").withColumn("_key", key), there.drop("n"), "_key", "file_id", counts=there.select("_key", "n"))
+    lone = own.where(~F.col("_same")).select("*", F.lit(None).cast("string").alias("_k"), F.lit(None).cast("bigint").alias("_b"), F.lit(None).cast("bigint").alias("_o"))
+    both = lone.unionByName(shared.drop("_key"))
+    return both.select("file_id", "path", "line_no", "n_lines", "role", "kept_file_id", "kept_line_no", F.coalesce("kind", "_k").alias("kind"), F.coalesce("block_id", "_b").alias("block_id"), F.coalesce("offset", "_o").alias("offset"), "length", "crc32")
 
 
 def surplus_records(files: DataFrame) -> DataFrame:
-    """(file_id, line_no) of the records left out of the containers."""
-    return marked(files).where(~F.col("is_first")).select("file_id", "line_no")
+    """(file_id, line_no) of the records left out, from the index of the containers."""
+    return index(files).where("role = 'surplus'").select("file_id", "line_no")
 
 
 def broken_lines(files: DataFrame) -> DataFrame:
-    """Lines that hold something but no complete record."""
-    return lines(files).where(F.col("record_hash").isNull() & (F.trim(F.col("bytes").cast("string")) != "")).select("file_id", "line_no", "length", "crc32")
-
+    """Lines that hold something but no complete record, and where their bytes are."""
+    return index(files).where("role = 'broken'").select("file_id", "line_no", "length", "crc32", "kind", "block_id", "offset")
 
-def blocks(files: DataFrame, block_bytes: int = 64 << 20) -> DataFrame:
-    """The containers: block_id, data and index (an array of places in data). Of each record one copy, in order of file_id and line_no within a block.
 
-    Records are dealt into as many blocks as their bytes fill on average, by hash, so no block is much larger than block_bytes; one
-    aggregation of the lengths tells their number.
-    """
-    kept = marked(files, "folder", "file_name", "length", "crc32", "bytes").where("is_first")
-    total = files.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("b")).first()["b"]
-    n = max(1, -(-total // block_bytes))
-    dealt = kept.withColumn("block_id", F.pmod(F.xxhash64("file_id"), F.lit(n)))
+def blocks(files: DataFrame, places: DataFrame) -> DataFrame:
+    """(kind, block_id, records, bytes, crc32, data): the containers of an ``index``, each put together in one task from its lines' bytes."""
+    line = "file_id bigint, line_no bigint, bytes binary"
+    raw = content_of(files).mapInPandas(pieces(line, lambda file_id, path, i, n, text: (file_id, i, text.encode("utf-8"))), line)
+    own = places.where("kind is not null and (role <> 'surplus' or kind = 'rest')").select("file_id", "line_no", "kind", "block_id", "offset")
 
     def pack(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["file_id", "line_no"])
-        offset = batch["length"].cumsum() - batch["length"]
-        index = [
-            {"file_id": int(f), "path": f"{d or ''}/{m or ''}", "line_no": int(i), "offset": int(o), "length": int(n), "crc32": int(c)}
-            for f, d, m, i, o, n, c in zip(batch["file_id"], batch["folder"], batch["file_name"], batch["line_no"], offset, batch["length"], batch["crc32"])
-        ]
-        return pd.DataFrame([{"block_id": int(batch["block_id"].iloc[0]), "data": b"".join(batch["bytes"]), "index": index}])
+        data = b"".join(batch.sort_values("offset")["bytes"])
+        return pd.DataFrame([(batch["kind"].iloc[0], int(batch["block_id"].iloc[0]), len(batch), len(data), zlib.crc32(data), data)], columns=["kind", "block_id", "records", "bytes", "crc32", "data"])
+
+    return raw.join(own, ["file_id", "line_no"]).groupBy("kind", "block_id").applyInPandas(pack, "kind string, block_id bigint, records bigint, bytes bigint, crc32 bigint, data binary")
+
+
+def write(files: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> None:
+    """The containers and their index as tables under a folder: a file a block."""
+    places = cut(index(files, block_bytes))
+    packed = blocks(files, places)
+    packed.write.mode("errorifexists").partitionBy("kind").parquet(f"{folder}/blocks")
+    places.write.mode("errorifexists").parquet(f"{folder}/index")
+
 
-    shape = "block_id bigint, data binary, index array<struct<file_id:bigint,path:string,line_no:bigint,offset:bigint,length:bigint,crc32:bigint>>"
-    return dealt.groupBy("block_id").applyInPandas(pack, shape)
+def fetch(packed: DataFrame, places: DataFrame) -> DataFrame:
+    """(file_id, path, line_no, n_lines, role, line, intact): ranged reads of the index's rows, with the checksum looked at again."""
+    raw = F.when(F.col("length") == 0, F.lit(b"")).otherwise(F.expr("substring(data, cast(offset as int) + 1, cast(length as int))"))
+    met = places.join(packed.select("kind", "block_id", "data"), ["kind", "block_id"], "left")
+    return met.select("file_id", "path", "line_no", "n_lines", "role", raw.alias("line"), (F.crc32(raw) == F.col("crc32")).alias("intact"))
 
 
-def block_index(packed: DataFrame) -> DataFrame:
-    return packed.select("block_id", F.explode("index").alias("_i")).select("block_id", "_i.*")
+def unpack(packed: DataFrame, places: DataFrame) -> DataFrame:
+    """Each record once."""
+    return fetch(packed, places.where("role = 'record'")).select("file_id", "path", "line_no", F.col("line").cast("string").alias("record"), "intact")
 
 
-def unpack(packed: DataFrame) -> DataFrame:
-    """The records back from the containers, with the checksum looked at again."""
-    each = packed.select("block_id", "data", F.explode("index").alias("_i"))
-    raw = F.expr("substring(data, cast(_i.offset as int) + 1, cast(_i.length as int))")
-    return each.select("_i.file_id", "_i.path", "_i.line_no", raw.cast("string").alias("record"), (F.crc32(raw) == F.col("_i.crc32")).alias("intact"))
+def rebuild(packed: DataFrame, places: DataFrame) -> DataFrame:
+    """(file_id, path, content, intact): every file with content, byte for byte. A file's lines meet in one row, as they did in the file."""
+    each = fetch(packed, places)
+    by = each.groupBy("file_id").agg(F.first("path").alias("path"), F.sort_array(F.collect_list(F.struct("line_no", F.col("line").cast("string").alias("t")))).alias("_l"), F.min("intact").alias("intact"), F.first("n_lines").alias("_n"))
+    return by.select("file_id", "path", F.array_join(F.col("_l")["t"], "\n").alias("content"), (F.col("intact") & (F.size("_l") == F.col("_n"))).alias("intact"))

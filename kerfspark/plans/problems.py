@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerfspark.operators import nested, orphans, packing, units
-from kerfspark.runtime import table
+from kerfspark.runtime import cut, table
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    files = table(s, d, "sample_files")
+    return packing.blocks(files, cut(packing.index(files)))
+
+
+def _rebuilt(s: SparkSession, d: str) -> DataFrame:
+    """Every file out of the containers beside what it was."""
+    files = table(s, d, "sample_files")
+    places = cut(packing.index(files))
+    back = packing.rebuild(packing.blocks(files, places), places)
+    was = files.where("content is not null").select("file_id", F.md5("content").alias("_was"))
+    return back.join(was, "file_id", "full").select("file_id", "path", F.md5("content").alias("md5"), F.coalesce(F.col("intact") & (F.md5("content") == F.col("_was")), F.lit(False)).alias("equal"))
 
 
 def _orphans(s: SparkSession, d: str) -> DataFrame:
@@ -23,9 +37,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_vertices": lambda s, d: nested.vertices(table(s, d, "graph_docs")),
     "p2_hypotheses": lambda s, d: nested.hypotheses(table(s, d, "graph_docs")),
     "p2_evidence": lambda s, d: nested.evidence(table(s, d, "graph_docs")),
+    "p2_geometry": lambda s, d: nested.geometry_table(table(s, d, "graph_docs")),
+    "p2_features": lambda s, d: nested.feature_table(table(s, d, "graph_docs")),
+    "p2_variants": lambda s, d: nested.variant_table(table(s, d, "graph_docs")),
     "p6_found": lambda s, d: packing.surplus_records(table(s, d, "sample_files")),
-    "p6_index": lambda s, d: packing.block_index(packing.blocks(table(s, d, "sample_files"))),
-    "p6_blocks": lambda s, d: packing.blocks(table(s, d, "sample_files")).select("block_id", F.size("index").alias("records"), F.octet_length("data").alias("bytes"), F.crc32("data").alias("crc32"), "data"),
+    "p6_index": lambda s, d: packing.index(table(s, d, "sample_files")),
+    "p6_blocks": _blocks,
+    "p6_rebuilt": _rebuilt,
     "p6_broken": lambda s, d: packing.broken_lines(table(s, d, "sample_files")),
     "p7_found": lambda s, d: orphans.found(_orphans(s, d)),
     "p7_months": lambda s, d: orphans.snapshots(_orphans(s, d)),
@@ -40,14 +58,20 @@ with refs as (
   union select 'join_hypotheses', join_id, lower(trim(panel_a)), arrived_at, 'p'
   from (select join_id, min(arrived_at) arrived_at, arg_min(panel_a, arrived_at) panel_a from join_hypotheses where panel_a is not null group by 1)),
 parents as (
-  select 'f' kind, lower(trim(node_id)) target_id, min(arrived_at) born, arg_min(deleted_at, arrived_at) filter (true) died0,
-         min(struct_pack(a := arrived_at, d := deleted_at)).d died from feature_nodes group by 2
-  union all select 'p', lower(trim(panel_id)), min(arrived_at), null, min(struct_pack(a := arrived_at, d := deleted_at)).d from panel_refs group by 2),
+  select kind, lower(trim(id)) target_id, min(arrived_at) born, min(struct_pack(a := arrived_at, d := deleted_at)).d died, min(greatest(deleted_at, arrived_at)) filter (deleted_at is not null) told
+  from (select 'f' kind, node_id id, arrived_at, deleted_at from feature_nodes union all select 'p', panel_id, arrived_at, deleted_at from panel_refs) group by 1, 2),
 judged as (
-  select r.*, coalesce(p.born <= r.seen and (p.died is null or p.died > r.seen), false) live
+  select r.*, born, died, told, coalesce(p.born <= r.seen and (p.died is null or p.died > r.seen), false) live
   from refs r left join parents p using (kind, target_id) where r.target_id <> '')
 """
 
 ORACLE: dict[str, str] = {
     "p7_found": _REFERENCES + "select distinct ref_table, ref_id, target_id from judged where not live",
+    "p7_months": _REFERENCES
+    + """, t as (select *, not live and born > seen and (died is null or died > born) waits from judged),
+e as (select ref_table, date_trunc('month', seen) m, 1 n, (not live)::int o, (not live)::int c from t union all select ref_table, date_trunc('month', born), 0, 0, -1 from t where waits
+  union all select ref_table, date_trunc('month', coalesce(died, greatest(told, seen, born))), 0, 0, 1 from t where (live or waits) and told is not null),
+b as (select ref_table, unnest(generate_series(min(m), max(m), interval 1 month)) m from e group by 1),
+s as (select b.ref_table, b.m, coalesce(sum(n), 0)::bigint n, coalesce(sum(o), 0)::bigint o, coalesce(sum(c), 0)::bigint c from b left join e on b.ref_table = e.ref_table and b.m = e.m group by 1, 2)
+select ref_table, strftime(m, '%Y-%m') as "month", n as "references", o orphans, sum(c) over (partition by ref_table order by m)::bigint pending from s""",
 }

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -6,7 +6,7 @@ from kerfspark.operators import orphans
 
 
 def day(n):
-    return datetime(2024, 1, 1 + n) if n is not None else None
+    return datetime(2024, 1, 1) + timedelta(days=n) if n is not None else None
 
 
 def refs(spark, rows):
@@ -41,6 +41,35 @@ def test_deliveries_end_alike(spark):
     assert key(state[0]) == key(whole)
 
 
+def test_late_deletion_reopens(spark):
+    """A parent delivered alive and then, later, deleted."""
+    state = orphans.advance(None, refs(spark, [("a", ["f"], 2)]), parents(spark, [("f", 1, None)]))
+    assert orphans.found(state[0]).count() == 0
+    state = orphans.advance(state, refs(spark, []), parents(spark, [("f", 9, 7)]))
+    r = state[0].first()
+    assert (r.orphaned_at, r.reopened_at) == (None, day(9))
+    once, _ = orphans.advance(None, refs(spark, [("a", ["f"], 2)]), parents(spark, [("f", 1, None), ("f", 9, 7)]))
+    assert once.first() == r
+
+
+def test_followed(spark):
+    """Deliveries by period of arrival end as one delivery does."""
+    pr = [(f"f{i}", i % 9, (i % 9) + 3 if i % 4 == 0 else None) for i in range(30)]
+    rr = [(f"r{i}", [f"f{(i * 7) % 40}", f"F{i % 35} "], i % 10) for i in range(60)]
+    whole, _ = orphans.advance(None, refs(spark, rr), parents(spark, pr))
+    key = lambda d: sorted(map(str, d.select("ref_id", "target_id", "seen", "orphaned_at", "resolved_at", "reopened_at").collect()))
+    for periods in (1, 2, 5):
+        assert key(orphans.followed(refs(spark, rr), parents(spark, pr), periods)) == key(whole)
+    assert orphans.followed(refs(spark, []), parents(spark, []), 3).count() == 0
+
+
+def test_quiet_months(spark):
+    rows = [("a", ["x"], 0), ("b", ["y"], 0)]
+    r, _ = orphans.advance(None, refs(spark, rows), parents(spark, [("x", 100, None)]))
+    s = sorted((x.month, x.references, x.orphans, x.pending) for x in orphans.snapshots(r).collect())
+    assert s == [("2024-01", 2, 2, 2), ("2024-02", 0, 0, 2), ("2024-03", 0, 0, 2), ("2024-04", 0, 0, 1)]
+
+
 def test_snapshots(spark):
     r, _ = orphans.advance(None, refs(spark, [("a", ["x"], 0), ("b", ["y"], 1)]), parents(spark, [("x", 20, 25)]))
     s = orphans.snapshots(r).collect()

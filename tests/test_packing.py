@@ -1,6 +1,7 @@
 import json
 
 from kerfspark.operators import packing
+from kerfspark.runtime import cut
 
 FILES = "file_id bigint, folder string, file_name string, content string, sample_id string, line_no string"
 
@@ -31,13 +32,43 @@ def test_broken_null_empty(spark):
 
 
 def test_round_trip(spark):
+    """Files come back byte for byte, each record once, and every line by a ranged read; copies point at the kept record."""
     texts = [json.dumps({"sample_id": f"s{i % 7}", "v": "é" * (i % 5)}) for i in range(60)] + [json.dumps({"long": "x" * 300_000})]
-    f = files(spark, *["\n".join(texts[i : i + 3]) for i in range(0, 61, 3)])
-    packed = packing.blocks(f, block_bytes=2_000)
-    back = packing.unpack(packed).collect()
-    assert all(r.intact for r in back)
-    assert sorted(r.record for r in back) == sorted(set(texts))
-    assert packing.block_index(packed).count() == len(set(texts))
+    odd = ["", None, "\r\n\r\n", '{"half": ', texts[0].replace(": ", ":"), texts[3] + "\n", "  \n" + texts[5] + "\r\n\ttrailing"]
+    contents = ["\n".join(texts[i : i + 3]) for i in range(0, 61, 3)] + odd
+    f = files(spark, *contents)
+    places = cut(packing.index(f, block_bytes=2_000))
+    packed = cut(packing.blocks(f, places))
+    back = packing.unpack(packed, places).collect()
+    assert all(r.intact for r in back) and sorted(r.record for r in back) == sorted([*{t for t in texts}])
+    again = {r.file_id: (r.content, r.intact) for r in packing.rebuild(packed, places).collect()}
+    assert again == {i: (c, True) for i, c in enumerate(contents) if c is not None}
+    rows = {(r.file_id, r.line_no): r for r in places.collect()}
+    assert len(rows) == sum(len(c.split("\n")) for c in contents if c is not None)
+    kept = {k for k, r in rows.items() if r.role == "record"}
+    assert all((r.kept_file_id, r.kept_line_no) in kept for r in rows.values() if r.role == "surplus")
+    other = next(r for k, r in rows.items() if k == (25, 0))
+    assert other.role == "surplus" and other.kind == "rest", "another spelling keeps its own bytes"
+    total = sum(r.bytes for r in packed.collect())
+    assert packed.where("kind = 'records'").count() > 1 and total == sum(r.length for k, r in rows.items() if r.role != "surplus" or r.kind == "rest")
+
+
+def test_write(spark, tmp_path):
+    f = files(spark, '{"a": 1}\n{"a": 2}', '{"a":1}', "junk")
+    packing.write(f, str(tmp_path))
+    packed, places = spark.read.parquet(f"{tmp_path}/blocks"), spark.read.parquet(f"{tmp_path}/index")
+    assert {r.file_id: r.content for r in packing.rebuild(packed, places).collect()} == {0: '{"a": 1}\n{"a": 2}', 1: '{"a":1}', 2: "junk"}
+
+
+def test_deep(spark):
+    deep = lambda n: '{"a":' + "[" * n + "]" * n + "}"
+    assert surplus(spark, deep(600), deep(600), deep(3000), deep(10**6)) in ([(1, 0)],)
+
+
+def test_empty_index(spark):
+    none = spark.createDataFrame([], FILES)
+    places = packing.index(none)
+    assert places.count() == 0 and packing.blocks(none, places).count() == 0
 
 
 def test_hot_record(spark):

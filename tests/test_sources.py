@@ -57,7 +57,11 @@ def test_stream_of_references(spark, tmp_path):
     refs.write.parquet(str(tmp_path / "in"))
     q = spark.readStream.schema(refs.schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(m.on_references).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
-    m.on_parents(spark.createDataFrame([("x", day(1), None), ("y", day(5), day(9))], "target_id string, born timestamp_ntz, died timestamp_ntz"), 0)
+    m.on_parents(spark.createDataFrame([("x", day(1), None), ("y", day(5), day(9))], "target_id string, born timestamp_ntz, died timestamp_ntz").withColumn("told", F.col("died")), 0)
+    m.on_references(refs, 1)  # a batch that runs again
+    assert m.refs.count() == 2
+    again = OrphanMonitor(spark, m.folder)
+    assert again.version == m.version == 3 and sorted(map(str, again.refs.collect())) == sorted(map(str, m.refs.collect()))
     got = {r.ref_id: (r.orphaned_at, r.resolved_at, r.reopened_at) for r in m.refs.collect()}
     assert got == {"a": (None, None, None), "b": (day(3), day(5), day(9))}
 
