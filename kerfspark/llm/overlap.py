@@ -60,14 +60,14 @@ def bands(c: DataFrame) -> DataFrame:
     class's features stay in its partition, so that nothing is shuffled for the least hashes.
     """
     at = lambda x, cell: F.floor(x / cell + F.col("_b") / BANDS)
-    own = ["kind", "w", "h", "t", "n", "in_train", "in_eval"]
-    dealt = c.withColumn("n", F.size("f")).repartition("content")
+    own = ["_kind", "w", "h", "t", "n", "in_train", "in_eval"]
+    dealt = c.withColumns({"n": F.size("f"), "_kind": F.xxhash64("kind")}).repartition("content")
     placed = dealt.select("content", *own, F.explode("f").alias("_f")).where("_f.c is not null and _f.x is not null and _f.y is not null")
     each = placed.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
     hashed = each.withColumn("_h", F.xxhash64("_b", "_f.c", at(F.col("_f.x"), CELL_MM), at(F.col("_f.y"), CELL_MM)))
     masks = [F.lit((r * 0x5851F42D4C957F2D) % 2**63) for r in range(ROWS)]
-    least = hashed.groupBy("content", "_b").agg(*[F.first(x).alias(x) for x in own], *[F.min(F.col("_h").bitwiseXOR(m)).alias(f"_h{r}") for r, m in enumerate(masks)])
-    bucket = F.xxhash64("_b", "kind", at(F.col("w"), PANEL_CELL_MM), at(F.col("h"), PANEL_CELL_MM), *[f"_h{r}" for r in range(ROWS)])
+    least = hashed.groupBy("content", "_b", *own).agg(*[F.min(F.col("_h").bitwiseXOR(m)).alias(f"_h{r}") for r, m in enumerate(masks)])
+    bucket = F.xxhash64("_b", "_kind", at(F.col("w"), PANEL_CELL_MM), at(F.col("h"), PANEL_CELL_MM), *[f"_h{r}" for r in range(ROWS)])
     return least.select("content", bucket.alias("bucket"), *own[1:])
 
 
