@@ -1,7 +1,6 @@
 """Ids of every text in a public byte-level vocabulary, by a table of distinct words.
 
-Texts are split in Spark, once, by the vocabulary's own word pattern into a written table; each distinct word is encoded
-once; the ids come back to their places by a join. Words with at least 1/FREQUENT of all places (so at most FREQUENT words,
+Texts are split in Spark by the vocabulary's own word pattern into a written table; each distinct word is encoded once; the ids come back to their places by a join. Words with at least 1/FREQUENT of all places (so at most FREQUENT words,
 of at most LONGEST characters: a bounded table) are broadcast, which serves nearly all places without a shuffle; the rest
 meet the word table in a shuffled join, whose frequent words are dealt into parts.
 
@@ -17,7 +16,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerfspark.runtime import cut, lookup
@@ -39,8 +38,12 @@ def encoder(path: str):
 
 
 def split(documents: DataFrame) -> DataFrame:
-    """(_row, doc_id, words): a written table, so that a row's number stays what it is when a task runs again."""
-    return cut(documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")))
+    """(_row, doc_id, text, words): a written table, so that a row's number stays what it is when a task runs again."""
+    return cut(documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", words().alias("words")))
+
+
+def words() -> Column:
+    return F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
 
 
 def word_table(places: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -58,7 +61,7 @@ def word_table(places: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids)
 
-    The words are dealt by row once; the frequent words' ids then come to their places and back into their text
+    The texts are dealt by row once (whole: they are a third of the size of their words); the frequent words' ids then come to their places and back into their text
     without another shuffle, and only the places of the rest are shuffled.
     """
     texts = split(documents)
@@ -66,7 +69,7 @@ def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     total = F.broadcast(distinct.agg(F.sum("n").alias("_total")))
     common = cut(distinct.join(total, F.col("n") * FREQUENT >= F.col("_total")).where(F.length("word") <= LONGEST).select("word", "ids"))
     frequent = F.broadcast(common)
-    spots = texts.repartition("_row").select("_row", "doc_id", F.posexplode_outer("words").alias("pos", "word"))
+    spots = texts.select("_row", "doc_id", "text").repartition("_row").select("_row", "doc_id", F.posexplode_outer(words()).alias("pos", "word"))
     near = spots.join(frequent, "word", "left").groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("_near"))
     rare = cut(distinct.join(F.broadcast(common.select("word")), "word", "left_anti"))
     missed = texts.select("_row", F.posexplode("words").alias("pos", "word")).join(F.broadcast(common.select("word")), "word", "left_anti")
