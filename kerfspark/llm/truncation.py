@@ -11,9 +11,10 @@ that is opened at the start and not closed at the end, count in favour of a cut.
 
 Only contexts that some text ends in are counted: their hashes are set in a bit field of bounded size that the counting
 tasks hold, and what passes it by chance finds no partner in the join. A text shorter than the longest context is judged
-by the contexts it has, its beginning being part of them, and needs more evidence: such short cuts are rare.
+by the contexts it has, its beginning being part of them; it needs more evidence, as such short cuts are rare, and other
+texts of the very same words speak for a whole one.
 
-Null, empty and blank texts, and rows without doc_id, are never cut. Repeated texts train the model once and are each judged. Null sources and
+Null, empty and blank texts, and rows without doc_id, are never cut. Repeated texts train the model once (short ones without a mark each time) and are each judged. Null sources and
 languages form groups of their own; languages are compared by their first two letters. Very long texts are read whole. An
 empty table gives no rows. Extra columns are ignored.
 """
@@ -21,6 +22,7 @@ empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,8 +32,8 @@ from pyspark.sql.types import ArrayType, LongType
 
 from kerfspark.runtime import cut, forget, lookup
 
-#: Lengths of contexts; characters that are folded and counted at a time.
-ORDERS, CHUNK = (1, 2, 3, 4, 6, 9), 2_000_000
+#: Lengths of contexts; characters that are counted at a time, and hashed at a time (what the processor's cache holds).
+ORDERS, CHUNK, BLOCK = (1, 2, 3, 4, 6, 9), 2_000_000, 1 << 15
 #: Weight of the shorter context in the estimate of the next longer one.
 BACKOFF = 2.0
 #: Log-odds of an unambiguous mark, of unclosed markup, and of a mark that authors also write themselves.
@@ -49,7 +51,9 @@ LEAST, MOST = 0.0005, 0.95
 
 # Marks added at a cut, ends of sentences, characters that may follow them.
 MARKS = r"(?:\[\s*(?:\.\.\.|…|truncated|cut|more|gekürzt|abgeschnitten|tronqué|cortado)\s*\]|\((?:\.\.\.|…|truncated|cut|more)\)|<(?:truncated|cut|snip)>|�+|(?i:\bread more)|\[\+\d+ (?:chars|more)\])"
+MARK_ENDS = "])>�eE"
 WHITE = r"[\s\x{85}\p{Z}\x{feff}]"
+WHITES = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 STOPS = ".!?。！？"
 CLOSERS = ")]\"'”’»<"
 SPACES = " \t\n\r  　"
@@ -64,7 +68,15 @@ def fold(text: np.ndarray) -> np.ndarray:
 
 
 def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+@lru_cache
+def among(characters: str) -> np.ndarray:
+    """A table that tells of each code point whether it is one of these."""
+    out = np.zeros(0x110000, dtype=bool)
+    out[codes(characters)] = True
+    return out
 
 
 def _mix(x: np.ndarray, order: int) -> np.ndarray:
@@ -77,12 +89,13 @@ def _mix(x: np.ndarray, order: int) -> np.ndarray:
 def contexts(folded: np.ndarray) -> list[np.ndarray]:
     """For each order, the hash of the context that ends at each place; the sequence begins with enough zeros."""
     base, out = np.uint64(0x100000001B3), []
+    folded = folded.astype(np.uint64) + np.uint64(1)
     h = np.zeros(len(folded), dtype=np.uint64)
     power = np.uint64(1)
     with np.errstate(over="ignore"):
         for n in range(1, max(ORDERS) + 1):
-            shifted = np.concatenate([np.zeros(n - 1, dtype=np.uint64), folded[: len(folded) - n + 1]]) if n > 1 else folded
-            h = h + (shifted + np.uint64(1)) * power
+            h[n - 1 :] += folded[: len(folded) - n + 1] * power
+            h[: n - 1] += power
             power = power * base
             if n in ORDERS:
                 out.append(_mix(h, n))
@@ -98,12 +111,12 @@ def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = codes(gap + gap.join(texts) + gap)
     f = fold(raw)
     after, later = np.append(raw[1:], 0), np.append(raw[2:], [0, 0])
-    stop = np.isin(raw, codes(STOPS))
-    space, closer = np.isin(after, codes(SPACES)), np.isin(after, codes(CLOSERS))
-    ends_here = (stop | (np.isin(raw, codes(CLOSERS)) & np.append(False, stop[:-1]))) & (space | closer)
-    stop_next = np.isin(after, codes(STOPS)) & np.isin(later, codes(SPACES + CLOSERS + "\0")) & ~stop
-    wide_stop = np.isin(raw, codes("。！？")) | np.isin(after, codes("。！？"))
-    end = (np.isin(after, codes("\n\r")) | ends_here | stop_next | wide_stop) & (after != 0)
+    stop = among(STOPS)[raw]
+    space, closer = among(SPACES)[after], among(CLOSERS)[after]
+    ends_here = (stop | (among(CLOSERS)[raw] & np.append(False, stop[:-1]))) & (space | closer)
+    stop_next = among(STOPS)[after] & among(SPACES + CLOSERS + "\0")[later] & ~stop
+    wide_stop = among("。！？")[raw] | among("。！？")[after]
+    end = (among("\n\r")[after] | ends_here | stop_next | wide_stop) & (after != 0)
     keep = ~((f == 48) & (np.append(f[1:], 0) == 48))
     return f[keep], end[keep]
 
@@ -124,14 +137,22 @@ def counter(size: int, shared):
 
     def chunk(texts: list[str]) -> Iterator[pd.DataFrame]:
         f, e = places(texts)
-        real = f != 0
-        field = shared.value
-        for h in contexts(f):
-            h, ends = h[real], e[real]
-            bit = h & np.int64(size - 1)
-            hit = (field[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) != 0
-            keys, at = np.unique(h[hit], return_inverse=True)
-            yield pd.DataFrame({"context": keys, "n": np.bincount(at, minlength=len(keys)), "ends": np.bincount(at, weights=ends[hit], minlength=len(keys)).astype("int64")})
+        field, reach = shared.value, max(ORDERS) - 1
+        every, final = [], []
+        for start in range(0, len(f), BLOCK):
+            before = min(start, reach)
+            real, ends = f[start : start + BLOCK] != 0, e[start : start + BLOCK]
+            for h in contexts(f[start - before : start + BLOCK]):
+                h = h[before:]
+                bit = h & np.int64(size - 1)
+                hit = real & ((field[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) != 0)
+                every.append(h[hit])
+                final.append(h[hit & ends])
+        keys, n = np.unique(np.concatenate(every), return_counts=True)
+        ended, times = np.unique(np.concatenate(final), return_counts=True)
+        ends = np.zeros(len(keys), dtype="int64")
+        ends[np.searchsorted(keys, ended)] = times
+        yield pd.DataFrame({"context": keys, "n": n, "ends": ends})
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[str] = []
@@ -169,14 +190,17 @@ def last_contexts(bodies: pd.Series) -> pd.Series:
 
 def bodies(documents: DataFrame) -> DataFrame:
     """doc_id, source, lang, body (text without white space and marks at its end), extra (log-odds of marks and markup), chars and bytes."""
-    text = F.regexp_replace("text", WHITE + "+$", "")
-    bare = F.regexp_replace(text, f"(?:{WHITE}*{MARKS})+$", "")
-    dots = F.regexp_replace(bare, WHITE + r"*(?:\.{3,}|…)$", "")
+    last = lambda c: F.right(c, F.lit(1))
+    trimmed = lambda c: F.rtrim(c, F.lit(WHITES))
+    text = trimmed(F.col("text"))
+    # a pattern is tried only on texts that end in a character in which its matches end
+    bare = F.when(last(text).isin(list(MARK_ENDS)), F.regexp_replace(text, f"(?:{WHITE}*{MARKS})+$", "")).otherwise(text)
+    dots = F.when(last(bare).isin(".", "…"), F.regexp_replace(bare, WHITE + r"*(?:\.{3,}|…)$", "")).otherwise(bare)
     marked = F.when(F.length(bare) < F.length(text), MARK).otherwise(0.0)
     dotted = F.when(F.length(dots) < F.length(bare), DOTS).otherwise(0.0)
-    start, end = F.substring(F.regexp_replace("text", f"^{WHITE}+", ""), 1, 2), F.substring(text, -1, 1)
+    start, end = F.substring(F.ltrim("text", F.lit(WHITES)), 1, 2), last(text)
     opened = (start.rlike(r"^\{") & (end != "}")) | (start.rlike(r"^<[a-z]") & (end != ">"))
-    body = F.regexp_replace(dots, WHITE + "+$", "")
+    body = trimmed(dots)
     d = documents.select("doc_id", "source", F.lower(F.substring(F.trim("lang"), 1, 2)).alias("lang"), "text", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     d = d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length(text) > 0))
     return d.select("doc_id", "source", "lang", "chars", "bytes", body.alias("body"), (marked + dotted + F.when(opened, OPEN).otherwise(0.0) - F.when(F.length(body) < max(ORDERS), SHORT).otherwise(0.0)).alias("extra"))
@@ -199,7 +223,7 @@ def log_odds(levels: DataFrame, whole: DataFrame, base: float) -> tuple[DataFram
     met = lookup(w, finals.drop("_texts"), "context", "doc_id", counts=finals.select("context", F.col("_texts").alias("n"))).withColumn("_others", F.col("ends") + F.greatest(F.col("finals") - F.col("whole"), F.lit(0.0)))
     steps = met.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("order", "n", "_others"))).alias("_steps"))
     chance = F.aggregate("_steps", F.lit(base), lambda p, x: (x["_others"] + BACKOFF * p) / (F.greatest(x["n"] - 1, F.lit(0)) + BACKOFF))
-    return steps.select("doc_id", (F.log(F.lit(base)) - F.log(F.greatest(chance, F.lit(1e-9)))).alias("log_odds")), finals
+    return steps.select("doc_id", (F.log(F.lit(base)) - F.log(F.least(F.greatest(chance, F.lit(1e-9)), F.lit(1.0)))).alias("log_odds")), finals
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -207,7 +231,7 @@ def judged(documents: DataFrame) -> DataFrame:
     b = cut(bodies(documents))
     spark = documents.sparkSession
     first = b.groupBy(F.md5("body").alias("_m")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("trains"))
-    asked = b.select("doc_id", F.posexplode(last_contexts("body")).alias("order", "context")).join(first, "doc_id", "left").withColumn("trains", F.coalesce("trains", F.lit(False)))
+    asked = b.select("doc_id", ((F.length("body") < max(ORDERS)) & (F.col("extra") < 0)).alias("_short"), F.posexplode(last_contexts("body")).alias("order", "context")).join(first, "doc_id", "left").withColumn("trains", F.coalesce("trains", F.lit(False)) | F.col("_short")).drop("_short")
     # half of all texts may end in one character: the contexts of one place are hot keys
     asked = cut(asked)
     each = asked.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
