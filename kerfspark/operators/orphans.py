@@ -42,10 +42,11 @@ def at(c: str) -> Column:
     return F.coalesce(F.col(c).cast("timestamp_ntz"), F.lit(DAWN).cast("timestamp_ntz"))
 
 
-def merged(parents: DataFrame) -> DataFrame:
+def merged(parents: DataFrame, *more: Column) -> DataFrame:
     """One row a parent: ``born`` and ``died`` of its earliest copy, ``told`` the first time a deletion is known and done."""
     first = F.min(F.struct("born", "died")).alias("_first")
-    return parents.groupBy("target_id").agg(first, F.min("told").alias("told")).select("target_id", "_first.*", "told")
+    by = parents.groupBy("target_id").agg(first, F.min("told").alias("told"), *more)
+    return by.select("target_id", "_first.*", *[c for c in by.columns if c not in ("target_id", "_first")])
 
 
 def parent_rows(table: DataFrame, name: str) -> DataFrame:
@@ -64,32 +65,42 @@ def references(table: DataFrame, ref_table: str, ref_id: str, target: Column, ki
     return each.where(F.col("target_id").isNotNull()).select(F.lit(ref_table).alias("ref_table"), "ref_id", F.lit(kind).alias("kind"), "target_id", "seen")
 
 
-def judged(refs: DataFrame, parents: DataFrame, at_most: int | None = None) -> DataFrame:
-    """Probe: when each reference became an orphan, was resolved, and was orphaned (again)."""
-    met = lookup(refs.select(*IDENTITY, "seen"), parents, "target_id", "ref_id", at_most=at_most)
+def verdict() -> list[Column]:
+    """When a reference became an orphan, was resolved, and was orphaned (again), by its own time and its parent's life."""
     lives = (F.col("born") <= F.col("seen")) & (F.col("died").isNull() | (F.col("died") > F.col("seen")))
     at_once = ~F.coalesce(lives, F.lit(False))
     waits = at_once & (F.col("born") > F.col("seen")) & (F.col("died").isNull() | (F.col("died") > F.col("born")))
     gone = F.coalesce("died", F.greatest("told", "seen", "born"))
-    return met.select(*IDENTITY, "seen", F.when(at_once, F.col("seen")).alias("orphaned_at"), F.when(waits, F.col("born")).alias("resolved_at"), F.when((~at_once | waits) & F.col("told").isNotNull(), gone).alias("reopened_at"))
+    return [F.when(at_once, F.col("seen")).alias("orphaned_at"), F.when(waits, F.col("born")).alias("resolved_at"), F.when((~at_once | waits) & F.col("told").isNotNull(), gone).alias("reopened_at")]
 
 
-def advance(state: tuple[DataFrame, DataFrame] | None, new_refs: DataFrame, new_parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def judged(refs: DataFrame, parents: DataFrame) -> DataFrame:
+    """Probe of the parent index."""
+    met = lookup(refs.select(*IDENTITY, "seen"), parents, "target_id", "ref_id")
+    return met.select(*IDENTITY, "seen", *verdict())
+
+
+def advance(state: tuple[DataFrame, DataFrame] | None, new_refs: DataFrame, new_parents: DataFrame, repeats: bool = True) -> tuple[DataFrame, DataFrame]:
     """The state (refs, parents) after one more delivery.
 
-    Only references whose target is touched by the delivery, and the new ones, are judged anew; the rest of the state passes
-    through. A reference that comes again keeps its first time. The caller cuts or writes the state between deliveries.
+    New references probe the whole parent index; of those in the state only such are judged anew whose parent the delivery
+    touches. With ``repeats``, references may come again and keep their first time. The caller cuts or writes the state
+    between deliveries.
     """
     if state is None:
         return judged(new_refs, new_parents), new_parents
     old_refs, old_parents = state
-    parents = merged(old_parents.unionByName(new_parents))
-    touched = old_refs.join(new_parents.select("target_id").distinct(), "target_id", "left_semi")
-    again = old_refs.select(*IDENTITY, "seen").join(new_refs.select(*IDENTITY).distinct(), IDENTITY, "left_semi")
-    anew = touched.select(*IDENTITY, "seen").unionByName(new_refs.select(*IDENTITY, "seen")).unionByName(again)
-    anew = anew.groupBy(*IDENTITY).agg(F.min("seen").alias("seen"))
-    untouched = old_refs.join(new_parents.select("target_id").distinct(), "target_id", "left_anti").join(new_refs.select(*IDENTITY).distinct(), IDENTITY, "left_anti")
-    return untouched.select(*IDENTITY, "seen", "orphaned_at", "resolved_at", "reopened_at").unionByName(judged(anew, parents)), parents
+    told = old_parents.withColumn("_new", F.lit(False)).unionByName(new_parents.withColumn("_new", F.lit(True)))
+    both = merged(told, F.max("_new").alias("_new"))
+    parents = both.drop("_new")
+    new_refs = new_refs.select(*IDENTITY, "seen")
+    if repeats:
+        mixed = old_refs.withColumn("_fresh", F.lit(False)).unionByName(new_refs.withColumn("_fresh", F.lit(True)), allowMissingColumns=True)
+        first = mixed.groupBy(*IDENTITY).agg(F.min(F.struct("seen", "_fresh", "orphaned_at", "resolved_at", "reopened_at")).alias("_first")).select(*IDENTITY, "_first.*")
+        old_refs, new_refs = first.where("not _fresh").drop("_fresh"), first.where("_fresh").select(*IDENTITY, "seen")
+    touched = lookup(old_refs, both.where("_new"), "target_id", "ref_id")
+    times = [F.when(F.col("_new"), c).otherwise(F.col(n)).alias(n) for c, n in zip(verdict(), ("orphaned_at", "resolved_at", "reopened_at"))]
+    return touched.select(*IDENTITY, "seen", *times).unionByName(judged(new_refs, parents)), parents
 
 
 def found(refs: DataFrame) -> DataFrame:
@@ -133,7 +144,7 @@ def followed(refs: DataFrame, parents: DataFrame, periods: int) -> DataFrame:
     for when in deliveries(refs, parents, periods):
         new_refs = refs.withColumn("_at", F.col("seen")).where(when).drop("_at")
         new_parents = parents.withColumn("_at", F.col("born")).where(when).drop("_at")
-        fresh = tuple(cut(t) for t in advance(state, new_refs, new_parents))
+        fresh = tuple(cut(t) for t in advance(state, new_refs, new_parents, repeats=False))
         forget(*(state or ()))
         state = fresh
     forget(refs, parents)
