@@ -66,6 +66,7 @@ class Automaton:
 
     def __init__(self):
         self.moves: dict[str, tuple] = {}
+        self.names: dict[tuple, str] = {}
         self.plans: dict[str, Plan] = {}
         self.holding: set[str] = set()
         self.at: dict[int, str] = {}
@@ -73,12 +74,13 @@ class Automaton:
 
     def name(self, move: tuple) -> str:
         """The state a transition leads to."""
-        q = f"{move[0][0]}{hashlib.blake2b(repr(move).encode(), digest_size=6).hexdigest()}"
-        if q not in self.moves:
-            self.moves[q] = move
-            below = [s for k, s in move[1] if k != "nodes"] if move[0] == "object" else move[1]
-            if (move[0] == "object" and any(k == "nodes" for k, _ in move[1])) or any(self.bare(s) in self.holding for s in below):
-                self.holding.add(q)
+        if move in self.names:
+            return self.names[move]
+        q = self.names[move] = f"{move[0][0]}{hashlib.blake2b(repr(move).encode(), digest_size=6).hexdigest()}"
+        self.moves[q] = move
+        below = [s for k, s in move[1] if k != "nodes"] if move[0] == "object" else move[1]
+        if (move[0] == "object" and any(k == "nodes" for k, _ in move[1])) or any(self.bare(s) in self.holding for s in below):
+            self.holding.add(q)
         return q
 
     @staticmethod
@@ -95,7 +97,7 @@ class Automaton:
     def read(self, value) -> None:
         """States of a value and all its parts, without recursion; those of the payload before are forgotten."""
         if len(self.moves) > STATES:
-            self.moves, self.plans, self.holding = {}, {}, set()
+            self.moves, self.names, self.plans, self.holding = {}, {}, {}, set()
         self.at, self.texts = {}, {}
         done: list[str] = []
         work = [(value, None, False)]
