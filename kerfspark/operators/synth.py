@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerfspark.operators import rules
+from kerfspark.runtime import cut
 
 SAMPLE = "panel_id bigint, panel_type string, w double, h double, thickness double, intended_valid boolean, fault string, features array<struct<seq:int,feature_class:string,x:double,y:double,diameter:double,depth:double>>"
 # Panel types, sizes and thicknesses in mm; features with their diameters and weights; faults.
@@ -61,19 +62,24 @@ def generate(spark: SparkSession, n: int, seed: int = 0, invalid: float = 0.3, s
     return spark.range(start, start + n).mapInPandas(make, SAMPLE)
 
 
-def tables(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The panels and holes of samples, as the rules take them."""
-    box = [F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), F.col("w").alias("xmax"), F.col("h").alias("ymax")]
-    p = samples.select("panel_id", *box, "w", "h", "thickness")
-    f = samples.select("panel_id", *box, F.explode("features").alias("_f"))
-    return p, f.select("panel_id", "_f.*", "xmin", "ymin", "xmax", "ymax")
+def shapes(samples: DataFrame) -> DataFrame:
+    """The outlines and bores of samples, as the rules take them."""
+    none, zero = F.lit(None).cast("double"), F.lit(0.0)
+    w, h = F.col("w"), F.col("h")
+    ring = F.array(F.array(zero, zero), F.array(w, zero), F.array(w, h), F.array(zero, h))
+    flags = lambda kind, closed, boundary: [F.lit(kind).alias("geometry_type"), F.lit(closed).alias("is_closed"), F.lit(False).alias("is_approximated"), F.lit(boundary).alias("is_boundary")]
+    p = samples.select("panel_id", F.lit("boundary").alias("node"), *flags("lwpolyline", True, True), F.lit("border").alias("kind"), ring.alias("vertices"), (w / 2).alias("x"), (h / 2).alias("y"), none.alias("radius"), (w * h).alias("area"), (2 * (w + h)).alias("perimeter"), zero.alias("bx0"), zero.alias("by0"), w.alias("bx1"), h.alias("by1"), none.alias("depth"))
+    f = samples.select("panel_id", F.explode("features").alias("_f")).select("panel_id", "_f.*", (F.col("_f.diameter") / 2).alias("radius"))
+    r, x, y = F.col("radius"), F.col("x"), F.col("y")
+    bores = f.select("panel_id", F.concat(F.lit("h"), F.col("seq").cast("string")).alias("node"), *flags("circle", True, False), F.lit("drill").alias("kind"), F.lit(None).cast("array<array<double>>").alias("vertices"), "x", "y", "radius", (3.141592653589793 * r * r).alias("area"), (2 * 3.141592653589793 * r).alias("perimeter"), (x - r).alias("bx0"), (y - r).alias("by0"), (x + r).alias("bx1"), (y + r).alias("by1"), "depth")
+    return p.unionByName(bores)
 
 
 def gated(samples: DataFrame) -> DataFrame:
     """The samples whose verdict by the rules is the intended one, with the rules they break."""
-    p, h = tables(samples)
-    found = rules.all_findings(p, h)
-    verdict = rules.report(p, found).select("panel_id", "overall_valid")
+    s = rules.with_panel(shapes(samples))
+    found = cut(rules.findings(s))
+    verdict = rules.report(s, found).select("panel_id", "overall_valid")
     broken = found.where("severity = 'ERROR'").groupBy("panel_id").agg(F.array_sort(F.collect_set("rule_id")).alias("broken_rules"))
     met = samples.join(verdict, "panel_id").join(broken, "panel_id", "left").where(F.col("overall_valid") == F.col("intended_valid"))
     return met.withColumn("broken_rules", F.coalesce("broken_rules", F.array().cast("array<string>"))).drop("overall_valid")

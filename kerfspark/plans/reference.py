@@ -13,7 +13,7 @@ from kerfspark.operators import classify as c
 from kerfspark.operators import corpus, graphs, identify, metrics, model, nesting, pid, rules, synth, units
 from kerfspark.operators.pairs import band_pairs, distance, near_pairs
 from kerfspark.plans import bridge
-from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_PANELS, SQL_PID
+from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_PANELS, SQL_PID, SQL_SHAPES
 from kerfspark.runtime import cut, table
 from kerfspark.sources import dxf, export
 from kerfspark.streaming.references import event_windows
@@ -49,55 +49,80 @@ def rule_sql(source: str, rule: str, severity: str, node: str, measured: str, wh
 
 
 PAIRS = "(select a.panel_id, a.seq sa, b.seq sb, a.diameter da, b.diameter db, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) dist, a.x xa, a.y ya, b.x xb, b.y yb from holes a join holes b on a.panel_id = b.panel_id and a.seq < b.seq)"
+_DISCS = "(select a.panel_id, a.node || '+' || b.node pair, a.r ra, b.r rb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) dist from discs a join discs b on a.panel_id = b.panel_id and a.node < b.node)"
 OFF = "least(dist % 32, 32 - dist % 32)"
+_LINE = "least(abs(x - xmin), abs(x - xmax), abs(y - ymin), abs(y - ymax))"
+_OVER = "greatest(xmin - bx0, bx1 - xmax, ymin - by0, by1 - ymax)"
+_SIMPLE = "(panel_id, node) not in (select (panel_id, node) from crossed)"
+_MILLED = "kind in ('pocket', 'cut', 'engrave') and is_closed and not is_boundary"
+_APEX = "(select *, degrees(acos((px * rx + py * ry) / (sqrt(px * px + py * py) * sqrt(rx * rx + ry * ry)))) angle from (select *, vertices[3][1] - vertices[4][1] px, vertices[3][2] - vertices[4][2] py, vertices[5][1] - vertices[4][1] rx, vertices[5][2] - vertices[4][2] ry from rings where len(vertices) = 5))"
+_AROUND = "(select i.panel_id, i.node, i.turn, o.turn around, row_number() over (partition by i.panel_id, i.node order by o.area, o.node) r from (select *, case when len(vertices) = 5 then bx0 + (bx1 - bx0) / 6 else (bx0 + bx1) / 2 end ix, (by0 + by1) / 2 iy from rings where not is_boundary and is_closed and area > 0 and (panel_id, node) not in (select (panel_id, node) from crossed)) i join rings o on i.panel_id = o.panel_id and o.is_closed and o.area > i.area and (o.panel_id, o.node) not in (select (panel_id, node) from crossed) and ix > o.bx0 and ix < o.bx1 and iy > o.by0 and iy < o.by1)"
 
 RULES = {
-    "geo004_range": rule_sql("panels", "GEO-004", "ERROR", "null::varchar", "case when least(xmin, ymin) < -100 then least(xmin, ymin) else greatest(xmax, ymax) end", "least(xmin, ymin) < -100 or greatest(xmax, ymax) > 5000"),
-    "geo006_duplicates": rule_sql(PAIRS, "GEO-006", "WARNING", "sa || '+' || sb", "dist", "dist <= 0.1 and abs(da - db) <= 0.1"),
-    "geo007_bounds": rule_sql("holes", "GEO-007", "ERROR", "seq::varchar", f"diameter / 2 - {EDGE}", f"diameter / 2 - {EDGE} > 0.1"),
-    "mfg001_edge_clearance": rule_sql("holes", "MFG-001", "ERROR", "seq::varchar", EDGE, f"{EDGE} < 8"),
-    "mfg002_spacing": rule_sql(PAIRS, "MFG-002", "ERROR", "sa || '+' || sb", "dist - da / 2 - db / 2", "dist - da / 2 - db / 2 < 3"),
-    "mfg005_shelf_grid": f"select panel_id, 'MFG-005' rule_id, 'WARNING' severity, null::varchar node, round(max({OFF}), 6) measured from {PAIRS} where abs(da - 5) <= 0.5 and abs(db - 5) <= 0.5 and dist >= 16 and {OFF} > 0.5 group by panel_id",
-    "mfg006_hinge_edge": rule_sql("holes", "MFG-006", "WARNING", "seq::varchar", EDGE, f"abs(diameter - 35) <= 1 and abs({EDGE} - 22.5) > 1"),
-    "mfg007_blind_depth": rule_sql("holes", "MFG-007", "WARNING", "seq::varchar", "depth", "depth > 13.5"),
-    "mfg008_density": "select panel_id, 'MFG-008' rule_id, 'WARNING' severity, null::varchar node, round(sum(diameter * diameter) * (3.141592653589793::double / 4) / (any_value(w) * any_value(h)), 6) measured from holes join panels using (panel_id) group by panel_id having sum(diameter * diameter) * (3.141592653589793::double / 4) / (any_value(w) * any_value(h)) > 0.3::double",
+    "geo001_open": rule_sql("(select *, sqrt(power(vertices[-1][1] - vertices[1][1], 2) + power(vertices[-1][2] - vertices[1][2], 2)) gap from rings where not is_closed)", "GEO-001", "ERROR", "node", "gap", "gap > 0.01"),
+    "geo002_crossing": rule_sql("crossed", "GEO-002", "ERROR", "node", "null", "true"),
+    "geo003_degenerate": rule_sql("(select *, case when geometry_type = 'circle' then case when r < 0.001 then r end when perimeter < 0.001 then perimeter when is_closed and area < 0.001 then area end size from shapes)", "GEO-003", "ERROR", "node", "size", "size is not null"),
+    "geo004_range": rule_sql("shapes", "GEO-004", "ERROR", "node", "case when least(bx0, by0) < -100 then least(bx0, by0) else greatest(bx1, by1) end", "least(bx0, by0) < -100 or greatest(bx1, by1) > 5000"),
+    "geo005_winding": rule_sql("rings", "GEO-005", "WARNING", "node", "null", "is_boundary and turn < 0") + " union all " + rule_sql(_AROUND, "GEO-005", "INFO", "node", "null", "r = 1 and (turn > 0) = (around > 0)"),
+    "geo006_duplicates": rule_sql(_DISCS, "GEO-006", "WARNING", "pair", "dist", "dist <= 0.1 and abs(ra - rb) / ((ra + rb) / 2) <= 0.01"),
+    "geo007_bounds": rule_sql("(select *, greatest(xmin - bx0, bx1 - xmax, 0) ox, greatest(ymin - by0, by1 - ymax, 0) oy, greatest(xmin - x, x - xmax, 0) cx, greatest(ymin - y, y - ymax, 0) cy from shapes)", "GEO-007", "ERROR", "node", _OVER, "not is_boundary and case when geometry_type = 'circle' then greatest(ox, oy) > 0.1 and abs(sqrt(cx * cx + cy * cy) - r) > 1e-9 else sqrt(ox * ox + oy * oy) > 0.1 and not ((bx0 = xmax or bx1 = xmin or by0 = ymax or by1 = ymin) and bx0 <= xmax and bx1 >= xmin and by0 <= ymax and by1 >= ymin) end"),
+    "geo008_zero_area": rule_sql("rings", "GEO-008", "ERROR", "node", "area", "is_closed and not is_boundary and area < 1"),
+    "mfg001_edge_clearance": rule_sql("shapes", "MFG-001", "ERROR", "node", EDGE, f"geometry_type = 'circle' and {EDGE} < 8"),
+    "mfg002_spacing": rule_sql(_DISCS, "MFG-002", "ERROR", "pair", "dist - ra - rb", "dist - ra - rb < 3"),
+    "mfg003_sharp_corner": rule_sql(_APEX, "MFG-003", "WARNING", "node", "round(angle, 1)", f"{_MILLED} and not is_approximated and angle < 90"),
+    "mfg004_pocket_width": rule_sql("rings", "MFG-004", "WARNING", "node", "round(least(bx1 - bx0, by1 - by0), 3)", f"{_MILLED} and area > 0 and {_SIMPLE} and len(vertices) = 4 and least(bx1 - bx0, by1 - by0) < 6.0::double * 1.2::double"),
+    "mfg005_shelf_grid": rule_sql(_DISCS, "MFG-005", "WARNING", "pair", "dist", f"abs(2 * ra - 5) <= 0.5 and abs(2 * rb - 5) <= 0.5 and dist >= 16 and {OFF} > 0.5"),
+    "mfg006_hinge_edge": rule_sql("shapes", "MFG-006", "WARNING", "node", EDGE, f"geometry_type = 'circle' and abs(2 * r - 35) <= 1 and abs({EDGE} - 22.5) > 1"),
+    "mfg007_blind_depth": rule_sql("shapes", "MFG-007", "WARNING", "node", "depth", "depth > 13.5"),
+    "mfg008_density": "select panel_id, 'MFG-008' rule_id, 'WARNING' severity, null::varchar node, round(share, 6) measured from (select panel_id, sum(round(area * 10000)::bigint) / 10000.0::double / ((any_value(xmax) - any_value(xmin)) * (any_value(ymax) - any_value(ymin))) share from shapes where not is_boundary and area > 0 group by 1) where share > 0.3::double",
     "mfg009_panel_dims": "select panel_id, 'MFG-009' rule_id, 'WARNING' severity, node, measured from (select panel_id, 'width' node, w measured, w < 50 or w > 3600 bad from panels union all select panel_id, 'height', h, h < 50 or h > 3600 from panels union all select panel_id, 'area', w * h, w * h < 5000 from panels) where bad",
-    "mfg011_drill_range": rule_sql("holes", "MFG-011", "ERROR", "seq::varchar", "diameter", "diameter < 3 or diameter > 40"),
-    "mfg012_on_edge": rule_sql("holes", "MFG-012", "ERROR", "seq::varchar", "least(abs(x - xmin), abs(x - xmax), abs(y - ymin), abs(y - ymax))", "least(abs(x - xmin), abs(x - xmax), abs(y - ymin), abs(y - ymax)) <= 0.1"),
+    "mfg011_drill_range": rule_sql("discs", "MFG-011", "ERROR", "node", "2 * r", "2 * r < 3 or 2 * r > 40"),
+    "mfg012_on_edge": rule_sql("shapes", "MFG-012", "ERROR", "node", _LINE, f"not is_boundary and {_LINE} <= 0.1"),
 }
-LAYER1 = ["geo004_range", "geo006_duplicates", "geo007_bounds"]
-_OPERATORS: dict[str, Query] = {
-    "geo004_range": over_panels(rules.coordinate_range),
-    "geo006_duplicates": over_holes(rules.duplicates),
-    "geo007_bounds": over_holes(rules.outside),
-    "mfg001_edge_clearance": over_holes(rules.edge_clearance),
-    "mfg002_spacing": over_holes(rules.spacing),
-    "mfg005_shelf_grid": over_holes(rules.pin_grid),
-    "mfg006_hinge_edge": over_holes(rules.cup_edge),
-    "mfg007_blind_depth": over_holes(rules.blind_depth),
-    "mfg008_density": lambda s, d: rules.density(bridge.panels(s, d), bridge.holes(s, d)),
-    "mfg009_panel_dims": over_panels(rules.panel_size),
-    "mfg011_drill_range": over_holes(rules.drill_range),
-    "mfg012_on_edge": over_holes(rules.on_edge),
-}
-for _name, _query in _OPERATORS.items():
-    add(_name, _query, f"with {SQL_HOLES} {RULES[_name]}")
+LAYER1 = [n for n in RULES if n.startswith("geo")]
+
+
+def shapes_of(s: SparkSession, d: str) -> DataFrame:
+    """The shapes with their panels, written once for all rules that read them."""
+    return cut(rules.with_panel(bridge.shapes(s, d)))
+
+
+def one_rule(rule: str) -> Query:
+    params = {rule: rules.RULES[rule].params}
+    return lambda s, d: rules.findings(rules.with_panel(bridge.shapes(s, d)), params)
+
+
+for _name, _sql in RULES.items():
+    add(_name, one_rule(f"{_name[:3].upper()}-{_name[3:6]}"), f"with {SQL_SHAPES} {_sql}")
 
 _FOUND = "".join(f", {n}_ as ({q})" for n, q in RULES.items())
-_UNION = lambda names: " union all ".join(f"select * from {n}_" for n in names)
-REPORT = f"""with {SQL_HOLES}{_FOUND},
-l1 as (select panel_id, count(*) filter (severity = 'ERROR') e, count(*) filter (severity <> 'ERROR') w from ({_UNION(LAYER1)}) group by 1),
-l2 as (select panel_id, count(*) filter (severity = 'ERROR') e, count(*) filter (severity <> 'ERROR') w from ({_UNION([n for n in RULES if n not in LAYER1])}) group by 1),
-r as (select panel_id, coalesce(l1.e, 0) e1, coalesce(l1.w, 0) w1, coalesce(l2.e, 0) e2, coalesce(l2.w, 0) w2 from panels left join l1 using (panel_id) left join l2 using (panel_id))
-select panel_id, e1 = 0 layer1_passed, (e1 + case when e1 = 0 then e2 else 0 end)::bigint n_error, (w1 + case when e1 = 0 then w2 else 0 end)::bigint n_warning, e1 = 0 and e2 = 0 overall_valid from r"""
+_ALL = " union all ".join(f"select * from {n}_" for n in RULES)
+_JUDGED = f"""with {SQL_SHAPES}{_FOUND}, found as ({_ALL}),
+r as (select panel_id, coalesce(e1, 0) e1, coalesce(e2, 0) e2, coalesce(w1, 0) w1, coalesce(w2, 0) w2, coalesce(i1, 0) i1 from panels left join (
+  select panel_id, count(*) filter (g and severity = 'ERROR') e1, count(*) filter (not g and severity = 'ERROR') e2, count(*) filter (g and severity = 'WARNING') w1, count(*) filter (not g and severity = 'WARNING') w2, count(*) filter (severity = 'INFO') i1 from (select *, starts_with(rule_id, 'GEO') g from found) group by 1) using (panel_id))"""
+REPORT = _JUDGED + """select panel_id, e1 = 0 layer1_passed, e1 > 0 or e2 = 0 layer2_passed, (e1 + case when e1 = 0 then e2 else 0 end)::bigint n_error, (w1 + case when e1 = 0 then w2 else 0 end)::bigint n_warning, i1::bigint n_info, e1 = 0 and e2 = 0 overall_valid, w1 + case when e1 = 0 then w2 else 0 end > 0 has_warnings from r"""
 
 
 def rule_report(s: SparkSession, d: str) -> DataFrame:
-    p, h = bridge.panels(s, d), cut(bridge.holes(s, d))
-    return rules.report(p, rules.all_findings(p, h))
+    shapes = shapes_of(s, d)
+    return rules.report(shapes, rules.findings(shapes))
+
+
+def judged_shapes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    shapes = shapes_of(s, d)
+    return shapes, cut(rules.findings(shapes))
 
 
 add("rule_report", rule_report, REPORT)
+add(
+    "rule_results",
+    lambda s, d: rules.results(*judged_shapes(s, d)),
+    _JUDGED + f""", ids as (select unnest({sorted(rules.RULES)}) rule_id), counted as (select f.* from found f join r using (panel_id) where r.e1 = 0 or starts_with(rule_id, 'GEO'))
+    select * from counted union all select panel_id, rule_id, 'PASS', null, null from r, ids where (r.e1 = 0 or starts_with(rule_id, 'GEO')) and (panel_id, rule_id) not in (select (panel_id, rule_id) from found)""",
+)
+_NODES = _JUDGED + ", counted as (select f.* from found f join r using (panel_id) where r.e1 = 0 or starts_with(rule_id, 'GEO'))"
+add("failed_nodes", lambda s, d: rules.failed_nodes(judged_shapes(s, d)[1]), _NODES + " select distinct panel_id, unnest(string_split(node, '+')) node from counted where node is not null and rule_id <> 'MFG-009'")
+add("constraint_links", lambda s, d: rules.constraints(judged_shapes(s, d)[1])[1], _JUDGED + " select panel_id, 'constraint-' || rule_id || '-' || node src, unnest(string_split(node, '+')) dst from found where node is not null and rule_id <> 'MFG-009'")
 
 # contours
 _CORNERS = "(list_transform(range(1, len(vertices) + 1), lambda i: {'a': vertices[i], 'b': vertices[case when i = len(vertices) then 1 else i + 1 end]}))"
@@ -115,17 +140,8 @@ add(
     contour_measures,
     f"with {SQL_CONTOURS} select contour_id, layer, round(abs({_AREA}), 6) area, {_AREA} < 0 clockwise, round({_LENGTH}, 6) perimeter, w xmax, h ymax from contours",
 )
-add(
-    "contour_checks",
-    lambda s, d: rules.contour_checks(bridge.contours(s, d)),
-    f"""with {SQL_CONTOURS} select contour_id, not is_closed and h > 0.01 is_open, k = 2 crosses, false degenerate, is_closed and {_AREA} < 0 clockwise, is_closed and abs({_AREA}) < 1 no_area,
-    is_closed and layer in ('POCKET','CUT','ENGRAVE') and k = 1 and degrees(acos((((w / 2) * (-w / 2)) + (h * 0.75) * (h * 0.75)) / (w * w / 4 + h * h * 0.5625))) < 90 sharp,
-    is_closed and layer in ('POCKET','CUT','ENGRAVE') and least(w, h) < 7.2 narrow from contours where k <> 2
-    union all select contour_id, not is_closed and h > 0.01, true, false, is_closed and {_AREA} < 0, is_closed and abs({_AREA}) < 1, false, is_closed and layer in ('POCKET','CUT','ENGRAVE') and least(w, h) < 7.2 from contours where k = 2""",
-)
-
 # pairs
-add("edges_adjacent", over_holes(lambda h: near_pairs(h, "panel_id", "seq", 96.0, distance() <= 2 * F.greatest("diameter_a", "diameter_b") + 10, ["diameter"]).select("panel_id", "seq_a", "seq_b", distance().alias("distance"))), f"with {SQL_HOLES} select panel_id, sa seq_a, sb seq_b, round(dist, 6) distance from {PAIRS} where dist <= 2 * greatest(da, db) + 10")
+add("edges_adjacent", over_holes(lambda h: near_pairs(h, "panel_id", "seq", 10.0, distance() <= 2 * F.greatest("diameter_a", "diameter_b") + 10, ["diameter"], size="diameter", per_size=2.0, usual=36.0).select("panel_id", "seq_a", "seq_b", distance().alias("distance"))), f"with {SQL_HOLES} select panel_id, sa seq_a, sb seq_b, round(dist, 6) distance from {PAIRS} where dist <= 2 * greatest(da, db) + 10")
 add("edges_same_row", over_holes(lambda h: band_pairs(h, "panel_id", "seq", "y", 1.0)), f"with {SQL_HOLES} select panel_id, sa seq_a, sb seq_b from {PAIRS} where abs(ya - yb) <= 1")
 add("edges_same_column", over_holes(lambda h: band_pairs(h, "panel_id", "seq", "x", 1.0)), f"with {SQL_HOLES} select panel_id, sa seq_a, sb seq_b from {PAIRS} where abs(xa - xb) <= 1")
 add(

@@ -8,7 +8,7 @@ from kerfspark import runtime
 from kerfspark.functions import geometry as g
 from kerfspark.functions import layers
 from kerfspark.operators import classify, graphs, identify, metrics, pid, rules
-from kerfspark.operators.pairs import band_pairs, distance, near_pairs
+from kerfspark.operators.pairs import band_pairs, block_pairs, distance, near_pairs
 
 
 @pytest.mark.parametrize("layer,kind,depth,thickness", [("POCKET_6MM", "pocket", 6.0, 6.0), ("GROOVE_D6", "pocket", 6.0, None), ("ENGRAVE_1.5", "engrave", None, None), ("PANEL_18MM", "unknown", None, 18.0), ("THK18", "unknown", None, 18.0), ("pocket_3P5mm", "pocket", 3.5, 3.5), ("LAYER2", "unknown", None, None), ("DRILL_DP12", "drill", 12.0, None), (" cut ", "cut", None, None), ("", "unknown", None, None), (None, "unknown", None, None), ("D500", "unknown", None, None)])
@@ -27,9 +27,9 @@ def test_longest_prefix(spark):
 def test_geometry(spark):
     v = [[0.0, 0.0], [4.0, 0.0], [4.0, 3.0], [0.0, 3.0]]
     r = spark.createDataFrame([(v, v[::-1], [[0.0, 0.0], [4.0, 4.0], [4.0, 0.0], [0.0, 4.0]], [])], "a array<array<double>>, b array<array<double>>, c array<array<double>>, e array<array<double>>").select(
-        g.signed_area(F.col("a")).alias("a"), g.signed_area(F.col("b")).alias("b"), g.crossings(F.col("c")).alias("x"), g.area_centroid(F.col("a"))["x"].alias("cx"), g.ring_length(F.col("a"), F.lit(False)).alias("open"),
+        g.signed_area(F.col("a")).alias("left"), g.signed_area(F.col("b")).alias("right"), g.inner_point(F.col("a"))["y"].alias("x"), g.area_centroid(F.col("a"))["x"].alias("cx"), g.ring_length(F.col("a"), F.lit(False)).alias("open"),
         g.contains_point(F.col("a"), F.lit(1.0), F.lit(1.0)).alias("i"), g.contains_point(F.col("a"), F.lit(5.0), F.lit(1.0)).alias("o"), g.signed_area(F.col("e")).alias("none"), g.segment_distance(*map(F.lit, (0.0, 5.0, -1.0, 0.0, 1.0, 0.0))).alias("d"))
-    assert tuple(r.first()) == (12.0, -12.0, 1, 2.0, 11.0, True, False, 0.0, 5.0)
+    assert tuple(r.first()) == (12.0, -12.0, 1.5, 2.0, 11.0, True, False, 0.0, 5.0)
 
 
 @pytest.mark.parametrize("hot", [3, 10**9])
@@ -57,6 +57,10 @@ def test_pairs_against_all_pairs(spark):
     d = spark.createDataFrame(pts, "p int, seq int, x double, y double")
     near = {(x.seq_a, x.seq_b) for x in near_pairs(d, "p", "seq", 20.0, distance() <= 20.0).collect()}
     ok = [q for q in pts if q[2] is not None]
+    sized = d.withColumn("size", F.when(F.col("seq") % 17 == 0, 90.0 + F.col("seq")).otherwise(F.col("seq") % 7 + 0.5))
+    got = {(x.seq_a, x.seq_b) for x in near_pairs(sized, "p", "seq", 3.0, distance() <= F.greatest("size_a", "size_b") + 3, ["size"], size="size", usual=8.0).collect()}
+    size = lambda q: 90.0 + q[1] if q[1] % 17 == 0 else q[1] % 7 + 0.5
+    assert got == {(a[1], b[1]) for a in ok for b in ok if a[0] == b[0] and a[1] < b[1] and math.dist(a[2:], b[2:]) <= max(size(a), size(b)) + 3}
     assert near == {(a[1], b[1]) for a in ok for b in ok if a[0] == b[0] and a[1] < b[1] and math.dist(a[2:], b[2:]) <= 20}
     assert {(x.seq_a, x.seq_b) for x in band_pairs(d, "p", "seq", "x", 1.0).collect()} == {(a[1], b[1]) for a in ok for b in ok if a[0] == b[0] and a[1] < b[1] and abs(a[2] - b[2]) <= 1}
 
@@ -82,15 +86,102 @@ def test_tags_and_loops(spark):
     assert {(r.loop, r.complete) for r in pid.loops(c).collect()} == {(101, True), (205, False)}
 
 
+def shape_rows(panel, w, h, circles=(), rings=(), outline=None):
+    """An outline, circles (node, x, y, d, depth) and rings (node, kind, vertices, approximated) as rows of shapes."""
+    o = outline or [[0.0, 0.0], [w, 0.0], [w, h], [0.0, h]]
+    area = lambda v: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(v, v[1:] + v[:1]))) / 2
+
+    def ring(node, kind, v, approximated=False, boundary=False, closed=True):
+        xs, ys = [p[0] for p in v], [p[1] for p in v]
+        length = sum(math.dist(a, b) for a, b in zip(v, v[1:] + (v[:1] if closed else [])))
+        return (panel, node, "lwpolyline", kind, v, (min(xs) + max(xs)) / 2, (min(ys) + max(ys)) / 2, None, closed, approximated, boundary, area(v) if closed else None, length, min(xs), min(ys), max(xs), max(ys), None)
+
+    rows = [ring("outline", "border", o, boundary=True)] + [ring(*r) for r in rings]
+    return rows + [(panel, n, "circle", "drill", None, x, y, d / 2, True, False, False, math.pi * d * d / 4, math.pi * d, x - d / 2, y - d / 2, x + d / 2, y + d / 2, z) for n, x, y, d, z in circles]
+
+
+def broken(spark, rows, params=None):
+    s = rules.with_panel(spark.createDataFrame(rows, rules.SHAPE))
+    return s, rules.findings(s, params)
+
+
 def test_rule_edges(spark):
-    box = dict(xmin=0.0, ymin=0.0, xmax=600.0, ymax=600.0)
-    hole = lambda i, x, y, d, depth=None: (1, i, x, y, d, depth, "DRILL", *box.values())
-    h = spark.createDataFrame([hole(1, 300.0, 300.0, 2.9), hole(2, 300.0, 200.0, 3.1), hole(3, 300.0, 100.0, 39.5), hole(4, 100.0, 300.0, 41.0), hole(5, 22.5, 500.0, 35.0), hole(6, 22.5, 50.0, 30.0), hole(7, 0.0, 400.0, 5.0), hole(8, 500.0, 500.0, 5.0, 14.0)], "panel_id int, seq int, x double, y double, diameter double, depth double, layer string, xmin double, ymin double, xmax double, ymax double")
-    p = spark.createDataFrame([(1, *box.values(), 600.0, 600.0)], "panel_id int, xmin double, ymin double, xmax double, ymax double, w double, h double")
-    got = {(r.rule_id, r.node) for r in rules.all_findings(p, h).collect()}
-    assert {("MFG-011", "1"), ("MFG-011", "4"), ("MFG-012", "7"), ("MFG-001", "7"), ("GEO-007", "7"), ("MFG-007", "8")} <= got and ("MFG-006", "5") not in got
-    assert rules.report(p, rules.all_findings(p, h)).first().overall_valid is False
-    assert rules.report(p, rules.all_findings(p, h.limit(0))).first().overall_valid is True
+    holes = [("1", 300.0, 300.0, 2.9), ("2", 300.0, 200.0, 3.1), ("3", 300.0, 100.0, 39.5), ("4", 100.0, 300.0, 41.0), ("5", 22.5, 500.0, 35.0), ("6", 22.5, 50.0, 30.0), ("7", 0.0, 400.0, 5.0), ("8", 500.0, 500.0, 5.0)]
+    s, found = broken(spark, shape_rows(1, 600.0, 600.0, [(*h, 14.0 if h[0] == "8" else None) for h in holes]))
+    got = {(r.rule_id, r.node) for r in found.collect()}
+    assert {("MFG-011", "1"), ("MFG-011", "4"), ("MFG-012", "7"), ("MFG-001", "7"), ("GEO-007", "7"), ("MFG-007", "8")} <= got
+    assert not {("MFG-006", "5"), ("MFG-011", "2"), ("MFG-011", "3"), ("MFG-006", "6")} & got
+    r = rules.report(s, found).first()
+    assert (r.overall_valid, r.layer1_passed, r.layer2_passed) == (False, False, True)
+    clean, none = broken(spark, shape_rows(1, 600.0, 600.0, [("1", 300.0, 300.0, 8.0, 5.0)]))
+    assert rules.report(clean, none).first().overall_valid is True
+    passed = rules.results(clean, none).collect()
+    assert len(passed) == len(rules.RULES) and {r.severity for r in passed} == {"PASS"}
+    stopped = rules.results(s, found).collect()
+    assert not any(r.rule_id.startswith("MFG") for r in stopped), "machining rules don't count behind a geometric error"
+
+
+def test_wide_bores(spark):
+    """Pairs of bores of any width are held against each other."""
+    _, found = broken(spark, shape_rows(1, 3000.0, 3000.0, [("a", 1000.0, 1000.0, 200.0, None), ("b", 1101.0, 1000.0, 4.0, None), ("c", 1000.0, 2000.0, 900.0, None), ("d", 1000.0, 2452.0, 5.0, None), ("e", 1000.0, 2900.0, 5.0, None)]), {"MFG-002": rules.RULES["MFG-002"].params})
+    assert {r.node: round(r.measured, 6) for r in found.collect()} == {"a+b": -1.0, "c+d": -0.5}
+
+
+def test_duplicates(spark):
+    circles = [("a", 100.0, 100.0, 35.0, None), ("b", 100.05, 100.0, 35.3, None), ("c", 200.0, 100.0, 4.0, None), ("d", 200.0, 100.0, 4.09, None)]
+    _, found = broken(spark, shape_rows(1, 600.0, 600.0, circles), {"GEO-006": rules.RULES["GEO-006"].params})
+    assert [r.node for r in found.collect()] == ["a+b"]
+
+
+RECT = lambda x, y, w, h: [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
+CHEVRON = [[100.0, 100.0], [200.0, 100.0], [200.0, 200.0], [150.0, 130.0], [100.0, 200.0]]
+
+
+def test_milled_rings(spark):
+    rings = [("slot", "pocket", RECT(20.0, 20.0, 100.0, 4.0)), ("wide", "pocket", RECT(20.0, 40.0, 40.0, 40.0)), ("chevron", "cut", CHEVRON), ("bent", "cut", CHEVRON, True), ("drilled", "drill", RECT(20.0, 20.0, 100.0, 4.0)), ("ell", "engrave", [[20.0, 200.0], [120.0, 200.0], [120.0, 206.0], [26.0, 206.0], [26.0, 290.0], [20.0, 290.0]])]
+    _, found = broken(spark, shape_rows(1, 300.0, 300.0, (), rings))
+    got = {(r.rule_id, r.node): r.measured for r in found.where("rule_id in ('MFG-003', 'MFG-004')").collect()}
+    assert set(got) == {("MFG-004", "slot"), ("MFG-003", "chevron"), ("MFG-004", "ell")} and got["MFG-004", "slot"] == 4.0
+    assert abs(got["MFG-003", "chevron"] - 71.1) < 0.05 and 5.9 < got["MFG-004", "ell"] < 7.1
+
+
+def test_simple_rings(spark):
+    rings = [CHEVRON, [[0.0, 0.0], [4.0, 4.0], [4.0, 0.0], [0.0, 4.0]], [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [2.0, 0.0], [0.0, 4.0]], [[0.0, 0.0], [4.0, 0.0], [2.0, 0.0], [2.0, 3.0]], RECT(0.0, 0.0, 2.0, 2.0) + [[0.0, 0.0]], [[0.0, 0.0]] * 4, None]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rings)], "i int, v array<array<double>>").select("i", g.is_simple("v").alias("s")).orderBy("i")
+    assert [r.s for r in d.collect()] == [True, False, False, False, True, None, None]
+    many = [[math.cos(t / 500 * math.pi) * (2 + (t % 2)), math.sin(t / 500 * math.pi) * (2 + (t % 2))] for t in range(1000)]
+    many_crossed = many[:400] + [[0.0, -3.5]] + many[400:]
+    d = spark.createDataFrame([(0, many), (1, many_crossed)], "i int, v array<array<double>>").select("i", g.is_simple("v").alias("s")).orderBy("i")
+    assert [r.s for r in d.collect()] == [True, False]
+
+
+def test_winding_and_bounds(spark):
+    inner, outer = RECT(50.0, 50.0, 200.0, 200.0), RECT(80.0, 80.0, 20.0, 20.0)
+    rings = [("a", "cut", inner), ("b", "cut", outer[::-1]), ("c", "cut", RECT(150.0, 150.0, 20.0, 20.0)), ("over", "cut", RECT(590.0, 100.0, 20.0, 20.0)), ("beside", "cut", RECT(600.0, 300.0, 20.0, 20.0))]
+    _, found = broken(spark, shape_rows(1, 600.0, 600.0, [("t", 610.0, 500.0, 20.0, None), ("o", 600.0, 550.0, 20.0, None)], rings), {k: rules.RULES[k].params for k in ("GEO-005", "GEO-007")})
+    got = {(r.rule_id, r.severity, r.node) for r in found.collect()}
+    assert got == {("GEO-005", "INFO", "a"), ("GEO-005", "INFO", "c"), ("GEO-007", "ERROR", "over"), ("GEO-007", "ERROR", "o")}
+    ell = [[0.0, 0.0], [600.0, 0.0], [600.0, 200.0], [200.0, 200.0], [200.0, 600.0], [0.0, 600.0]]
+    _, found = broken(spark, shape_rows(1, 600.0, 600.0, [("in", 100.0, 500.0, 20.0, None), ("out", 400.0, 400.0, 20.0, None), ("rim", 195.0, 400.0, 20.0, None)], [("dent", "cut", RECT(150.0, 150.0, 100.0, 100.0)), ("fine", "cut", RECT(20.0, 20.0, 100.0, 100.0))], ell), {"GEO-007": rules.RULES["GEO-007"].params})
+    assert {r.node for r in found.collect()} == {"out", "rim", "dent"}
+
+
+def test_settings_of_rules(spark):
+    given = spark.createDataFrame([("MFG-001", False, {}), ("MFG-011", True, {"max_diameter_mm": 50.0})], "rule_id string, enabled boolean, params map<string,double>")
+    p = rules.settings(given)
+    assert "MFG-001" not in p and p["MFG-011"] == {"min_diameter_mm": 3.0, "max_diameter_mm": 50.0} and len(p) == len(rules.RULES) - 1
+    _, found = broken(spark, shape_rows(1, 600.0, 600.0, [("a", 3.0, 300.0, 45.0, None)]), p)
+    assert not {r.rule_id for r in found.collect()} & {"MFG-001", "MFG-011"}
+    assert broken(spark, [])[1].count() == 0
+
+
+def test_block_pairs(spark):
+    pts = [(i % 2, f"n{i:02d}", float(i), 0.0) for i in range(40)] + [(5, "lone", 1.0, 1.0)]
+    d = spark.createDataFrame(pts, "p int, n string, x double, y double")
+    for block in (3, 100):
+        got = [(r.n_a, r.n_b, r.x_b - r.x_a) for r in block_pairs(d, "p", "n", ["x"], block).collect()]
+        want = [(a[1], b[1], b[2] - a[2]) for a in pts for b in pts if a[0] == b[0] and a[1] < b[1]]
+        assert sorted(got) == sorted(want)
 
 
 def test_carcass(spark):
