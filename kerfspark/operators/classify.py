@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kerfspark.functions import geometry as g
 from kerfspark.functions.layers import layer_type
-from kerfspark.operators.pairs import distance
+from kerfspark.operators.metrics import ordered
+from kerfspark.operators.pairs import block_pairs, distance, near_pairs
 
 # Ceilings of confidence; operations of features; canonical bores and their catalogue classes.
 CEILINGS = {"hardware": 0.90, "standard": 0.95, "shop": 0.75, "material": 0.70, "machine": 0.65}
@@ -36,20 +37,17 @@ def through_confidence(d: Column, ceiling: float) -> Column:
 
 
 def grid_peers(holes: DataFrame) -> DataFrame:
-    """(panel_id, seq, peers): holes of like diameter at a multiple of the 32 mm grid from each pin hole.
-
-    Only pin-sized holes ask; the pairs are of one panel, whose holes are bounded by what a drill can set in it.
-    """
-    ask = holes.where(close(F.col("diameter"), 5.0, 0.5)).select("panel_id", F.col("seq").alias("seq_a"), F.col("x").alias("x_a"), F.col("y").alias("y_a"), F.col("diameter").alias("d_a"))
-    peer = holes.where(close(F.col("diameter"), 5.0, 1.0)).select("panel_id", F.col("seq").alias("seq_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), F.col("diameter").alias("d_b"))
+    """(panel_id, seq, peers): holes of like diameter at a multiple of the 32 mm grid from each pin hole. Pairs of a large panel meet in blocks."""
+    pins = holes.where(close(F.col("diameter"), 5.0, 1.0)).select("panel_id", "seq", "x", "y", "diameter")
     d = distance()
-    on = (d >= 1.0) & ((d % 32.0 < 1.0) | (d % 32.0 > 31.0)) & close(F.col("d_b") - F.col("d_a"), 0.0, 0.5)
-    return ask.join(peer, "panel_id").where((F.col("seq_a") != F.col("seq_b")) & on).groupBy("panel_id", F.col("seq_a").alias("seq")).agg(F.count(F.lit(1)).alias("peers"))
+    pairs = block_pairs(pins, "panel_id", "seq", ["x", "y", "diameter"]).where((d >= 1.0) & ((d % 32.0 < 1.0) | (d % 32.0 > 31.0)) & close(F.col("diameter_a") - F.col("diameter_b"), 0.0, 0.5))
+    ends = F.array(*[F.struct(F.col(f"seq_{e}").alias("seq"), F.col(f"diameter_{e}").alias("diameter")) for e in "ab"])
+    asked = pairs.select("panel_id", F.explode(ends).alias("_e")).where(close(F.col("_e.diameter"), 5.0, 0.5))
+    return asked.groupBy("panel_id", F.col("_e.seq").alias("seq")).agg(F.count(F.lit(1)).alias("peers"))
 
 
-def classify(holes: DataFrame) -> DataFrame:
-    """(panel_id, seq, feature_class, confidence, priority) of circles; the first rule that fits wins."""
-    met = holes.join(grid_peers(holes), ["panel_id", "seq"], "left")
+def cascade() -> Column:
+    """(feature_class, confidence, priority) of a circle with its ``peers``; the first rule that fits wins."""
     d, layer, kind = F.col("diameter"), F.upper("layer"), layer_type(F.col("layer"))
     edge = g.edge_distance(F.col("x"), F.col("y"))
     dowel = F.when(close(d, 6.0, 0.2), hole_confidence(d, 6.0, 0.2, CEILINGS["material"])).when(close(d, 8.0, 0.2), hole_confidence(d, 8.0, 0.2, CEILINGS["material"])).otherwise(hole_confidence(d, 10.0, 0.2, CEILINGS["material"]))
@@ -69,7 +67,52 @@ def classify(holes: DataFrame) -> DataFrame:
     for name, cond, label, confidence in reversed(rules):
         label = F.lit(label) if isinstance(label, str) else label
         out = F.when(cond, F.struct(label.alias("feature_class"), confidence.alias("confidence"), F.lit(name).alias("priority"))).otherwise(out)
-    return met.select("panel_id", "seq", out.alias("_r")).select("panel_id", "seq", "_r.*")
+    return out
+
+
+def classify(holes: DataFrame) -> DataFrame:
+    """(panel_id, seq, feature_class, confidence, priority) of circles."""
+    met = holes.join(grid_peers(holes), ["panel_id", "seq"], "left")
+    return met.select("panel_id", "seq", cascade().alias("_r")).select("panel_id", "seq", "_r.*")
+
+
+def nodes(shapes: DataFrame) -> DataFrame:
+    """(panel_id, node, feature_class, confidence, priority) of all shapes of ``rules.with_panel``: outlines are profile cuts, circles go through the cascade of holes, arcs too as far as a size tells what they are, all else through that of contours."""
+    c = F.col
+    box = ["xmin", "ymin", "xmax", "ymax"]
+    inner = shapes.where("not is_boundary")
+    edge = shapes.where("is_boundary").select("panel_id", "node", F.lit("PROFILE_CUT").alias("feature_class"), F.lit(0.95).alias("confidence"), F.lit("P9").alias("priority"))
+    round_ = inner.where("radius is not null").select("panel_id", c("node").alias("seq"), "geometry_type", "x", "y", (2 * c("radius")).alias("diameter"), "layer", *box)
+    holes = classify(round_).withColumnRenamed("seq", "node")
+    known = holes.join(inner.select("panel_id", "node", "geometry_type"), ["panel_id", "node"]).where((c("geometry_type") == "circle") | c("priority").isin("P1", "P2", "P3", "P4", "P4b", "P5")).drop("geometry_type")
+    rest = inner.where("geometry_type <> 'circle'").join(known.select("panel_id", "node"), ["panel_id", "node"], "left_anti")
+    drawn = rest.select(F.struct("panel_id", "node").alias("contour_id"), F.upper("geometry_type").alias("entity_type"), "layer", "is_closed", (c("bx1") - c("bx0")).alias("w"), (c("by1") - c("by0")).alias("h"), c("perimeter").alias("length"), g.edge_distance(c("x"), c("y")).alias("edge"))
+    shaped = classify_contours(drawn).select("contour_id.*", "feature_class", "confidence", "priority")
+    return edge.unionByName(known).unionByName(shaped)
+
+
+def statuses(annotations: DataFrame) -> DataFrame:
+    """Adds ``status``: unknown under 0.30, uncertain under 0.60, else accepted; and whether an unknown class is listed as an alternative (under 0.75)."""
+    c = F.col("confidence")
+    return annotations.withColumns({"status": F.when((c < 0.30) | (F.col("feature_class") == "UNKNOWN_FEATURE"), "unknown").when(c < 0.60, "uncertain").otherwise("accepted"), "maybe_unknown": c < 0.75})
+
+
+# Categories of feature classes.
+CATEGORIES = {
+    "HOLE_FEATURES": OPERATIONS["DRILLING"],
+    "MILLED_FEATURES": ["POCKET", "THROUGH_POCKET", "GROOVE", "DADO", "RABBET", "OPEN_SLOT", "ENGRAVING"],
+    "PROFILE_FEATURES": ["PROFILE_CUT", "INTERNAL_CUTOUT", "CHAMFER", "FILLET"],
+}
+
+
+def coverage(annotations: DataFrame) -> DataFrame:
+    """(panel_id, nodes, known, coverage, holes, milled, profiles): how much of a panel is recognised, and features by category."""
+    n = lambda cond: F.sum(cond.cast("bigint"))
+    known = F.col("feature_class") != "UNKNOWN_FEATURE"
+    by = annotations.groupBy("panel_id").agg(F.count(F.lit(1)).alias("nodes"), n(known).alias("known"), *[n(F.col("feature_class").isin(CATEGORIES[k])).alias(a) for k, a in (("HOLE_FEATURES", "holes"), ("MILLED_FEATURES", "milled"), ("PROFILE_FEATURES", "profiles"))])
+    return by.select("panel_id", "nodes", "known", (F.col("known") / F.col("nodes")).alias("coverage"), "holes", "milled", "profiles")
+
+
 
 
 def operations(annotations: DataFrame) -> DataFrame:
@@ -92,11 +135,11 @@ def bore_clusters(holes: DataFrame) -> DataFrame:
 
 
 def layer_blind(holes: DataFrame) -> DataFrame:
-    """How much of a classification stands without layer names: nodes, agreeing nodes, known nodes of both."""
-    aware = classify(holes).select("panel_id", "seq", F.col("feature_class").alias("aware"))
-    blind = classify(holes.withColumn("layer", F.lit(""))).select("panel_id", "seq", F.col("feature_class").alias("blind"))
+    """How much of a classification stands without layer names: nodes, agreeing nodes, known nodes of both. The grid's peers, which need no layers, are counted once."""
+    met = holes.join(grid_peers(holes), ["panel_id", "seq"], "left")
+    both = met.select(cascade()["feature_class"].alias("aware"), "*").withColumn("layer", F.lit("")).select("aware", cascade()["feature_class"].alias("blind"))
     one = lambda c: F.sum(c.cast("bigint"))
-    return aware.join(blind, ["panel_id", "seq"]).agg(F.count(F.lit(1)).alias("nodes"), one(F.col("aware") == F.col("blind")).alias("agreeing"), one(F.col("aware") != "UNKNOWN_FEATURE").alias("aware_known"), one(F.col("blind") != "UNKNOWN_FEATURE").alias("blind_known"))
+    return both.agg(F.count(F.lit(1)).alias("nodes"), one(F.col("aware") == F.col("blind")).alias("agreeing"), one(F.col("aware") != "UNKNOWN_FEATURE").alias("aware_known"), one(F.col("blind") != "UNKNOWN_FEATURE").alias("blind_known"))
 
 
 def congruent_pairs(panels: DataFrame, tol: float = 3.0) -> DataFrame:
@@ -118,8 +161,6 @@ def edge_hole_counts(holes: DataFrame, within: float = 50.0) -> DataFrame:
 
 def nearest_spacing(holes: DataFrame, like: float = 0.6, most: float = 200.0, least: float = 0.1) -> DataFrame:
     """(panel_id, seq, spacing) of each hole to the nearest of like diameter within reach."""
-    from kerfspark.operators.pairs import near_pairs
-
     pairs = near_pairs(holes, "panel_id", "seq", most, (F.abs(F.col("diameter_a") - F.col("diameter_b")) <= like) & (distance() <= most), ["diameter"])
     both = pairs.select("panel_id", F.explode(F.array("seq_a", "seq_b")).alias("seq"), distance().alias("d")).where(F.col("d") > least)
     return both.groupBy("panel_id", "seq").agg(F.min("d").alias("spacing"))
@@ -133,8 +174,29 @@ def value_weights(values: DataFrame, column: str) -> DataFrame:
 
 
 def describe(values: DataFrame, column: str) -> DataFrame:
+    """Count, range, mean, deviation and interpolated percentiles; percentiles come from the counts of distinct values, ordered by ranges, so that no task holds them all."""
     c = F.col(column)
-    return values.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias("deviation"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.05)).alias("p05"), F.percentile(c, F.lit(0.95)).alias("p95"))
+    whole = values.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias("deviation"))
+    return whole.join(F.broadcast(quantiles(values, column, {"median": 0.5, "p05": 0.05, "p95": 0.95})))
+
+
+def quantiles(values: DataFrame, column: str, wanted: dict[str, float], groups: list[str] = ()) -> DataFrame:
+    """Linearly interpolated quantiles of a column, by groups (few rows of ranks a group), without a buffer of all values."""
+    by = values.where(F.col(column).isNotNull()).groupBy(*groups, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    key = F.struct(*groups, "_v") if groups else F.col("_v")
+    placed = ordered(by.withColumn("_key", key), "_key", "_n")
+    # ranks within the group: what is below it as a whole is taken off
+    first = placed.groupBy(*groups).agg(F.min("_n_below").alias("_start"), F.sum("_n").alias("_all"))
+    met = placed.join(F.broadcast(first), list(groups)) if groups else placed.join(F.broadcast(first))
+    low = F.col("_n_below") - F.col("_start")
+    out = []
+    for name, q in wanted.items():
+        at = (F.col("_all") - 1) * q
+        holds = lambda r, low=low: (low <= r) & (r < low + F.col("_n"))
+        under, over = F.max(F.when(holds(F.floor(at)), F.col("_v"))), F.max(F.when(holds(F.ceil(at)), F.col("_v")))
+        part = F.max(at - F.floor(at))
+        out.append((under + (over - under) * part).alias(name))
+    return met.groupBy(*groups).agg(*out)
 
 
 def dialect_reliance(holes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerfspark.operators.classify import nearest_bore
+from kerfspark.operators.classify import nearest_bore, quantiles
 
 # Bore, class, tolerance of the diameter, setback from the edge and its tolerance, in mm.
 CATALOGUE = [
@@ -35,7 +35,8 @@ def conformance(holes: DataFrame, spacings: DataFrame) -> DataFrame:
     gap = F.abs(F.col("m") - F.col("bore"))
     diameters = by.select(F.lit("diameter").alias("metric"), "feature_class", "bore", F.col("m").alias("measured"), F.col("bore").alias("expected"), gap.alias("deviation"), F.col("n").alias("support"), (gap <= F.col("tolerance")).alias("passed"))
     at = near.where(F.abs(F.round("diameter", 0) - F.col("bore")) < 0.51).join(known.where("setback is not null"), "bore")
-    mid = at.groupBy("bore", "feature_class", "setback", "setback_tolerance").agg(F.count(F.lit(1)).alias("n"), F.percentile("edge", F.lit(0.5)).alias("m")).where(F.col("n") >= SUPPORT)
+    counted = at.groupBy("bore", "feature_class", "setback", "setback_tolerance").agg(F.count(F.lit(1)).alias("n"))
+    mid = counted.join(F.broadcast(quantiles(at, "edge", {"m": 0.5}, ["bore"])), "bore").where(F.col("n") >= SUPPORT)
     gap = F.abs(F.col("m") - F.col("setback"))
     setbacks = mid.select(F.lit("edge_setback").alias("metric"), "feature_class", "bore", F.col("m").alias("measured"), F.col("setback").alias("expected"), gap.alias("deviation"), F.col("n").alias("support"), (gap <= F.col("setback_tolerance")).alias("passed"))
     s = spacings.where(F.col("spacing").between(20.0, 200.0))
@@ -55,5 +56,26 @@ def tuned(holes: DataFrame, panels: DataFrame, least: int = 5) -> DataFrame:
     source = F.when(enough, "measured").otherwise("catalogue").alias("source")
     target = by.select("parameter", F.when(enough, F.round("m", 2)).otherwise(F.col("bore")).alias("value"), source, "n")
     slack = by.select(F.regexp_replace("parameter", "_diameter_mm", "_tolerance_mm").alias("parameter"), F.when(enough, F.round(F.greatest(F.lit(0.2), 3 * F.col("s")), 2)).otherwise(0.5).alias("value"), source, "n")
-    thick = panels.where("thickness is not null").agg(F.percentile("thickness", F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("n")).select(F.lit("panel_thickness_mm").alias("parameter"), F.when(enough, F.round("m", 2)).otherwise(18.0).alias("value"), source, "n")
+    sizes = panels.agg(F.count("thickness").alias("n")).join(F.broadcast(quantiles(panels, "thickness", {"m": 0.5})))
+    thick = sizes.select(F.lit("panel_thickness_mm").alias("parameter"), F.when(enough, F.round("m", 2)).otherwise(18.0).alias("value"), source, "n")
     return target.unionByName(slack).unionByName(thick)
+
+
+def hole_rate(holes: DataFrame, panels: DataFrame) -> DataFrame:
+    """The mean number of holes a panel (the rate of a Poisson draw), panels without holes included."""
+    return panels.agg(F.count(F.lit(1)).alias("panels")).join(F.broadcast(holes.agg(F.count(F.lit(1)).alias("holes")))).select("panels", "holes", F.when(F.col("panels") > 0, F.col("holes") / F.col("panels")).alias("rate"))
+
+
+def dominant_spacing(spacings: DataFrame) -> DataFrame:
+    """The most frequent spacing in whole millimetres, the smaller of equals, with its count and share."""
+    by = spacings.where(F.col("spacing").isNotNull()).groupBy(F.bround("spacing", 0).alias("spacing")).agg(F.count(F.lit(1)).alias("n"))
+    whole = F.broadcast(by.agg(F.sum("n").alias("_all")))
+    best = by.agg(F.max_by(F.struct("spacing", "n"), F.struct("n", (-F.col("spacing")).alias("m"))).alias("_b"))
+    return best.join(whole).where("_b is not null").select("_b.spacing", "_b.n", (F.col("_b.n") / F.col("_all")).alias("share"))
+
+
+def summary(holes: DataFrame, panels: DataFrame, spacings: DataFrame) -> DataFrame:
+    """Counters of a corpus in one row."""
+    p = panels.agg(F.count(F.lit(1)).alias("panels"), F.countDistinct("project").alias("projects"), F.avg("w").alias("mean_width"), F.avg("h").alias("mean_height"))
+    h = holes.agg(F.count(F.lit(1)).alias("holes"), F.countDistinct("panel_id").alias("drilled_panels"), F.countDistinct("layer").alias("layers"))
+    return p.join(F.broadcast(h)).join(F.broadcast(spacings.agg(F.count("spacing").alias("spacings"))))

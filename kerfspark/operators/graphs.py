@@ -32,9 +32,93 @@ def out_of_range(features: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
-    """Successors and predecessors of each node, with its degrees."""
-    each = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
-    return each.groupBy(F.col("e.node").alias("node_id")).agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
+    """(node_id, neighbour, direction): successors and predecessors of each node, a row each, which a node with very many spreads over."""
+    return edges.select(F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.col("dst").alias("neighbour"), F.lit("out").alias("direction")), F.struct(F.col("dst").alias("node_id"), F.col("src").alias("neighbour"), F.lit("in").alias("direction")))).alias("e")).select("e.*")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    way = lambda d: F.sum((F.col("direction") == d).cast("bigint"))
+    return neighbours(edges).groupBy("node_id").agg(way("out").alias("out_degree"), way("in").alias("in_degree"))
+
+
+class Graphs:
+    """All graphs at once: ``nodes`` (graph_id, node_id, node_type, ...) and ``edges`` (graph_id, src, dst, edge_type); every method is a plan over them."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame):
+        self.nodes, self.edges = nodes, edges
+
+    def of_type(self, node_type: str) -> DataFrame:
+        return self.nodes.where(F.col("node_type") == node_type)
+
+    def geometry(self, geometry_type: str | None = None) -> DataFrame:
+        g = self.of_type("geometry")
+        return g if geometry_type is None else g.where(F.lower("geometry_type") == geometry_type.lower())
+
+    def boundary(self) -> DataFrame:
+        return self.geometry().where("is_outer_boundary")
+
+    def interior(self, closed: bool = False) -> DataFrame:
+        inner = self.geometry().where(~F.coalesce("is_outer_boundary", F.lit(False)))
+        return inner.where("is_closed") if closed else inner
+
+    def features(self, feature_class: str | None = None, least_confidence: float | None = None) -> DataFrame:
+        f = self.of_type("feature")
+        if feature_class is not None:
+            f = f.where(F.upper(F.trim("feature_class")) == feature_class.upper())
+        return f if least_confidence is None else f.where(F.coalesce("confidence", F.lit(0.0)) >= least_confidence)
+
+    def groups(self) -> DataFrame:
+        """(graph_id, group_id, node_id) of grouped features."""
+        return self.of_type("feature").where("group_id is not null").select("graph_id", "group_id", "node_id")
+
+    def of_edge(self, edge_type: str) -> DataFrame:
+        return self.edges.where(F.col("edge_type") == edge_type)
+
+    def edges_from(self, ids: DataFrame) -> DataFrame:
+        return self.edges.join(ids.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
+
+    def edges_to(self, ids: DataFrame) -> DataFrame:
+        return self.edges.join(ids.select(F.col("node_id").alias("dst")).distinct(), "dst", "left_semi")
+
+    def with_ids(self, ids: DataFrame) -> DataFrame:
+        return self.nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi")
+
+    def conflicts(self) -> DataFrame:
+        return self.of_edge("CONFLICTS_WITH").select("src", "dst")
+
+    def linked(self, edge_type: str, node_type: str, other: str) -> DataFrame:
+        """(node_id, linked_id) of nodes of one type with those of another that an edge of a type ties to them, in either direction."""
+        both = self.of_edge(edge_type).select(F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.col("dst").alias("linked_id")), F.struct(F.col("dst").alias("node_id"), F.col("src").alias("linked_id")))).alias("e")).select("e.*")
+        own = self.of_type(node_type).select("node_id").distinct()
+        to = self.of_type(other).select(F.col("node_id").alias("linked_id")).distinct()
+        return both.join(own, "node_id", "left_semi").join(to, "linked_id", "left_semi").select("node_id", "linked_id").distinct()
+
+    def features_for_geometry(self) -> DataFrame:
+        return self.linked("COMPOSES", "geometry", "feature")
+
+    def geometry_for_features(self) -> DataFrame:
+        return self.linked("COMPOSES", "feature", "geometry")
+
+    def violations(self, node_type: str = "feature") -> DataFrame:
+        return self.linked("APPLIES_TO", node_type, "constraint")
+
+    def summary(self) -> DataFrame:
+        """(node_type, nodes, graphs)."""
+        return self.nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("graph_id").alias("graphs"))
+
+
+def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(problem, node_id, other) of graphs: edges without an end, edges from a node to itself, confidences out of range, nodes given twice, features without geometry, operations without features."""
+    row = lambda d, problem, a, b=None: d.select(F.lit(problem).alias("problem"), F.col(a).alias("node_id"), (F.col(b) if b else F.lit(None)).cast("string").alias("other"))
+    loose = row(dangling(edges, nodes), "edge_without_end", "src", "dst")
+    twice = nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("graph_id", "node_type").alias("k")).where("k > 1")
+    wrong = nodes.where(~F.col("confidence").between(0.0, 1.0)).select("node_id").distinct()
+    empty = lambda kind: nodes.where(F.col("node_type") == kind).select("node_id").distinct().join(edges.select(F.col("src").alias("node_id")), "node_id", "left_anti")
+    parts = [row(self_loops(edges), "edge_to_itself", "src", "dst"), row(wrong, "confidence_out_of_range", "node_id"), row(twice, "node_given_twice", "node_id"), row(empty("feature"), "feature_without_geometry", "node_id"), row(empty("operation"), "operation_without_feature", "node_id")]
+    out = loose
+    for p in parts:
+        out = out.unionByName(p)
+    return out.distinct()
 
 
 def node_features(holes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A drawing may hold a third of all shapes, so shapes meet the contours around them through grid cells: a contour is listed in
 the cells its box covers, a point looks into its own cell. Shapes outside every panel look for the nearest one in cells of
-growing size, each round only for those that still have none.
+growing size, each round only for those that still have none; what is farther than all cells meets every panel of its drawing.
 """
 
 from __future__ import annotations
@@ -67,15 +67,16 @@ def nearest_panel(points: DataFrame, p: DataFrame) -> DataFrame:
         o = p.select("drawing", F.col("seq").alias("panel"), edges.alias("_e"), F.explode(F.sequence(at(F.col("xmin")), at(F.col("xmax")))).alias("_cx"), "ymin", "ymax").withColumn("_cy", F.explode(F.sequence(at(F.col("ymin")), at(F.col("ymax")))))
         gap = F.array_min(F.transform("_e", lambda e: g.segment_distance(F.col("x"), F.col("y"), e["a"][0], e["a"][1], e["b"][0], e["b"][1])))
         met = q.join(o, ["drawing", "_cx", "_cy"]).select("drawing", "seq", "panel", gap.alias("_gap"))
-        if k < ROUNDS - 1:
-            met = met.where(F.col("_gap") <= cell)
+        met = met.where(F.col("_gap") <= cell)
         best = cut(met.groupBy("drawing", "seq").agg(F.min_by("panel", F.struct("_gap", "panel")).alias("panel")))
         found = best if found is None else found.unionByName(best)
         left = cut(left.join(best, ["drawing", "seq"], "left_anti"))
         cell *= 4
-        if left.isEmpty():
-            break
-    return found
+        if not left._cut_rows:
+            return found
+    gap = F.array_min(F.transform(edges, lambda e: g.segment_distance(F.col("x"), F.col("y"), e["a"][0], e["a"][1], e["b"][0], e["b"][1])))
+    far = left.join(p.select("drawing", F.col("seq").alias("panel"), "vertices"), "drawing").select("drawing", "seq", "panel", gap.alias("_gap"))
+    return found.unionByName(far.groupBy("drawing", "seq").agg(F.min_by("panel", F.struct("_gap", "panel")).alias("panel")))
 
 
 def assign(shapes: DataFrame) -> DataFrame:

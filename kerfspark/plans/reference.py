@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from kerfspark.functions import geometry as g
 from kerfspark.functions import layers
 from kerfspark.operators import classify as c
-from kerfspark.operators import corpus, graphs, identify, metrics, model, nesting, pid, rules, synth, units
+from kerfspark.operators import benchmark, corpus, dataset, graphs, identify, metrics, model, nesting, pid, rules, synth, units
 from kerfspark.operators.pairs import band_pairs, distance, near_pairs
-from kerfspark.plans import bridge
+from kerfspark.plans import analysis, bridge
 from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_PANELS, SQL_PID, SQL_SHAPES
 from kerfspark.runtime import cut, table
 from kerfspark.sources import dxf, export
@@ -167,7 +167,13 @@ classes as (select panel_id, seq, priority, case priority when 'P1' then {_HOLE(
   when 'P6' then case when {_THROUGH(0.75)} >= 0.3 then 'THROUGH_HOLE' else 'UNKNOWN_FEATURE' end else case when {_THROUGH(0.7)} >= 0.3 then 'THROUGH_HOLE' else 'UNKNOWN_FEATURE' end end feature_class from p)"""
 add("classify_features", over_holes(c.classify), f"with {_CLASSES} select panel_id, seq, feature_class, round(confidence, 6) confidence, priority from classes")
 add("infer_operations", over_holes(lambda h: c.operations(c.classify(h))), f"with {_CLASSES} select panel_id, 'DRILLING' operation_type, count(*) nodes, round(sum(round(confidence * 10000)::bigint) / count(*) / 10000, 6) confidence from classes where feature_class <> 'UNKNOWN_FEATURE' group by 1")
-add("layer_blind", over_holes(c.layer_blind))
+add(
+    "layer_blind",
+    over_holes(c.layer_blind),
+    f"""with {_CLASSES}, b as (select panel_id, seq, case when abs(diameter - 35) <= 1 and abs(edge - 22.5) <= 2 then 'HINGE_CUP_HOLE' when abs(diameter - 5) <= 0.5 and peers >= 2 then 'SHELF_PIN_HOLE' when abs(diameter - 7) <= 0.3::double then 'CONFIRMAT_HOLE'
+    when abs(diameter - 6) <= 0.2::double or abs(diameter - 8) <= 0.2::double or abs(diameter - 10) <= 0.2::double then 'DOWEL_HOLE' when diameter between 20 and 50 then 'HARDWARE_HOLE' when {_THROUGH(0.7)} >= 0.3 then 'THROUGH_HOLE' else 'UNKNOWN_FEATURE' end blind from k)
+    select count(*) nodes, count(*) filter (feature_class = blind) agreeing, count(*) filter (feature_class <> 'UNKNOWN_FEATURE') aware_known, count(*) filter (blind <> 'UNKNOWN_FEATURE') blind_known from classes join b using (panel_id, seq)""",
+)
 _BORE = "list_min(list_transform([5.0, 6.0, 7.0, 8.0, 10.0, 15.0, 35.0]::double[], lambda b: {'gap': abs(%s - b), 'bore': b})).bore"
 add("hole_clusters", over_holes(c.bore_clusters), f"with {SQL_HOLES} select {_BORE % 'diameter'} bore, count(*) n, round(count(*) / (select count(*) from holes), 6) share, round(avg(diameter), 6) mean, round(stddev_pop(diameter), 6) deviation from holes group by 1")
 add("dialect_reliance", over_holes(c.dialect_reliance), f"with {SQL_HOLES}, b as (select project, round(diameter, 1) dominant, count(*) n from holes group by 1, 2), m as (select *, sum(n) over (partition by project)::bigint holes, row_number() over (partition by project order by n desc, dominant) r from b) select project, holes, dominant, round(n / holes, 6) share, n / holes >= 0.6 and abs(dominant - {_BORE % 'dominant'}) > 0.6 relies_on_layers from m where r = 1")
@@ -257,7 +263,7 @@ add(
     """with m as (select label, i, avg(v::double) m from (select label, unnest(embedding) v, generate_subscripts(embedding, 1) i from embeddings where label is not null) group by 1, 2), e as (select vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) i from embeddings),
     g as (select vec_id, label, sqrt(sum((v - m) * (v - m))) dist from e join m using (i) group by 1, 2) select vec_id, arg_min(label, dist) predicted, round(min(dist), 6) distance from g group by 1""",
 )
-add("synthetic_gate", lambda s, d: synth.gated(synth.generate(s, 2000, seed=42)).groupBy("intended_valid", "fault").agg(F.count(F.lit(1)).alias("samples")))
+add("synthetic_gate", lambda s, d: synth.gated(synth.generate(s, table(s, d, "generated_samples").count(), seed=42)).groupBy("intended_valid", "fault").agg(F.count(F.lit(1)).alias("samples")))
 
 
 def nest_shapes(s: SparkSession, d: str) -> DataFrame:
@@ -361,7 +367,9 @@ add("roc_auc", lambda s, d: metrics.roc_auc(truth(s, d), "y", "score"), f"with {
 add("best_f1_threshold", lambda s, d: metrics.best_threshold(truth(s, d), "y", "score"), f"with {_TRUTH}, g as (select k / 100.0::double threshold, (select count(*) from t where y and score >= k / 100.0::double) tp, (select count(*) from t where not y and score >= k / 100.0::double) fp, (select count(*) from t where y) p from range(101) r(k)), f as (select threshold, 2 * tp / (tp + fp + p) f1 from g) select threshold, round(f1, 6) f1 from f order by f1 desc, threshold limit 1")
 add("reliability_curve", lambda s, d: metrics.reliability(truth(s, d).withColumn("score", F.col("score")), "score", "y"), f"with {_TRUTH}, b as (select least(floor(score * 10), 9)::int bin, count(*) n, avg(score) mean_confidence, avg(y::int) accuracy from t group by 1) select bin, n, round(mean_confidence, 6) mean_confidence, round(accuracy, 6) accuracy from b")
 add("ece", lambda s, d: metrics.calibration_error(metrics.reliability(truth(s, d), "score", "y")), f"with {_TRUTH}, b as (select least(floor(score * 10), 9)::int bin, count(*) n, avg(score) c, avg(y::int) a from t group by 1) select round(sum(n * abs(c - a)) / sum(n), 6) ece from b")
-add("isotonic_fit", lambda s, d: metrics.isotonic(truth(s, d), "score", "y"))
+_STEPS = f"{_TRUTH}, b as (select score x, count(*) n, count(*) filter (y) k from t group by 1), o as (select *, row_number() over (order by x) i, sum(n) over (order by x) cn, sum(k) over (order by x) ck from b), v as (select a.i i, z.i j, (z.ck - a.ck + a.k)::double / (z.cn - a.cn + a.n) m from o a join o z on z.i >= a.i), f as (select o.i, x, n, (select max(low) from (select p.i, min(p.m) low from v p where p.i <= o.i and p.j >= o.i group by p.i)) y from o)"
+add("isotonic_fit", lambda s, d: metrics.isotonic(truth(s, d), "score", "y"), f"with {_STEPS} select min(x) x_from, max(x) x_to, sum(n)::bigint n, round(y, 6) y from f group by round(y, 9), round(y, 6)")
+add("calibrated", lambda s, d: metrics.calibrated(truth(s, d).select("doc_id", "score"), metrics.isotonic(truth(s, d), "score", "y"), "score"), f"with {_STEPS} select doc_id, score, round(f.y, 6) calibrated from t join f on t.score = f.x")
 add("class_weights", lambda s, d: metrics.class_weights(truth(s, d), "truth"), f"with {_TRUTH}, b as (select truth as label, count(*) n from t group by 1) select label, n, round((select sum(n) from b) / ((select count(*) from b) * n), 6) weight from b")
 _SETS = "s as (select node_id, list_distinct(list_filter(feature_node_ids, lambda x: x is not null)) a from operation_nodes where feature_node_ids is not null)"
 add("set_agreement", lambda s, d: metrics.set_agreement(_sets(s, d), "a", "b", 21), f"with {_SETS}, o as (select (node_id like '%0')::int * len(a) off from s) select round(sum(off) / (count(*) * 21), 6) hamming_loss, round(avg((off = 0)::int), 6) subset_accuracy from o")
@@ -390,12 +398,171 @@ _EDGES = "e as (select distinct node_id src, dst from (select node_id, unnest(ge
 add("dangling_edges", lambda s, d: graphs.dangling(feature_edges(s, d), all_nodes(s, d)), f"with {_EDGES} select src, dst, src not in (select node_id from n) src_missing, dst not in (select node_id from n) dst_missing from e where src not in (select node_id from n) or dst not in (select node_id from n)")
 add("orphan_nodes", lambda s, d: graphs.orphans(table(s, d, "geometry_nodes"), table(s, d, "feature_nodes")), f"with {_EDGES} select distinct node_id, graph_id from geometry_nodes where node_id not in (select dst from e)")
 add("out_of_range", lambda s, d: graphs.out_of_range(table(s, d, "feature_nodes")), "select distinct node_id, coalesce(not (confidence between 0 and 1), false) bad_confidence, coalesce(diameter_mm <= 0, false) bad_diameter from feature_nodes where not (confidence between 0 and 1) or diameter_mm <= 0")
-add("neighbours", lambda s, d: graphs.neighbours(feature_edges(s, d)), f"with {_EDGES} select node_id, sum(o)::bigint out_degree, sum(i)::bigint in_degree from (select src node_id, 1 o, 0 i from e union all select dst, 0, 1 from e) group by 1")
+add("neighbours", lambda s, d: graphs.neighbours(feature_edges(s, d)), f"with {_EDGES} select src node_id, dst neighbour, 'out' direction from e union all select dst, src, 'in' from e")
+add("degrees", lambda s, d: graphs.degrees(feature_edges(s, d)), f"with {_EDGES} select node_id, sum(o)::bigint out_degree, sum(i)::bigint in_degree from (select src node_id, 1 o, 0 i from e union all select dst, 0, 1 from e) group by 1")
 add("nest_layouts", lambda s, d: graphs.nest_layouts(table(s, d, "nested_panels")), "with p as (select distinct on (panel_id) * from nested_panels where len(bounding_box) = 4) select layout_id, count(*) panels, round(sum(area_mm2), 6) used, round(sum(area_mm2) / ((max(bounding_box[3]) - min(bounding_box[1])) * (max(bounding_box[4]) - min(bounding_box[2]))), 6) utilisation from p group by 1")
 add("nest_overlaps", lambda s, d: graphs.nest_overlaps(table(s, d, "nested_panels")), "with p as (select distinct on (panel_id) layout_id, panel_id, bounding_box b from nested_panels where len(bounding_box) = 4), m as (select x.layout_id, x.panel_id panel_a, y.panel_id panel_b, least(x.b[3], y.b[3]) - greatest(x.b[1], y.b[1]) w, least(x.b[4], y.b[4]) - greatest(x.b[2], y.b[2]) h from p x join p y on x.layout_id = y.layout_id and x.panel_id < y.panel_id) select layout_id, panel_a, panel_b, round(w * h, 6) overlap from m where w > 0 and h > 0")
 add("cytoscape", exported(graphs.to_cytoscape))
 
 # process diagrams
-add("pid_tags", lambda s, d: pid.tags(bridge.components(s, d)), f"with {SQL_PID}, p as (select component_id, tag, regexp_extract(tag, '^([A-Z]{{1,5}})-?\\s?(\\d{{1,5}})([A-Z]?)$', 1) l, regexp_extract(tag, '(\\d+)', 1)::int n from components) select component_id, tag, left(l, 1) variable, substr(l, 2) functions, n loop, regexp_full_match(substr(l, 2), '[ABCDEGHIKLMNOPQRSTUVWXYZ]+') valid from p")
+_NAMES = lambda table: "map {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+_TAGS = f"""p as (select component_id, tag, left(tag, 1) variable, substr(regexp_extract(tag, '^([A-Z]+)', 1), 2) functions, regexp_extract(tag, '([0-9]+)', 1) loop from components),
+t as (select *, regexp_full_match(functions, '[ABCEGHIKLMNOPRSTUVWYZ]*') valid from p),
+u as (select *, case when valid then concat_ws('_', {_NAMES(pid.VARIABLES)}[variable], nullif(array_to_string(list_transform(list_filter(string_split(functions, ''), lambda x: x <> ''), lambda x: {_NAMES(pid.MODIFIERS | pid.FUNCTIONS)}[x]), '_'), '')) else 'UNKNOWN_INSTRUMENT' end symbol_class from t)"""
+_LOOPS = "b as (select loop, count(*) components, bool_or(contains(functions, 'C')) c, bool_or(contains(functions, 'T')) t, bool_or(regexp_matches(functions, '[VZ]')) z from t where valid group by 1)"
+add("pid_tags", lambda s, d: pid.tags(bridge.components(s, d)), f"with {SQL_PID}, {_TAGS} select component_id, tag, variable, functions, loop, valid, symbol_class from u")
 add("pid_isolated", lambda s, d: pid.isolated(bridge.components(s, d), bridge.connections(s, d)), f"with {SQL_PID} select component_id, tag from components where component_id not in (select src from connections union select dst from connections)")
-add("pid_loops", lambda s, d: pid.loops(bridge.components(s, d)), f"with {SQL_PID}, p as (select regexp_extract(tag, '(\\d+)', 1)::int loop, substr(regexp_extract(tag, '^([A-Z]+)', 1), 2) f, left(tag, 1) v from components), b as (select loop, count(*) components, bool_or(contains(f, 'C')) c, bool_or(contains(f, 'T')) t, bool_or(contains(f, 'V') or contains(f, 'Z') or v = 'Z') z from p group by 1) select loop, components, t has_transmitter, z has_final_element, t and z complete from b where c")
+add("pid_loops", lambda s, d: pid.loops(bridge.components(s, d)), f"with {SQL_PID}, {_TAGS}, {_LOOPS} select loop, components, t has_transmitter, z has_final_element, t and z complete from b where c")
+add(
+    "pid_findings",
+    lambda s, d: pid.findings(bridge.components(s, d), bridge.connections(s, d)),
+    f"""with {SQL_PID}, {_TAGS}, {_LOOPS} select 'PID-TAG-001' rule_id, 'ERROR' severity, component_id::varchar node from t where not valid union all select 'PID-CONN-001', 'ERROR', component_id::varchar from components where component_id not in (select src from connections union select dst from connections)
+    union all select 'PID-LOOP-001', 'WARNING', component_id::varchar from t where valid and contains(functions, 'C') and loop in (select loop from b where c and not (t and z))""",
+)
+
+
+def symbols(s: SparkSession, d: str) -> DataFrame:
+    """Components with the symbol class a person gave: that of the tag, but for every ninth."""
+    own = pid.tags(bridge.components(s, d))
+    return own.select("component_id", "tag", F.when(F.col("component_id") % 9 == 0, "OTHER").otherwise(F.col("symbol_class")).alias("human"))
+
+
+add(
+    "pid_symbols",
+    lambda s, d: pid.symbol_scores(symbols(s, d), "human"),
+    f"""with {SQL_PID}, {_TAGS}, m as (select case when component_id % 9 = 0 then 'OTHER' else symbol_class end truth, symbol_class guess, count(*) n from u group by 1, 2), l as (select truth label from m union select guess from m),
+    k as (select label, coalesce((select sum(n) from m where truth = label), 0) support, coalesce((select sum(n) from m where guess = label), 0) said, coalesce((select sum(n) from m where truth = label and guess = label), 0) hit from l), f as (select support, case when support + said > 0 then 2 * hit / (support + said) else 0 end f1 from k),
+    a as (select (sum(n) filter (truth = guess)) / sum(n) accuracy from m) select round(avg(f1), 6) macro_f1, round(avg(f1) filter (support > 0), 6) macro_f1_present, round(any_value(accuracy), 6) micro_f1, round(any_value(accuracy), 6) accuracy, avg(f1) filter (support > 0) >= 0.80 passed from f, a""",
+)
+
+# graphs of all tables
+
+
+def all_graphs(s: SparkSession, d: str) -> graphs.Graphs:
+    links = cut(graph_links(s, d))
+    kinds = graph_nodes(s, d, links)
+    typed = links.join(kinds.select(F.col("node_id").alias("src"), "node_type").dropDuplicates(["src"]), "src", "left")
+    return graphs.Graphs(kinds, typed.select("graph_id", "src", "dst", F.when(F.col("node_type") == "feature", "COMPOSES").when(F.col("node_type") == "operation", "PRODUCES").alias("edge_type")))
+
+
+_LINKS = """f as (select graph_id, node_id src, unnest(geometry_node_ids) dst from feature_nodes), o as (select graph_id, node_id src, lower(trim(x)) dst from (select graph_id, node_id, unnest(feature_node_ids) x from operation_nodes)),
+links as (select distinct graph_id, src, dst, kind from (select *, 'COMPOSES' kind from f union all select *, 'PRODUCES' from o) where src is not null and trim(dst) <> ''),
+known as (select node_id, any_value(graph_id) graph_id, node_type from (select node_id, graph_id, 'geometry' node_type from geometry_nodes union all select node_id, graph_id, 'feature' from feature_nodes union all select node_id, graph_id, 'operation' from operation_nodes) where node_id is not null group by node_id, node_type),
+missing as (select node_id, min(graph_id) graph_id, 'missing' node_type from (select graph_id, src node_id from links union all select graph_id, dst from links) where node_id not in (select node_id from known) group by 1), nodes as (from known union all select node_id, graph_id, node_type from missing)"""
+add("graph_summary", lambda s, d: all_graphs(s, d).summary(), f"with {_LINKS} select node_type, count(*) nodes, count(distinct graph_id) graphs from nodes group by 1")
+add("features_for_geometry", lambda s, d: all_graphs(s, d).features_for_geometry(), f"with {_LINKS} select distinct dst node_id, src linked_id from links where kind = 'COMPOSES' and dst in (select node_id from known where node_type = 'geometry') and src in (select node_id from known where node_type = 'feature')")
+add("features_of_operations", lambda s, d: all_graphs(s, d).linked("PRODUCES", "operation", "feature"), f"with {_LINKS} select distinct src node_id, dst linked_id from links where kind = 'PRODUCES' and src in (select node_id from known where node_type = 'operation') and dst in (select node_id from known where node_type = 'feature')")
+add("sure_features", lambda s, d: all_graphs(s, d).features(least_confidence=0.9).select("graph_id", "node_id", "confidence"), "select any_value(graph_id) graph_id, node_id, round(any_value(confidence), 6) confidence from feature_nodes where node_id is not null group by node_id having any_value(confidence) >= 0.9")
+add("features_of_class", lambda s, d: all_graphs(s, d).features("dowel_hole").select("graph_id", "node_id"), "select any_value(graph_id) graph_id, node_id from feature_nodes where node_id is not null group by node_id having any_value(upper(trim(feature_class))) = 'DOWEL_HOLE'")
+add("circles", lambda s, d: all_graphs(s, d).geometry("CIRCLE").select("graph_id", "node_id"), "select any_value(graph_id) graph_id, node_id from geometry_nodes where node_id is not null group by node_id having any_value(lower(geometry_type)) = 'circle'")
+add("feature_groups", lambda s, d: all_graphs(s, d).groups(), "select any_value(graph_id) graph_id, any_value(group_id) group_id, node_id from feature_nodes where node_id is not null group by node_id having any_value(group_id) is not null")
+add("node_edges", lambda s, d: (lambda g: g.edges_from(g.features("dowel_hole")).select("src", "dst", "edge_type").distinct())(all_graphs(s, d)), f"with {_LINKS} select distinct src, dst, kind edge_type from links where src in (select node_id from feature_nodes where upper(trim(feature_class)) = 'DOWEL_HOLE') and src in (select node_id from known where node_type = 'feature')")
+
+
+def graph_integrity(s: SparkSession, d: str) -> DataFrame:
+    g = all_graphs(s, d)
+    return graphs.integrity(g.nodes.where("node_type <> 'missing'"), g.edges)
+
+
+add(
+    "graph_integrity",
+    graph_integrity,
+    f"""with {_LINKS} select 'edge_without_end' problem, src node_id, dst other from links where src not in (select node_id from known) or dst not in (select node_id from known) union select 'edge_to_itself', src, dst from links where src = dst
+    union select 'confidence_out_of_range', node_id, null from (select node_id, any_value(confidence) c from (select node_id, confidence from feature_nodes union all select node_id, confidence from operation_nodes) where node_id is not null group by 1) where not c between 0 and 1
+    union select 'node_given_twice', node_id, null from (select node_id from known group by 1 having count(*) > 1)
+    union select 'feature_without_geometry', node_id, null from known where node_type = 'feature' and node_id not in (select src from links) union select 'operation_without_feature', node_id, null from known where node_type = 'operation' and node_id not in (select src from links)""",
+)
+
+# whole panels: classes of all shapes, benchmark tasks, datasets, analysis of files
+
+
+def panel_classes(s: SparkSession, d: str) -> DataFrame:
+    return c.nodes(shapes_of(s, d))
+
+
+_ALLDISCS = "(select a.panel_id, a.node na, b.node nb, 2 * a.r da, 2 * b.r db, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) dist from discs a join discs b on a.panel_id = b.panel_id and a.node < b.node)"
+_NODE_CLASSES = f"""{SQL_SHAPES}, np as (select panel_id, node, count(*) peers from (select panel_id, na node, da d, db e, dist from {_ALLDISCS} union all select panel_id, nb, db, da, dist from {_ALLDISCS}) where abs(d - 5) <= 0.5 and abs(e - d) <= 0.5 and dist >= 1 and (dist % 32 < 1 or dist % 32 > 31) group by 1, 2),
+nk as (select s.*, 2 * r diameter, peers, {EDGE} edge from shapes s left join np using (panel_id, node)),
+nq as (select *, case when is_boundary then 'P9' when geometry_type = 'circle' then case when abs(diameter - 35) <= 1 and contains(layer, 'HINGE') then 'P1' when abs(diameter - 35) <= 1 and abs(edge - 22.5) <= 2 then 'P2' when abs(diameter - 5) <= 0.5 and peers >= 2 then 'P3'
+    when abs(diameter - 7) <= 0.5 and contains(layer, 'CONFIRMAT') then 'P4' when abs(diameter - 7) <= 0.3::double then 'P4b' when abs(diameter - 6) <= 0.2::double or abs(diameter - 8) <= 0.2::double or abs(diameter - 10) <= 0.2::double then 'P5'
+    when diameter between 20 and 50 and kind in ('drill', 'cut', 'unknown') then 'P5b' when kind = 'drill' or contains(layer, 'DRILL') then 'P6' else 'P7' end
+    when kind = 'engrave' then 'P7b' when is_closed and kind = 'pocket' and least(bx1 - bx0, by1 - by0) > 0.000001 and greatest(bx1 - bx0, by1 - by0) / nullif(least(bx1 - bx0, by1 - by0), 0) >= 5 and least(bx1 - bx0, by1 - by0) between 2 and 20 then 'P8a' when is_closed and kind = 'pocket' then 'P8' when is_closed and kind in ('cut', 'border') then 'P10' else 'P11' end priority from nk),
+nc as (select panel_id, node, priority, case priority when 'P1' then 'HINGE_CUP_HOLE' when 'P2' then 'HINGE_CUP_HOLE' when 'P3' then 'SHELF_PIN_HOLE' when 'P4' then 'CONFIRMAT_HOLE' when 'P4b' then 'CONFIRMAT_HOLE' when 'P5' then 'DOWEL_HOLE' when 'P5b' then 'HARDWARE_HOLE' when 'P9' then 'PROFILE_CUT' when 'P7b' then 'ENGRAVING' when 'P8a' then 'GROOVE' when 'P8' then 'POCKET' when 'P10' then 'INTERNAL_CUTOUT' when 'P11' then 'UNKNOWN_FEATURE'
+    when 'P6' then case when {_THROUGH(0.75)} >= 0.3 then 'THROUGH_HOLE' else 'UNKNOWN_FEATURE' end else case when {_THROUGH(0.7)} >= 0.3 then 'THROUGH_HOLE' else 'UNKNOWN_FEATURE' end end feature_class from nq)"""
+add("classify_nodes", lambda s, d: panel_classes(s, d).select("panel_id", "node", "feature_class", "priority"), f"with {_NODE_CLASSES} select panel_id, node, feature_class, priority from nc")
+add("coverage", lambda s, d: c.coverage(panel_classes(s, d)), f"""with {_NODE_CLASSES} select panel_id, count(*) nodes, count(*) filter (feature_class <> 'UNKNOWN_FEATURE') known, round(count(*) filter (feature_class <> 'UNKNOWN_FEATURE') / count(*), 6) coverage, count(*) filter (feature_class like '%_HOLE') holes,
+    count(*) filter (feature_class in ('POCKET', 'GROOVE', 'ENGRAVING')) milled, count(*) filter (feature_class in ('PROFILE_CUT', 'INTERNAL_CUTOUT')) profiles from nc group by 1""")
+
+
+def node_truth(s: SparkSession, d: str) -> DataFrame:
+    """The classes of a panel's shapes: truth by the nearest bore (what isn't a bore is what it is taken for), guess by the classifier."""
+    shapes = shapes_of(s, d)
+    bore = c.nearest_bore(2 * F.col("radius"))
+    names = F.create_map(*[F.lit(x) for b, n, *_ in corpus.CATALOGUE for x in (b, n)])
+    met = c.nodes(shapes).join(shapes.select("panel_id", "node", "geometry_type", "radius"), ["panel_id", "node"])
+    return met.select("panel_id", "node", F.when(F.col("geometry_type") == "circle", F.element_at(names, bore)).otherwise(F.col("feature_class")).alias("truth"), F.col("feature_class").alias("guess"))
+
+
+def benchmark_tasks(s: SparkSession, d: str) -> DataFrame:
+    shapes, found = judged_shapes(s, d)
+    nodes = cut(node_truth(s, d))
+    sets = nodes.groupBy("panel_id").agg(*[F.collect_set(n).alias(n) for n in ("truth", "guess")], F.sum((F.col("guess") == "UNKNOWN_FEATURE").cast("bigint")).alias("unknown"))
+    failed = rules.failed_nodes(found).groupBy("panel_id").agg(F.collect_set("node").alias("guess_nodes"))
+    none = F.array().cast("array<string>")
+    panels = cut(rules.report(shapes, found).join(sets, "panel_id").join(failed, "panel_id", "left").withColumns({"is_valid": F.col("panel_id") % 7 != 0, "guess_nodes": F.coalesce("guess_nodes", none)}))
+    truly = F.when(F.col("is_valid"), none).otherwise(F.array(F.lit("h1")))
+    validity = panels.select(F.col("is_valid").alias("truth"), F.col("overall_valid").alias("guess"), benchmark.validity(F.col("n_error")).alias("confidence"), truly.alias("truth_nodes"), "guess_nodes")
+    operations = panels.select(benchmark.operations_of(F.col("truth")).alias("truth"), benchmark.operations_of(F.col("guess")).alias("guess"))
+    anomalies = panels.select((~F.col("is_valid")).alias("truth"), benchmark.anomaly(F.col("n_error"), F.col("n_warning"), F.col("unknown")).alias("score"))
+    return benchmark.run(nodes, validity, operations, anomalies)
+
+
+_LABELS = ", ".join(f"'{x}'" for x in benchmark.FEATURE_CLASSES)
+_OPS = lambda col: "list_sort(list_filter([" + ", ".join(f"case when list_has_any({col}, {of}) then '{name}' end" for name, of in benchmark.OPERATIONS.items()) + f", case when len({col}) > 0 then 'NESTING' end], lambda x: x is not null))"
+_AUC = lambda table, flag, score: f"(select sum(p * (below + n / 2)) / (sum(p) * sum(n)) from (select p, n, coalesce(sum(n) over (order by z rows between unbounded preceding and 1 preceding), 0) below from (select {score} z, count(*) filter ({flag}) p, count(*) filter (not {flag}) n from {table} group by 1)))"
+add(
+    "benchmark_tasks",
+    benchmark_tasks,
+    _JUDGED.replace(f"with {SQL_SHAPES}", f"with {_NODE_CLASSES}")
+    + f""", nt as (select panel_id, node, case when geometry_type = 'circle' then case {_BORE % '(2 * r)'} when 5 then 'SHELF_PIN_HOLE' when 7 then 'CONFIRMAT_HOLE' when 15 then 'HARDWARE_HOLE' when 35 then 'HINGE_CUP_HOLE' else 'DOWEL_HOLE' end else feature_class end truth, feature_class guess from nc join shapes using (panel_id, node)),
+    m as (select truth, guess, count(*) n from nt group by 1, 2), l as (select unnest([{_LABELS}]) label), mi as (select * from m where truth in ({_LABELS}) and guess in ({_LABELS})),
+    k as (select label, coalesce((select sum(n) from mi where truth = label), 0) support, coalesce((select sum(n) from mi where guess = label), 0) said, coalesce((select sum(n) from mi where truth = label and guess = label), 0) hit from l),
+    f as (select support, case when support + said > 0 then 2 * hit / (support + said) else 0 end f1 from k),
+    t1 as (select avg(f1) macro_f1, avg(f1) filter (support > 0) macro_f1_present, (select sum(n) filter (truth = guess) / sum(n) from mi) micro_f1, (select sum(n) filter (truth = guess) / sum(n) from m) accuracy, (select sum(n) from m) units from f),
+    fn as (select panel_id, list(distinct node) nodes from (select panel_id, unnest(string_split(node, '+')) node from found join r using (panel_id) where node is not null and rule_id <> 'MFG-009' and (e1 = 0 or starts_with(rule_id, 'GEO'))) group by 1),
+    st as (select panel_id, list(distinct truth) ts, list(distinct guess) gs, count(*) filter (guess = 'UNKNOWN_FEATURE') unknown from nt group by 1),
+    pn as (select panel_id, panel_id % 7 <> 0 good, e1 = 0 and e2 = 0 said, e1 + case when e1 = 0 then e2 else 0 end ne, w1 + case when e1 = 0 then w2 else 0 end nw, unknown, coalesce(nodes, []) nodes, {_OPS('ts')} ot, {_OPS('gs')} og from r join st using (panel_id) left join fn using (panel_id)),
+    sc as (select *, 1 / (1 + ne) conf, (ne + 0.25::double * nw + 0.5::double * unknown) / (1 + ne + 0.25::double * nw + 0.5::double * unknown) score from pn),
+    cf as (select count(*) filter (good and said) tp, count(*) filter (not good and said) fp, count(*) filter (good and not said) fn, count(*) filter (not good and not said) tn, count(*) n from sc),
+    t2 as (select case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end binary_f1, (tp + tn) / n accuracy, case when fn + tp > 0 then fn / (fn + tp) else 0 end fpr, case when fp + tn > 0 then fp / (fp + tn) else 0 end fnr, {_AUC('sc', 'good', 'conf')} auroc, (select avg(case when list_contains(nodes, 'h1') then 1 / len(nodes) else 0 end) from sc where not good) iou, n units from cf),
+    ol as (select unnest({benchmark.OPERATION_LABELS}) label), ok as (select label, (select count(*) from sc where list_contains(ot, label)) support, (select count(*) from sc where list_contains(og, label)) said, (select count(*) from sc where list_contains(ot, label) and list_contains(og, label)) hit from ol),
+    t3 as (select avg(case when support + said > 0 then 2 * hit / (support + said) else 0 end) macro_f1, 2 * sum(hit) / (sum(support) + sum(said)) micro_f1, (select sum(len(list_filter(ot, lambda x: not list_contains(og, x))) + len(list_filter(og, lambda x: not list_contains(ot, x)))) / (count(*) * 4) from sc) hamming_loss, (select avg((ot = og)::int) from sc) subset_accuracy, (select count(*) from sc) units from ok),
+    th as (select q / 100.0::double thr, (select count(*) from sc where not good and round(score * 100, 6) >= q) tp, (select count(*) from sc where good and round(score * 100, 6) >= q) fp, (select count(*) from sc where not good) p from range(101) x(q)), bt as (select thr, case when tp > 0 then 2 * tp / (tp + fp + p) else 0 end f1 from th order by f1 desc, thr limit 1),
+    t4 as (select {_AUC('sc', '(not good)', 'score')} auroc, f1, case when f1 > 0 then thr else 0 end thr, (select count(*) from sc where not good) bad, (select count(*) from sc where good) fine, (select count(*) from sc) units from bt),
+    rows as (select 'BENCH-001' task_id, units, macro_f1 >= 0.8 passed, unnest(['macro_f1', 'macro_f1_present', 'micro_f1', 'accuracy']) metric, unnest([macro_f1, macro_f1_present, micro_f1, accuracy]) v from t1
+      union all select 'BENCH-002', units, binary_f1 >= 0.85 and fnr <= 0.1, unnest(['binary_f1', 'accuracy', 'fpr', 'fnr', 'auroc', 'violation_localization_iou']), unnest([binary_f1, accuracy, fpr, fnr, auroc, iou]) from t2
+      union all select 'BENCH-003', units, macro_f1 >= 0.85, unnest(['macro_f1', 'micro_f1', 'hamming_loss', 'subset_accuracy']), unnest([macro_f1, micro_f1, hamming_loss, subset_accuracy]) from t3
+      union all select 'BENCH-004', units, auroc >= 0.8, unnest(['auroc', 'f1_optimal', 'f1_optimal_threshold', 'n_anomalous', 'n_normal']), unnest([auroc, f1, thr, bad, fine]::double[]) from t4)
+    select task_id, units::bigint units, passed, metric, round(v::double, 6) as value, (task_id, metric) in (('BENCH-001', 'macro_f1'), ('BENCH-002', 'binary_f1'), ('BENCH-003', 'macro_f1'), ('BENCH-004', 'auroc')) is_primary from rows""",
+)
+
+
+def labelled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    shapes, found = judged_shapes(s, d)
+    report = cut(rules.report(shapes, found))
+    return cut(dataset.labels(shapes, c.nodes(shapes), report)), report, rules.results(shapes, found)
+
+
+add("dataset_documents", lambda s, d: dataset.documents(*labelled(s, d)))
+add(
+    "dataset_statistics",
+    lambda s, d: dataset.statistics(labelled(s, d)[0]),
+    _JUDGED.replace(f"with {SQL_SHAPES}", f"with {_NODE_CLASSES}")
+    + """, fc as (select panel_id, feature_class from nc where priority <> 'P9'), pk as (select r.panel_id, e1 = 0 and e2 = 0 good, count(distinct feature_class) k, count(feature_class) n, coalesce(bool_or(feature_class in ('GROOVE', 'POCKET', 'ENGRAVING', 'INTERNAL_CUTOUT')), false) mi, coalesce(bool_or(feature_class like '%_HOLE'), false) dr from r left join fc using (panel_id) group by 1, 2)
+    select 'split' what, case when panel_id % 100 < 70 then 'train' when panel_id % 100 < 85 then 'val' else 'test' end as value, count(*) n from pk group by 2 union all select 'is_valid', good::varchar, count(*) from pk group by 2
+    union all select 'complexity', case when k > 5 or n > 15 or (mi and dr) then 'complex' when k <= 3 and n <= 5 and not mi then 'simple' else 'medium' end, count(*) from pk group by 2 union all select 'feature_class', feature_class, count(*) from fc group by 2""",
+)
+add("analyze", lambda s, d: analysis.analyze(dxf.parse(drawings(s, d))))
+add("corpus_summary", lambda s, d: corpus.summary(bridge.holes(s, d), bridge.panels(s, d), c.nearest_spacing(bridge.holes(s, d))), f"with {SQL_HOLES}, n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200), sp as (select min(dist) spacing from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by panel_id, seq) select (select count(*) from panels) panels, (select count(distinct project) from panels) projects, (select round(avg(w), 6) from panels) mean_width, (select round(avg(h), 6) from panels) mean_height, count(*) holes, count(distinct panel_id) drilled_panels, count(distinct layer) layers, (select count(*) from sp) spacings from holes")
+add("hole_rate", lambda s, d: corpus.hole_rate(bridge.holes(s, d), bridge.panels(s, d)), f"with {SQL_HOLES} select (select count(*) from panels) panels, count(*) holes, round(count(*) / (select count(*) from panels), 6) rate from holes")
+add("dominant_spacing", lambda s, d: corpus.dominant_spacing(c.nearest_spacing(bridge.holes(s, d))), f"with {SQL_HOLES}, n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200), sp as (select round_even(min(dist), 0) spacing from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by panel_id, seq), b as (select spacing, count(*) n from sp group by 1) select spacing, n, round(n / (select sum(n) from b), 6) share from b order by n desc, spacing limit 1")

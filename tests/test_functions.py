@@ -11,7 +11,7 @@ from kerfspark.operators import classify, graphs, identify, metrics, pid, rules
 from kerfspark.operators.pairs import band_pairs, block_pairs, distance, near_pairs
 
 
-@pytest.mark.parametrize("layer,kind,depth,thickness", [("POCKET_6MM", "pocket", 6.0, 6.0), ("GROOVE_D6", "pocket", 6.0, None), ("ENGRAVE_1.5", "engrave", None, None), ("PANEL_18MM", "unknown", None, 18.0), ("THK18", "unknown", None, 18.0), ("pocket_3P5mm", "pocket", 3.5, 3.5), ("LAYER2", "unknown", None, None), ("DRILL_DP12", "drill", 12.0, None), (" cut ", "cut", None, None), ("", "unknown", None, None), (None, "unknown", None, None), ("D500", "unknown", None, None)])
+@pytest.mark.parametrize("layer,kind,depth,thickness", [("POCKET_6MM", "pocket", 6.0, 6.0), ("GROOVE_D6", "pocket", 6.0, None), ("ENGRAVE_1.5", "engrave", None, None), ("PANEL_18MM", "unknown", None, 18.0), ("THK18", "unknown", None, 18.0), ("pocket_3P5mm", "pocket", 3.5, 3.5), ("LAYER2", "unknown", None, None), ("DRILL_DP12", "drill", 12.0, None), (" cut ", "cut", None, None), ("", "unknown", None, None), (None, "unknown", None, None), ("D500", "unknown", None, None), ("DRILL_D5_A", "drill", None, None), ("POCKET_DEPTH=6.5", "pocket", 6.5, None), ("POCKET_D6.5X", "pocket", 6.0, None), ("POCKET 12 MM deep", "pocket", 12.0, 12.0), ("POCKET_D1000", "pocket", None, None), ("CUT_ST19", "cut", None, 19.0), ("POCKET_6MM_A", "pocket", None, None), ("POCKET_.5MM", "pocket", None, None)])
 def test_layers(spark, layer, kind, depth, thickness):
     k = layers.layer_type(F.col("l"))
     r = spark.createDataFrame([(layer,)], "l string").select(k.alias("k"), layers.depth_from_layer(F.col("l"), k).alias("d"), layers.thickness_from_layer(F.col("l")).alias("t")).first()
@@ -66,11 +66,38 @@ def test_pairs_against_all_pairs(spark):
 
 
 def test_isotonic(spark):
+    """Steps rise, hold all rows, and are the textbook fit whatever the number of ranges."""
     r = random.Random(1)
-    rows = [(round(i / 200, 3), r.random() < i / 200) for i in range(201) for _ in range(5)]
-    fit = metrics.isotonic(spark.createDataFrame(rows, "c double, ok boolean"), "c", "ok").orderBy("x").collect()
+    rows = [(i / 20_000, r.random() < i / 20_000) for i in range(0, 20_001, 13)] * 2 + [(1.7, True), (-3.0, False), (None, True)]
+    d = spark.createDataFrame(rows, "c double, ok boolean")
+    fit = metrics.isotonic(d, "c", "ok").orderBy("x_from").collect()
     ys = [x.y for x in fit]
-    assert ys == sorted(ys) and len(fit) == 201 and abs(sum(ys) / 201 - sum(ok for _, ok in rows) / len(rows)) < 1e-9
+    assert ys == sorted(set(ys)) and sum(x.n for x in fit) == len(rows) - 1
+    steps: list = []
+    known = sorted((min(1.0, max(0.0, c)), ok) for c, ok in rows if c is not None)
+    for c in sorted({k[0] for k in known}):
+        hits = [ok for k, ok in known if k == c]
+        steps.append([c, c, len(hits), sum(hits)])
+        while len(steps) > 1 and steps[-2][3] / steps[-2][2] >= steps[-1][3] / steps[-1][2]:
+            _, hi, n, k = steps.pop()
+            steps[-1] = [steps[-1][0], hi, steps[-1][2] + n, steps[-1][3] + k]
+    assert [(x.x_from, x.x_to, x.n) for x in fit] == [tuple(x[:3]) for x in steps]
+    asked = spark.createDataFrame([(-1.0,), (0.5,), (2.0,)], "c double")
+    got = [x.calibrated for x in metrics.calibrated(asked, metrics.isotonic(d, "c", "ok"), "c").orderBy("c").collect()]
+    assert got == sorted(got) and got[0] == round(ys[0], 6) and got[-1] == round(ys[-1], 6)
+    assert [x.calibrated for x in metrics.calibrated(asked, metrics.isotonic(d.limit(0), "c", "ok"), "c").orderBy("c").collect()] == [-1.0, 0.5, 2.0]
+
+
+def test_ordered_and_quantiles(spark):
+    r = random.Random(4)
+    rows = [(r.choice("ab"), r.choice([r.random(), 0.5, 0.25])) for _ in range(500)] + [("c", 1.0), ("a", None)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {x.g: (x.m, x.p) for x in classify.quantiles(d, "v", {"m": 0.5, "p": 0.9}, ["g"]).collect()}
+    for g in "abc":
+        v = sorted(x[1] for x in rows if x[0] == g and x[1] is not None)
+        at = lambda q, v=v: v[int(q * (len(v) - 1))] + (v[min(len(v) - 1, int(q * (len(v) - 1)) + 1)] - v[int(q * (len(v) - 1))]) * (q * (len(v) - 1) % 1)
+        assert math.isclose(got[g][0], at(0.5)) and math.isclose(got[g][1], at(0.9))
+    assert classify.describe(d.limit(0), "v").first().median is None
 
 
 def test_metrics_of_nothing(spark):
@@ -81,9 +108,16 @@ def test_metrics_of_nothing(spark):
 
 
 def test_tags_and_loops(spark):
-    c = spark.createDataFrame([(i, t) for i, t in enumerate(["FT-101", "FIC-101", "FV-101", "XYZ", "9T-101", "ÜT-101", "2-101", "TIC-205", "psv 310", None, ""])], "component_id int, tag string")
-    assert {r.tag for r in pid.tags(c).where("valid").collect()} == {"FT-101", "FIC-101", "FV-101", "TIC-205", "psv 310"}
-    assert {(r.loop, r.complete) for r in pid.loops(c).collect()} == {(101, True), (205, False)}
+    tags = ["FT-101", "FIC-101", "FV-101", "XYZ", "9T-101", "ÜT-101", "2-101", "TIC-205", "psv 310", None, "", "P-101", "LAH-120", "FJC-9", "FC--7", "TC- 12a", "ABCDEFG-1", "T-123456"]
+    c = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "component_id int, tag string")
+    got = {r.tag: r for r in pid.tags(c).collect()}
+    assert {t for t, r in got.items() if r.valid} == {"FT-101", "FIC-101", "FV-101", "TIC-205", "psv 310", "P-101", "LAH-120", "TC- 12a"}
+    assert got[None].valid is None and got[""].valid is None
+    assert (got["FIC-101"].symbol_class, got["P-101"].symbol_class, got["LAH-120"].symbol_class, got["XYZ"].symbol_class) == ("FLOWRATE_INDICATE_CONTROL", "PRESSURE", "LEVEL_ALARM_HIGH", "UNKNOWN_INSTRUMENT")
+    assert {(r.loop, r.complete) for r in pid.loops(c).collect()} == {("101", True), ("205", False), ("12", False)}
+    links = spark.createDataFrame([(0, 1), (1, 2)], "src int, dst int")
+    found = {(r.rule_id, r.node) for r in pid.findings(c, links).collect()}
+    assert {("PID-TAG-001", "3"), ("PID-CONN-001", "7"), ("PID-LOOP-001", "7")} <= found and not {("PID-TAG-001", "9"), ("PID-LOOP-001", "1"), ("PID-CONN-001", "0")} & found
 
 
 def shape_rows(panel, w, h, circles=(), rings=(), outline=None):
