@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerfspark.operators.classify import nearest_bore, quantiles
+from kerfspark.operators.classify import bore_clusters, nearest_bore, quantiles, value_weights
 
 # Bore, class, tolerance of the diameter, setback from the edge and its tolerance, in mm.
 CATALOGUE = [
@@ -47,7 +49,7 @@ def conformance(holes: DataFrame, spacings: DataFrame) -> DataFrame:
     return diameters.unionByName(setbacks).unionByName(spaced)
 
 
-def tuned(holes: DataFrame, panels: DataFrame, least: int = 5) -> DataFrame:
+def tuned(holes: DataFrame, panels: DataFrame, spacings: DataFrame | None = None, least: int = 5) -> DataFrame:
     """(parameter, value, source, n): rule parameters measured where there are enough values, else the catalogue's."""
     near = holes.withColumn("bore", nearest_bore(F.col("diameter"))).where(F.abs(F.col("diameter") - F.col("bore")) <= 1.0)
     names = F.create_map(*[F.lit(x) for p in ((5.0, "shelf_pin_diameter_mm"), (7.0, "confirmat_diameter_mm"), (35.0, "hinge_cup_diameter_mm")) for x in p])
@@ -58,7 +60,14 @@ def tuned(holes: DataFrame, panels: DataFrame, least: int = 5) -> DataFrame:
     slack = by.select(F.regexp_replace("parameter", "_diameter_mm", "_tolerance_mm").alias("parameter"), F.when(enough, F.round(F.greatest(F.lit(0.2), 3 * F.col("s")), 2)).otherwise(0.5).alias("value"), source, "n")
     sizes = panels.agg(F.count("thickness").alias("n")).join(F.broadcast(quantiles(panels, "thickness", {"m": 0.5})))
     thick = sizes.select(F.lit("panel_thickness_mm").alias("parameter"), F.when(enough, F.round("m", 2)).otherwise(18.0).alias("value"), source, "n")
-    return target.unionByName(slack).unionByName(thick)
+    out = target.unionByName(slack).unionByName(thick)
+    if spacings is None:
+        return out
+    best = dominant_spacing(spacings).select(F.col("spacing").alias("_s"))
+    near = spacings.join(F.broadcast(best)).where(F.abs(F.col("spacing") - F.col("_s")) <= 1.0).groupBy("_s").agg(F.count(F.lit(1)).alias("n"))
+    none = spacings.sparkSession.range(1).select(F.lit("shelf_pin_spacing_mm").alias("parameter"))
+    pitch = none.join(F.broadcast(near), how="left").select("parameter", F.when(enough, F.round("_s", 2)).otherwise(GRID_MM).alias("value"), F.when(enough, "measured").otherwise("catalogue").alias("source"), F.coalesce("n", F.lit(0)).alias("n"))
+    return out.unionByName(pitch)
 
 
 def hole_rate(holes: DataFrame, panels: DataFrame) -> DataFrame:
@@ -79,3 +88,26 @@ def summary(holes: DataFrame, panels: DataFrame, spacings: DataFrame) -> DataFra
     p = panels.agg(F.count(F.lit(1)).alias("panels"), F.countDistinct("project").alias("projects"), F.avg("w").alias("mean_width"), F.avg("h").alias("mean_height"))
     h = holes.agg(F.count(F.lit(1)).alias("holes"), F.countDistinct("panel_id").alias("drilled_panels"), F.countDistinct("layer").alias("layers"))
     return p.join(F.broadcast(h)).join(F.broadcast(spacings.agg(F.count("spacing").alias("spacings"))))
+
+
+def weighted_summary(values: DataFrame, value: str, weight: str) -> DataFrame:
+    """Count, range and weighted mean of a list of values with their weights."""
+    v, w = F.col(value), F.col(weight)
+    return values.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("mean"))
+
+
+def profile(holes: DataFrame, panels: DataFrame, spacings: DataFrame) -> DataFrame:
+    """(section, name, value) of a corpus's distributions: bores by canonical size, widths, heights and thicknesses by whole mm with their shares, the rate of holes, the dominant spacing."""
+    row = lambda d, section, name, value: d.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"))
+    parts = [row(bore_clusters(holes), "bore_share", "bore", "share"), row(bore_clusters(holes), "bore_mean", "bore", "mean")]
+    parts += [row(value_weights(panels, c), n, "value", "share") for c, n in (("w", "width"), ("h", "height"), ("thickness", "thickness"))]
+    parts += [row(hole_rate(holes, panels).withColumn("k", F.lit("rate")), "holes", "k", "rate"), row(dominant_spacing(spacings).withColumn("k", F.lit("dominant")), "spacing", "k", "spacing")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def tuned_yaml(parameters: DataFrame) -> str:
+    """The tuned parameters (a handful of rows) as a YAML document."""
+    import yaml
+
+    rows = parameters.collect()
+    return yaml.safe_dump({"parameters": {r["parameter"]: r["value"] for r in rows}, "sources": {r["parameter"]: r["source"] for r in rows}, "measured": {r["parameter"]: r["n"] for r in rows}}, sort_keys=True)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Millimetres within which two lengths are the same; a thickness up to which a panel is a back.
+# Millimetres within which two lengths are the same; a thickness up to which a panel is a back.
 SAME_MM, BACK_MM = 3.0, 8.0
-#: Least area of a door, least length-to-width of a shelf, least pin holes of a side.
+# Least area of a door, least length-to-width of a shelf, least pin holes of a side.
 DOOR_MM2, LONG, PINS = 80_000.0, 3.0, 4
 ACCEPT = 0.75
 
@@ -75,6 +75,65 @@ def assemblies(roles: DataFrame) -> DataFrame:
     return by.select("project", "panels", solved.alias("solved"), F.when(solved, F.least(F.lit(0.85), 0.4 + 0.1 * F.col("panels") + 0.05)).otherwise(0.0).alias("confidence"))
 
 
+# Part types of a carcass and of a drawer.
+CARCASS_PARTS = ["SIDE_PANEL", "TOP_PANEL", "BOTTOM_PANEL", "BACK_PANEL", "SHELF"]
+DRAWER_PARTS = ["DRAWER_FRONT", "DRAWER_SIDE", "DRAWER_BACK", "DRAWER_BOTTOM"]
+
+
+def grouped(panels: DataFrame, part_table: DataFrame, roles: DataFrame, tol: float = 1.0) -> DataFrame:
+    """(project, panel_id, assembly_id, part_type, how) of every panel: all panels of a project that solves as a carcass together, with the roles found; else those of one thickness band, two and more; else each alone.
+
+    An assembly is named by its project and smallest panel.
+    """
+    c = F.col
+    solved = assemblies(roles).where("solved").select("project", F.lit(True).alias("_solved"))
+    role = roles.select("panel_id", "role")
+    known = panels.select("project", "panel_id", F.bround(c("thickness") / tol, 0).alias("_band")).join(part_table.select("panel_id", "part_type"), "panel_id", "left").join(solved, "project", "left").join(role, "panel_id", "left")
+    bands = known.where("_solved is null and _band is not null").groupBy("project", "_band").agg(F.count(F.lit(1)).alias("_n"), F.min("panel_id").alias("_first"))
+    whole = known.where("_solved").groupBy("project").agg(F.min("panel_id").alias("_least"))
+    met = known.join(bands, ["project", "_band"], "left").join(whole, "project", "left")
+    how = F.when(c("_solved"), "carcass").when(c("_n") >= 2, "band").otherwise("single")
+    first = F.when(c("_solved"), c("_least")).when(c("_n") >= 2, c("_first")).otherwise(c("panel_id"))
+    return met.select("project", "panel_id", F.concat_ws(":", "project", first).alias("assembly_id"), F.when(c("_solved"), F.coalesce("role", "part_type")).otherwise(F.coalesce("part_type", F.lit("UNKNOWN_PART"))).alias("part_type"), how.alias("how"))
+
+
+def assembly_table(groups: DataFrame, roles: DataFrame) -> DataFrame:
+    """(project, assembly_id, panels, assembly_type, confidence, how) of each assembly."""
+    c = F.col
+    by = groups.groupBy("project", "assembly_id", "how").agg(F.count(F.lit(1)).alias("panels"), F.collect_set("part_type").alias("_p"))
+    sure = assemblies(roles).where("solved").select("project", F.col("confidence").alias("_c"))
+    met = by.join(sure, "project", "left")
+    drawer = F.arrays_overlap("_p", F.lit(DRAWER_PARTS))
+    body = F.size(F.array_intersect("_p", F.lit(CARCASS_PARTS))) >= 2
+    carcass = c("how") == "carcass"
+    kind = F.when(carcass | (body & ~drawer), "CARCASS").when(drawer, "DRAWER").otherwise("UNKNOWN_ASSEMBLY")
+    confidence = F.when(carcass, c("_c")).when(drawer, 0.6).when(body, 0.7).when(c("panels") >= 2, 0.4).otherwise(0.2)
+    return met.select("project", "assembly_id", "panels", kind.alias("assembly_type"), confidence.alias("confidence"), "how")
+
+
+def joints(groups: DataFrame) -> DataFrame:
+    """(project, assembly_id, panel_a, panel_b, confidence): sides of a carcass with its caps, the two sides of each being few."""
+    named = groups.where("how = 'carcass'")
+    sides = named.where("part_type = 'SIDE_PANEL'").select("project", "assembly_id", F.col("panel_id").alias("panel_a"))
+    caps = named.where(F.col("part_type").isin("TOP_PANEL", "BOTTOM_PANEL", "SHELF")).select("project", "assembly_id", F.col("panel_id").alias("panel_b"))
+    return sides.join(caps, ["project", "assembly_id"]).withColumn("confidence", F.lit(0.5))
+
+
+def projects(table: DataFrame) -> DataFrame:
+    """(project, assemblies, panels, ungrouped): a row a project."""
+    one = F.col("panels") < 2
+    return table.groupBy("project").agg(F.sum((~one).cast("bigint")).alias("assemblies"), F.sum("panels").alias("panels"), F.sum(one.cast("bigint")).alias("ungrouped"))
+
+
+def project_labels(table: DataFrame) -> DataFrame:
+    """(label_id, kind, value, confidence, status): assemblies of two panels and more, and each project, as labels."""
+    status = F.when(F.col("confidence") >= ACCEPT, "auto_accepted").otherwise("needs_review").alias("status")
+    a = table.where("panels >= 2").select(F.concat_ws(":", "project", F.lit("asm"), "assembly_id").alias("label_id"), F.lit("assembly").alias("kind"), F.col("assembly_type").alias("value"), "confidence", status)
+    p = projects(table).withColumn("confidence", F.when(F.col("assemblies") > 0, 0.6).otherwise(0.3))
+    value = F.concat(F.col("assemblies").cast("string"), F.lit("_assemblies_"), F.col("panels").cast("string"), F.lit("_panels"))
+    return a.unionByName(p.select(F.concat_ws(":", "project", F.lit("project")).alias("label_id"), F.lit("project").alias("kind"), value.alias("value"), "confidence", status))
+
+
 def labels(part_table: DataFrame, annotations: DataFrame) -> DataFrame:
     """(label_id, kind, value, confidence, status): features and parts as labels, those under the threshold for review."""
     status = F.when(F.col("confidence") >= ACCEPT, "auto_accepted").otherwise("needs_review").alias("status")

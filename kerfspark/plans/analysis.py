@@ -51,8 +51,8 @@ def analyze(parsed: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     entities = cut(dxf.entities(parsed))
     placed = cut(shapes(entities))
     found = rules.findings(placed, rules.settings(settings))
-    verdict = rules.report(placed, found)
-    seen = classify.coverage(classify.nodes(placed))
+    verdict = cut(rules.report(placed, found))
+    seen = cut(classify.coverage(classify.nodes(placed)))
     size = placed.where("xmin is not null").groupBy("panel_id").agg(F.max(F.col("xmax") - F.col("xmin")).alias("width_mm"), F.max(F.col("ymax") - F.col("ymin")).alias("height_mm"), F.max("is_boundary").alias("has_outline"))
     files = parsed.groupBy(F.col("source_file").alias("panel_id")).agg(F.sum((F.col("kind") == "entity").cast("bigint")).alias("entities"), F.sort_array(F.collect_set("warning")).alias("warnings"))
     thick = thicknesses(entities).withColumnRenamed("source_file", "panel_id")
@@ -60,3 +60,11 @@ def analyze(parsed: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     for more in (size, thick, verdict, seen):
         out = out.join(more, "panel_id", "left")
     return out.withColumnRenamed("panel_id", "source_file")
+
+
+def nest_shapes(entities: DataFrame) -> DataFrame:
+    """Entities of ``dxf.entities`` as ``nesting`` takes them."""
+    ring = F.col("entity_type").isin("LWPOLYLINE", "POLYLINE")
+    centre = shapes(entities).select(F.col("panel_id").alias("drawing"), F.substring("node", F.lit(2), F.lit(20)).cast("int").alias("seq"), "x", "y")
+    own = entities.select(F.col("source_file").alias("drawing"), "seq", "entity_type", "layer", F.when(ring, F.col("vertices")).alias("vertices"), "is_closed")
+    return own.join(centre, ["drawing", "seq"])

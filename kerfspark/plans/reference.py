@@ -232,13 +232,14 @@ add(
 )
 add(
     "tune_ruleset",
-    lambda s, d: corpus.tuned(bridge.holes(s, d), bridge.panels(s, d)),
-    f"""with {SQL_HOLES}, b as (select {_BORE % 'diameter'} bore, diameter from holes), k as (select bore, count(*) n, avg(diameter) m, stddev_pop(diameter) s, case bore when 5 then 'shelf_pin' when 7 then 'confirmat' when 35 then 'hinge_cup' end p from b where abs(diameter - bore) <= 1 and bore in (5, 7, 35) group by 1)
-    select p || '_diameter_mm' "parameter", round(m, 2) as value, 'measured' as source, n from k union all select p || '_tolerance_mm', round(greatest(0.2, 3 * s), 2), 'measured', n from k union all select 'panel_thickness_mm', round(quantile_cont(thickness, 0.5), 2), 'measured', count(*) from panels""",
+    lambda s, d: corpus.tuned(bridge.holes(s, d), bridge.panels(s, d), c.nearest_spacing(bridge.holes(s, d))),
+    f"""with {SQL_HOLES}, b as (select {_BORE % 'diameter'} bore, diameter from holes), k as (select bore, count(*) n, avg(diameter) m, stddev_pop(diameter) s, case bore when 5 then 'shelf_pin' when 7 then 'confirmat' when 35 then 'hinge_cup' end p from b where abs(diameter - bore) <= 1 and bore in (5, 7, 35) group by 1),
+    n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200), sp as (select min(dist) spacing from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by panel_id, seq), g as (select round_even(spacing, 0) g, count(*) n from sp group by 1 order by 2 desc, 1 limit 1)
+    select p || '_diameter_mm' "parameter", round(m, 2) as value, 'measured' as source, n from k union all select p || '_tolerance_mm', round(greatest(0.2, 3 * s), 2), 'measured', n from k union all select 'panel_thickness_mm', round(quantile_cont(thickness, 0.5), 2), 'measured', count(*) from panels
+    union all select 'shelf_pin_spacing_mm', g, 'measured', (select count(*) from sp where abs(spacing - g) <= 1) from g""",
 )
 
 
-
 def contour_shapes(s: SparkSession, d: str) -> DataFrame:
     v, b = F.col("vertices"), g.box(F.col("vertices"))
     return bridge.contours(s, d).select("contour_id", F.lit("LWPOLYLINE").alias("entity_type"), "layer", "is_closed", (b["xmax"] - b["xmin"]).alias("w"), (b["ymax"] - b["ymin"]).alias("h"), g.ring_length(v, F.col("is_closed")).alias("length"), F.lit(None).cast("double").alias("edge"))
@@ -566,3 +567,24 @@ add("analyze", lambda s, d: analysis.analyze(dxf.parse(drawings(s, d))))
 add("corpus_summary", lambda s, d: corpus.summary(bridge.holes(s, d), bridge.panels(s, d), c.nearest_spacing(bridge.holes(s, d))), f"with {SQL_HOLES}, n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200), sp as (select min(dist) spacing from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by panel_id, seq) select (select count(*) from panels) panels, (select count(distinct project) from panels) projects, (select round(avg(w), 6) from panels) mean_width, (select round(avg(h), 6) from panels) mean_height, count(*) holes, count(distinct panel_id) drilled_panels, count(distinct layer) layers, (select count(*) from sp) spacings from holes")
 add("hole_rate", lambda s, d: corpus.hole_rate(bridge.holes(s, d), bridge.panels(s, d)), f"with {SQL_HOLES} select (select count(*) from panels) panels, count(*) holes, round(count(*) / (select count(*) from panels), 6) rate from holes")
 add("dominant_spacing", lambda s, d: corpus.dominant_spacing(c.nearest_spacing(bridge.holes(s, d))), f"with {SQL_HOLES}, n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200), sp as (select round_even(min(dist), 0) spacing from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by panel_id, seq), b as (select spacing, count(*) n from sp group by 1) select spacing, n, round(n / (select sum(n) from b), 6) share from b order by n desc, spacing limit 1")
+
+
+def grouped_panels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    roles = cut(carcass_roles(s, d))
+    return cut(identify.grouped(bridge.panels(s, d), identify.parts(bridge.panels(s, d), annotated(s, d)), roles)), roles
+
+
+_GROUPS = f"""{_PARTS}, {_ROLES.replace(SQL_HOLES + ', ', '')}, sv as (select project, count(*) n from roles group by 1 having count(*) filter (role = 'SIDE_PANEL') = 2 and count(*) filter (role in ('TOP_PANEL', 'BOTTOM_PANEL', 'SHELF')) > 0),
+gp as (select p.project, p.panel_id, sv.n is not null solved, thickness, coalesce(role, part_type) named, part_type, count(*) over (partition by p.project, thickness) n, min(p.panel_id) over (partition by p.project, thickness) f, min(p.panel_id) over (partition by p.project) least from panels p left join parts using (panel_id) left join sv on sv.project = p.project left join roles r on r.panel_id = p.panel_id),
+gr as (select project, panel_id, project || ':' || case when solved then least when n >= 2 then f else panel_id end assembly_id, case when solved then named else part_type end part_type, case when solved then 'carcass' when n >= 2 then 'band' else 'single' end how from gp),
+asm as (select project, assembly_id, how, count(*) panels, list(distinct part_type) ps from gr group by 1, 2, 3),
+kinds as (select project, assembly_id, panels, how, case when how = 'carcass' then 'CARCASS' when list_has_any(ps, {identify.DRAWER_PARTS}) then 'DRAWER' when len(list_intersect(ps, {identify.CARCASS_PARTS})) >= 2 then 'CARCASS' else 'UNKNOWN_ASSEMBLY' end assembly_type,
+  case when how = 'carcass' then least(0.85, 0.4 + 0.1 * sv.n + 0.05) when list_has_any(ps, {identify.DRAWER_PARTS}) then 0.6 when len(list_intersect(ps, {identify.CARCASS_PARTS})) >= 2 then 0.7 when panels >= 2 then 0.4 else 0.2 end::double confidence from asm left join sv using (project))"""
+add("assembly_members", lambda s, d: grouped_panels(s, d)[0], f"with {_GROUPS} select project, panel_id, assembly_id, part_type, how from gr")
+add("assembly_table", lambda s, d: identify.assembly_table(*grouped_panels(s, d)), f"with {_GROUPS} select project, assembly_id, panels, assembly_type, round(confidence, 6) confidence, how from kinds")
+add("joints", lambda s, d: identify.joints(grouped_panels(s, d)[0]), f"with {_GROUPS} select a.project, a.assembly_id, a.panel_id panel_a, b.panel_id panel_b, 0.5::double confidence from gr a join gr b using (project, assembly_id) where a.how = 'carcass' and a.part_type = 'SIDE_PANEL' and b.part_type in ('TOP_PANEL', 'BOTTOM_PANEL', 'SHELF')")
+add("projects", lambda s, d: identify.projects(identify.assembly_table(*grouped_panels(s, d))), f"with {_GROUPS} select project, sum((panels >= 2)::int)::bigint assemblies, sum(panels)::bigint panels, sum((panels < 2)::int)::bigint ungrouped from kinds group by 1")
+add("project_labels", lambda s, d: identify.project_labels(identify.assembly_table(*grouped_panels(s, d))), f"""with {_GROUPS}, pj as (select project, sum((panels >= 2)::int)::bigint a, sum(panels)::bigint n from kinds group by 1) select project || ':asm:' || assembly_id label_id, 'assembly' kind, assembly_type as value, round(confidence, 6) confidence, case when confidence >= 0.75 then 'auto_accepted' else 'needs_review' end status from kinds where panels >= 2
+union all select project || ':project', 'project', a || '_assemblies_' || n || '_panels', case when a > 0 then 0.6 else 0.3 end::double, 'needs_review' from pj""")
+add("corpus_profile", lambda s, d: corpus.profile(bridge.holes(s, d), bridge.panels(s, d), c.nearest_spacing(bridge.holes(s, d))))
+add("review_sheet", lambda s, d: export.review_sheet(identify.labels(identify.parts(bridge.panels(s, d), annotated(s, d)), annotated(s, d))), f"with {_PARTS}, l as (select 'f:' || panel_id || ':' || seq id, feature_class v, confidence from classes union all select 'p:' || panel_id, part_type, confidence from parts) select id row_id, lower(replace(v, '_', ' ')) thought_to_be, round(confidence * 100, 0)::int sure_percent, '' other_guesses, '' is_it_right, '' if_not_what, '' notes from l where confidence < 0.75")

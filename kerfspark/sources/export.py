@@ -33,7 +33,25 @@ def review_sheet(labels: DataFrame) -> DataFrame:
     """Rows of a reviewer's table: row_id, what the label says in plain words, how sure in per cent, and empty answers."""
     plain = F.lower(F.regexp_replace("value", "_", " "))
     empty = F.lit("")
-    return labels.where("status = 'needs_review'").select(F.col("label_id").alias("row_id"), plain.alias("thought_to_be"), F.round(F.col("confidence") * 100, 0).cast("int").alias("sure_percent"), empty.alias("is_it_right"), empty.alias("if_not_what"), empty.alias("notes")).orderBy("row_id")
+    others = F.array_join(F.transform(F.slice(F.filter(F.split("alternatives", ","), lambda x: x != ""), 1, 3), lambda x: F.lower(F.regexp_replace(x, "_", " "))), ", ") if "alternatives" in labels.columns else empty
+    return labels.where("status = 'needs_review'").select(F.col("label_id").alias("row_id"), plain.alias("thought_to_be"), F.round(F.col("confidence") * 100, 0).cast("int").alias("sure_percent"), others.alias("other_guesses"), empty.alias("is_it_right"), empty.alias("if_not_what"), empty.alias("notes")).orderBy("row_id")
+
+
+def glossary(classes: dict[str, list[str]]) -> list[tuple[str, str, str]]:
+    """(code, plain words, category) of the classes of a vocabulary, by code: a table of a few dozen rows."""
+    return sorted((c, c.replace("_", " ").lower(), k) for k, of in classes.items() for c in of)
+
+
+def markdown(results: DataFrame) -> str:
+    """A table of benchmark results (a row a task: its main metric) as Markdown text."""
+    rows = results.where("is_primary").orderBy("task_id").collect()
+    lines = ["| task | metric | value | units | passed |", "|-|-|-|-|-|"]
+    return "\n".join(lines + [f"| {r['task_id']} | {r['metric']} | {r['value']:.4f} | {r['units']} | {'yes' if r['passed'] else 'no'} |" for r in rows])
+
+
+def safe_name(name: Column) -> Column:
+    """A name that every file system takes."""
+    return F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_")
 
 
 def panel_svg(panel: dict[str, Column], circles: Column, size: int = 240) -> Column:
