@@ -176,13 +176,15 @@ def shape_tests(p: dict[str, dict[str, float]]) -> list[tuple[str, Column | str,
 
 
 def measured_rings(shapes: DataFrame, p: dict[str, dict[str, float]]) -> DataFrame:
-    """Adds ``_simple`` (of rings) and ``_widest`` (of simple ones on milled layers): the only steps in Python, and only for rings."""
+    """Adds ``_simple`` (of rings) and ``_widest`` (of simple ones on milled layers): the only steps in Python, and only for rings that aren't plain rectangles."""
     c = F.col
     poly = c("geometry_type").isin(*POLYLINES)
-    simple = shapes.withColumn("_simple", g.is_simple(F.when(poly, c("vertices"))))
     w, h = c("bx1") - c("bx0"), c("by1") - c("by0")
+    boxed = c("is_closed") & (c("area") > 0) & (c("area") > (1 - 1e-6) * w * h)
+    rectangle = poly & boxed & (F.size("vertices") == 4)  # of four corners none but a rectangle's fill their box
+    simple = shapes.withColumn("_simple", g.is_simple(F.when(poly & ~F.coalesce(rectangle, F.lit(False)), c("vertices"))))
+    simple = simple.withColumn("_simple", F.when(rectangle, True).otherwise(c("_simple")))
     asked = poly & c("is_closed") & ~c("is_boundary") & c("kind").isin(*MILLED) & c("_simple") & (c("area") > 0)
-    boxed = c("area") > (1 - 1e-6) * w * h
     if "MFG-004" not in p:
         return simple
     enough = p["MFG-004"]["tool_diameter_mm"] * p["MFG-004"]["multiplier"]
