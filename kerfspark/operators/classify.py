@@ -142,15 +142,20 @@ def layer_blind(holes: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("nodes"), one(F.col("aware") == F.col("blind")).alias("agreeing"), one(F.col("aware") != "UNKNOWN_FEATURE").alias("aware_known"), one(F.col("blind") != "UNKNOWN_FEATURE").alias("blind_known"))
 
 
-def congruent_pairs(panels: DataFrame, tol: float = 3.0) -> DataFrame:
-    """Pairs a < b of a project's panels whose sorted sides are within tol: an equi-join over cells of the long side."""
+def congruent(panels: DataFrame, tol: float = 3.0) -> DataFrame:
+    """(project, panel_id, class_id, links): each panel's class, the smallest panel of exactly its sides, and how many other panels of the project have sides within tol.
+
+    Only classes meet, in cells of their sides, and their sizes are added up; so panels that are all alike cost no more than one.
+    """
     p = panels.select("project", "panel_id", F.greatest("w", "h").alias("long"), F.least("w", "h").alias("short"))
-    cell = lambda c, t: F.floor(F.col(c) / t).cast("bigint")
-    a = p.select("project", cell("long", tol).alias("_l"), cell("short", tol).alias("_s"), F.col("panel_id").alias("panel_a"), F.col("long").alias("la"), F.col("short").alias("sa"))
+    classes = p.groupBy("project", "long", "short").agg(F.min("panel_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    cell = lambda c: F.floor(F.col(c) / tol).cast("bigint")
+    a = classes.select("project", "class_id", F.col("long").alias("la"), F.col("short").alias("sa"), cell("long").alias("_l"), cell("short").alias("_s"))
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = p.withColumn("_d", steps).select("project", (cell("long", tol) + F.col("_d.i")).alias("_l"), (cell("short", tol) + F.col("_d.j")).alias("_s"), F.col("panel_id").alias("panel_b"), F.col("long").alias("lb"), F.col("short").alias("sb"))
-    met = a.join(b, ["project", "_l", "_s"]).where((F.col("panel_a") < F.col("panel_b")) & (F.abs(F.col("la") - F.col("lb")) <= tol) & (F.abs(F.col("sa") - F.col("sb")) <= tol))
-    return met.select("project", "panel_a", "panel_b")
+    b = classes.withColumn("_d", steps).select("project", (cell("long") + F.col("_d.i")).alias("_l"), (cell("short") + F.col("_d.j")).alias("_s"), F.col("long").alias("lb"), F.col("short").alias("sb"), "n")
+    near = a.join(b, ["project", "_l", "_s"]).where((F.abs(F.col("la") - F.col("lb")) <= tol) & (F.abs(F.col("sa") - F.col("sb")) <= tol))
+    linked = near.groupBy("project", "class_id", F.col("la").alias("long"), F.col("sa").alias("short")).agg((F.sum("n") - 1).alias("links"))
+    return p.join(linked, ["project", "long", "short"]).select("project", "panel_id", "class_id", "links")
 
 
 def edge_hole_counts(holes: DataFrame, within: float = 50.0) -> DataFrame:

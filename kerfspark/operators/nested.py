@@ -12,7 +12,7 @@ tables ``geometry_table``, ``feature_table`` and ``other_table`` beside the supe
 
 Of each graph the latest complete delivery counts (of two received at once, that with the larger delivery_id). Rows
 without graph_id are left out; null, empty, broken or non-object payloads, and such nested deeper than the JSON reader
-goes (about a thousand levels), are no deliveries; null entries of a list keep their place and give no row; a node without
+goes (some ten thousand levels), are no deliveries; null entries of a list keep their place and give no row; a node without
 id gets its place as id; nodes of all containers of a payload count; of a node id that comes again, children at places
 that were there before are left out. An empty table gives empty tables. Further columns are ignored.
 """

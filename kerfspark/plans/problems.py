@@ -44,7 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_index": lambda s, d: packing.index(table(s, d, "sample_files")),
     "p6_blocks": _blocks,
     "p6_rebuilt": _rebuilt,
-    "p6_broken": lambda s, d: packing.broken_lines(table(s, d, "sample_files")),
+    "p6_broken": lambda s, d: packing.broken_lines(table(s, d, "sample_files")).select("file_id", "line_no", "length"),
     "p7_found": lambda s, d: orphans.found(_orphans(s, d)),
     "p7_months": lambda s, d: orphans.snapshots(_orphans(s, d)),
 }
@@ -65,7 +65,16 @@ judged as (
   from refs r left join parents p using (kind, target_id) where r.target_id <> '')
 """
 
+_LINES = r"""
+with l as (select file_id, ltrim(unnest(string_split(content, chr(10))), chr(65279)) line, generate_subscripts(string_split(content, chr(10)), 1) - 1 line_no from sample_files where content is not null),
+v as (select * from l where json_valid(line)),
+t as (select file_id, line_no, j.fullkey k, case when j.type in ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') then 'NUMBER' else j.type end kind, case when j.type in ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') then (j.atom::varchar)::double::varchar else coalesce(j.atom ->> '$', '') end val from v, json_tree(v.line) j),
+r as (select file_id, line_no, string_agg(k || chr(1) || kind || chr(1) || val, chr(2) order by k, kind, val) record from t group by 1, 2),
+o as (select *, row_number() over (partition by record order by file_id, line_no) n from r)"""
+
 ORACLE: dict[str, str] = {
+    "p6_found": _LINES + " select file_id, line_no from o where n > 1",
+    "p6_broken": _LINES + " select file_id, line_no, strlen(line) length from l where not json_valid(line) and trim(line) <> ''",
     "p7_found": _REFERENCES + "select distinct ref_table, ref_id, target_id from judged where not live",
     "p7_months": _REFERENCES
     + """, t as (select *, not live and born > seen and (died is null or died > born) waits from judged),

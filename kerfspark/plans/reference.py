@@ -150,7 +150,7 @@ add(
     f"with {SQL_HOLES} select panel_id, seq from holes where {EDGE} >= 1",
 )
 add("nearest_spacing", over_holes(c.nearest_spacing), f"with {SQL_HOLES}, n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200) select panel_id, seq, round(min(dist), 6) spacing from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by 1, 2")
-add("congruent_panels", over_panels(c.congruent_pairs), f"with {SQL_PANELS} select a.project, a.panel_id panel_a, b.panel_id panel_b from panels a join panels b on a.project = b.project and a.panel_id < b.panel_id where abs(greatest(a.w, a.h) - greatest(b.w, b.h)) <= 3 and abs(least(a.w, a.h) - least(b.w, b.h)) <= 3")
+add("congruent_panels", over_panels(c.congruent), f"with {SQL_PANELS}, q as (select project, panel_id, greatest(w, h) l, least(w, h) s from panels), n as (select a.project, a.panel_id, count(*) - 1 links from q a join q b on a.project = b.project and abs(a.l - b.l) <= 3 and abs(a.s - b.s) <= 3 group by 1, 2) select project, panel_id, min(panel_id) over (partition by project, l, s) class_id, links from q join n using (project, panel_id)")
 
 # classification
 _PEERS = f"peers as (select panel_id, seq, count(*) peers from (select panel_id, sa seq, da d, db e, dist from {PAIRS} union all select panel_id, sb, db, da, dist from {PAIRS}) where abs(d - 5) <= 0.5 and abs(e - d) <= 0.5 and dist >= 1 and (dist % 32 < 1 or dist % 32 > 31) group by 1, 2)"

@@ -63,3 +63,13 @@ def test_centroids(spark):
     assert {r.label: r.centroid for r in m.collect()} == {"a": [1.0, 0.0], "b": [10.0, 10.0]}
     assert [r.predicted for r in model.predict(d, "id", "v", m).orderBy("id").collect()] == ["a", "a", "b", "b"]
     assert model.centroids(d.where(F.lit(False)), "label", "v").count() == 0
+
+
+def test_centroids_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 50), float(i % 7)], i % 50) for i in range(300)]
+    d = spark.createDataFrame(rows, "i int, v array<double>, label int")
+    means = model.centroids(d, "label", "v")
+    whole = sorted(tuple(r) for r in model.predict(d, "i", "v", means).collect())
+    monkeypatch.setattr(model, "MOST_NUMBERS", 1)
+    monkeypatch.setattr(model, "BLOCK", 7)
+    assert sorted(tuple(r) for r in model.predict(d, "i", "v", means).collect()) == whole and len(whole) == 300
