@@ -58,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_counts": lambda s, d: overlap.counts(table(s, d, "generated_samples")),
     "p5_found": lambda s, d: related.found(table(s, d, "panel_refs")),
     "p5_sizes": lambda s, d: related.sizes(table(s, d, "panel_refs")),
+    "p5_totals": lambda s, d: related.report(related.assign(table(s, d, "panel_refs"), table(s, d, "generated_samples"))).select("split", "panels"),
     "p5_split": lambda s, d: related.assign(table(s, d, "panel_refs"), table(s, d, "generated_samples")),
     "p5_shares": lambda s, d: related.report(related.assign(table(s, d, "panel_refs"), table(s, d, "generated_samples"))),
     "p8_ids": lambda s, d: encoding.encode(table(s, d, "documents")),
@@ -77,6 +78,15 @@ l as (select panel_id u, min(panel_id) over (partition by key) v from k), e as (
 p as (select distinct panel_id u from panel_refs where panel_id is not null),
 reach as (select u, u x from p union select r.u, e.v from reach r join e on e.u = r.x)"""
 
+_OVERLAP = """
+with s as (select sample_id, dataset_id source, case when lower(trim(split)) in ('val', 'valid', 'validation') then 'val' when lower(trim(split)) in ('test', 'testing') then 'test' end as name, case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation', 'test', 'testing') then 'eval' end side, panel p, features f
+           from (select distinct on (sample_id) * from generated_samples) where len(features) > 0),
+c as (select a.sample_id t, b.sample_id e, a.f ft, b.f fe, greatest(len(a.f), len(b.f)) n from s a join s b on a.side = 'train' and b.side = 'eval' and a.p.panel_type = b.p.panel_type
+      and abs(a.p.width_mm - b.p.width_mm) <= 1.000000001 and abs(a.p.height_mm - b.p.height_mm) <= 1.000000001 and abs(a.p.thickness_mm - b.p.thickness_mm) <= 0.500000001 and least(len(a.f), len(b.f)) >= 0.9 * greatest(len(a.f), len(b.f)) - 0.000000001),
+x as (select t, e, n, unnest(ft) q, generate_subscripts(ft, 1) i, fe from c), y as (select t, e, n, q, i, unnest(fe) r, generate_subscripts(fe, 1) j from x),
+m as (select t, e, n, i, j from y where q.feature_class = r.feature_class and abs(q.position_mm[1] - r.position_mm[1]) <= 1.000000001 and abs(q.position_mm[2] - r.position_mm[2]) <= 1.000000001
+      and (abs(q.diameter_mm - r.diameter_mm) <= 0.300000001 or (q.diameter_mm is null and r.diameter_mm is null)))"""
+
 ORACLE: dict[str, str] = {
     "p3_diameter": f"""
 with g as (select node_id, min(struct_pack(a := arrived_at, d := diameter_mm)).d diameter_mm from geometry_nodes group by 1),
@@ -100,17 +110,14 @@ v as (select f.feature_class, g.diameter_mm from f join g on g.node_id = f.geome
 o as (select *, row_number() over (partition by feature_class order by diameter_mm) r, count(*) over (partition by feature_class) n from v),
 l as (select {_LEVELS}), m as (select feature_class, q, n, diameter_mm v, floor(log2(diameter_mm)) e from o join l on o.r = greatest(1, ceil(round(l.q * o.n, 9))))
 select feature_class, q::double q, n, floor(v * power(2.0::double, 14 - e)) / power(2.0::double, 14 - e) as value, power(2.0::double, -14) relative_error from m""",
-    "p4_found": """
-with s as (select sample_id, case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation', 'test', 'testing') then 'eval' end side, panel p, features f
-           from (select distinct on (sample_id) * from generated_samples) where len(features) > 0),
-c as (select a.sample_id t, b.sample_id e, a.f ft, b.f fe, greatest(len(a.f), len(b.f)) n from s a join s b on a.side = 'train' and b.side = 'eval' and a.p.panel_type = b.p.panel_type
-      and abs(a.p.width_mm - b.p.width_mm) <= 1.000000001 and abs(a.p.height_mm - b.p.height_mm) <= 1.000000001 and abs(a.p.thickness_mm - b.p.thickness_mm) <= 0.500000001 and least(len(a.f), len(b.f)) >= 0.9 * greatest(len(a.f), len(b.f)) - 0.000000001),
-x as (select t, e, n, unnest(ft) q, generate_subscripts(ft, 1) i, fe from c), y as (select t, e, n, q, i, unnest(fe) r, generate_subscripts(fe, 1) j from x),
-m as (select t, e, n, i, j from y where q.feature_class = r.feature_class and abs(q.position_mm[1] - r.position_mm[1]) <= 1.000000001 and abs(q.position_mm[2] - r.position_mm[2]) <= 1.000000001
-      and (abs(q.diameter_mm - r.diameter_mm) <= 0.300000001 or (q.diameter_mm is null and r.diameter_mm is null)))
-select least(t, e) sample_id_a, greatest(t, e) sample_id_b from m group by t, e, n having least(count(distinct i), count(distinct j)) >= 0.9 * n - 0.000000001""",
+    "p4_counts": f"""{_OVERLAP}, q as (select t, e from m group by t, e, n having least(count(distinct i), count(distinct j)) >= 0.9 * n - 0.000000001)
+select name eval_split, source eval_source, count(*) pairs, count(distinct e) samples from q join (select sample_id, name, source from s) on sample_id = e group by 1, 2""",
+    "p4_found": f"""{_OVERLAP} select least(t, e) sample_id_a, greatest(t, e) sample_id_b from m group by t, e, n having least(count(distinct i), count(distinct j)) >= 0.9 * n - 0.000000001""",
     "p5_found": f"""{_RELATED} select u panel_id, min(x) group_id from reach group by 1 having count(*) > 1""",
     "p5_sizes": f"""{_RELATED}, g as (select u, count(*) size from reach group by 1) select size::bigint size, (count(*) // size)::bigint as "groups" from g group by size""",
+    "p5_totals": """
+with n as (select count(distinct panel_id) n, round(count(distinct panel_id) * 0.15)::bigint k from panel_refs)
+select unnest(['train', 'val', 'test']) split, unnest([n - 2 * k, k, k]) panels from n""",
     "p9_plan": """
 with d as (select source, sum(coalesce(length(text), 0))::bigint n from documents group by 1),
 s as (select source, max(coalesce(target_share, 0)) share, max(coalesce(max_repeats, 0)) cap from mix_targets where source is not null group by 1),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts of a group. Only sums by group and part are ordered as a whole; rows only within a part.
-PARTS = 1024
+PARTS = 16_384
 
 
 def running_total(rows: DataFrame, group: str, unique: str, weight: Column, seed: int, name: str) -> DataFrame:
