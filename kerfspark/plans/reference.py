@@ -319,9 +319,22 @@ add("diameter_histogram", over_holes(lambda h: h.groupBy(F.floor(F.col("diameter
 add("width_weights", over_panels(lambda p: c.value_weights(p, "w")), f"with {SQL_PANELS} select w as value, count(*) n, round(count(*) / (select count(*) from panels), 4) share from panels group by 1")
 
 # layers of drawings
+_ENDS = lambda t: f"({t} is null or not regexp_matches({t}, '^[A-Z0-9_]'))"
+_WORDS = lambda ws: ", ".join(f"'{w}'" for w in ws)
+_FIRST_KIND = "case " + " ".join(f"when regexp_matches(upper(trim(layer)), '^({'|'.join(of)})') then '{k}'" for k, of in layers.LAYER_PREFIXES.items()) + " else 'unknown' end"
+_LONGEST_KIND = "coalesce((select k from (values " + ", ".join(f"('{k}', '{w}')" for k, of in layers.LAYER_PREFIXES.items() for w in of) + ") x(k, w) where starts_with(upper(trim(layer)), w) order by len(w) desc limit 1), 'unknown')"
+_SIZE = lambda kind, words, lo, hi: f"(select {kind} from w where w.layer is not distinct from l.layer and {words} and {kind} between {lo} and {hi} order by i limit 1)"
+_MARKED = lambda words: f"case when regexp_matches(p1, '^[ \\t\\n\\r_=:-]+$') then p2 else p1 end in ({_WORDS(words)})"
+_UNIT = f"case when regexp_matches(n1, '^[ \\t\\n\\r]+$') then n2 = 'MM' and {_ENDS('n3')} else n1 = 'MM' and {_ENDS('n2')} end and not coalesce(ends_with(p1, '.'), false)"
+_DEPTH = f"coalesce({_SIZE('v', _MARKED(layers.DEPTH_WORDS), *layers.DEPTH_MM)}, case when kind in ({_WORDS(layers.DEPTH_TYPES)}) then {_SIZE('tok::double', _UNIT, *layers.DEPTH_MM)} end)"
 add(
     "layer_parse",
     lambda s, d: table(s, d, "entities").select("layer").distinct().select("layer", layers.layer_type(F.col("layer")).alias("kind"), layers.layer_type_longest(F.col("layer")).alias("kind_longest"), layers.depth_from_layer(F.col("layer"), layers.layer_type(F.col("layer"))).alias("depth"), layers.thickness_from_layer(F.col("layer")).alias("thickness")),
+    rf"""with d as (select distinct layer from entities), t as (select layer, regexp_extract_all(regexp_replace(upper(layer), '([0-9])[PV]([0-9])', '\1.\2', 'g'), '[A-Z]+|[0-9]+(?:[.][0-9]+)?|[^A-Z0-9]+') k from d),
+    u as (select layer, unnest(k) tok, generate_subscripts(k, 1) i from t), x as (select *, lag(tok) over z p1, lag(tok, 2) over z p2, lead(tok) over z n1, lead(tok, 2) over z n2, lead(tok, 3) over z n3 from u window z as (partition by layer order by i)),
+    w as (select *, case when {_ENDS('n1')} then tok::double when contains(tok, '.') then split_part(tok, '.', 1)::double end v from x where regexp_matches(tok, '^[0-9]') and len(split_part(tok, '.', 1)) <= 3),
+    l as (select layer, {_FIRST_KIND} kind, {_LONGEST_KIND} kind_longest from d)
+    select layer, kind, kind_longest, {_DEPTH} depth, coalesce({_SIZE('v', _MARKED(layers.THICKNESS_WORDS), *layers.THICKNESS_MM)}, {_SIZE('tok::double', _UNIT, *layers.THICKNESS_MM)}) thickness from l""",
 )
 
 # drawing files, written and read again
@@ -586,5 +599,13 @@ add("joints", lambda s, d: identify.joints(grouped_panels(s, d)[0]), f"with {_GR
 add("projects", lambda s, d: identify.projects(identify.assembly_table(*grouped_panels(s, d))), f"with {_GROUPS} select project, sum((panels >= 2)::int)::bigint assemblies, sum(panels)::bigint panels, sum((panels < 2)::int)::bigint ungrouped from kinds group by 1")
 add("project_labels", lambda s, d: identify.project_labels(identify.assembly_table(*grouped_panels(s, d))), f"""with {_GROUPS}, pj as (select project, sum((panels >= 2)::int)::bigint a, sum(panels)::bigint n from kinds group by 1) select project || ':asm:' || assembly_id label_id, 'assembly' kind, assembly_type as value, round(confidence, 6) confidence, case when confidence >= 0.75 then 'auto_accepted' else 'needs_review' end status from kinds where panels >= 2
 union all select project || ':project', 'project', a || '_assemblies_' || n || '_panels', case when a > 0 then 0.6 else 0.3 end::double, 'needs_review' from pj""")
-add("corpus_profile", lambda s, d: corpus.profile(bridge.holes(s, d), bridge.panels(s, d), c.nearest_spacing(bridge.holes(s, d))))
+add(
+    "corpus_profile",
+    lambda s, d: corpus.profile(bridge.holes(s, d), bridge.panels(s, d), c.nearest_spacing(bridge.holes(s, d))).withColumn("name", F.regexp_replace("name", "[.]0$", "")),
+    f"""with {SQL_HOLES}, bc as (select {_BORE % 'diameter'} bore, count(*) n, avg(diameter) m from holes group by 1), n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200),
+    sp as (select round_even(min(dist), 0) spacing, count(*) over () k from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by panel_id, seq), ds as (select spacing, count(*) n from sp group by 1 order by 2 desc, 1 limit 1),
+    sz as (select unnest(['width', 'height', 'thickness']) section, unnest([w, h, thickness]) v from panels)
+    select 'bore_share' section, bore::int::varchar as "name", round(n / (select count(*) from holes), 6) as value from bc union all select 'bore_mean', bore::int::varchar, round(m, 6) from bc
+    union all select section, round_even(v, 0)::int::varchar, round(count(*) / (select count(*) from panels), 4) from sz group by 1, 2 union all select 'holes', 'rate', round((select count(*) from holes) / (select count(*) from panels), 6) union all select 'spacing', 'dominant', spacing from ds""",
+)
 add("review_sheet", lambda s, d: export.review_sheet(identify.labels(identify.parts(bridge.panels(s, d), annotated(s, d)), annotated(s, d))), f"with {_PARTS}, l as (select 'f:' || panel_id || ':' || seq id, feature_class v, confidence from classes union all select 'p:' || panel_id, part_type, confidence from parts) select id row_id, lower(replace(v, '_', ' ')) thought_to_be, round(confidence * 100, 0)::int sure_percent, '' other_guesses, '' is_it_right, '' if_not_what, '' notes from l where confidence < 0.75")
