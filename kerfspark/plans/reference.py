@@ -355,6 +355,29 @@ add(
     case layer when 'DRILL_D5' then 5.0 when 'POCKET_D6' then 6.0 end::double depth_mm, round(round(3.141592653589793::double * (diameter / 2) * (diameter / 2), 4), 2) area_mm2, round(x - diameter / 2, 6) xmin, round(y + diameter / 2, 6) ymax from holes
     union all select 'panel_' || panel_id, 0, 'LWPOLYLINE', 'BORDER', 'border', null, null, w * h, xmin, ymax from panels where panel_id in (select panel_id from holes)""",
 )
+def drawn_parts(s: SparkSession, d: str) -> DataFrame:
+    """(path, content) of a drawing a part, in inches for every fifth: a line, an arc, a closed and an open polyline, an old polyline, and a block placed twice as large."""
+    k, w, h = F.col("p_partkey"), F.col("p_size").cast("double"), (4 + F.col("p_partkey") % 120).cast("double")
+    text = lambda *xs: F.concat_ws("\n", *[x.cast("string") if not isinstance(x, (int, str)) else F.lit(str(x)) for x in xs])
+    unit = F.when(k % 5 == 0, 1).otherwise(4)
+    sweep = (30 * (1 + k % 9)).cast("double")
+    box = (10, 0, 20, 0, 10, w, 20, 0, 10, w, 20, h, 10, 0, 20, h)
+    content = text(
+        0, "SECTION", 2, "HEADER", 9, "$INSUNITS", 70, unit, 0, "ENDSEC", 0, "SECTION", 2, "BLOCKS", 0, "BLOCK", 2, "B", 10, 0, 20, 0, 0, "CIRCLE", 5, "Q", 8, "0", 10, 1, 20, 0, 40, w, 0, "ENDBLK", 0, "ENDSEC", 0, "SECTION", 2, "ENTITIES",
+        0, "LINE", 5, "L", 8, "CUT_A", 10, 0, 20, 0, 11, w, 21, h, 0, "ARC", 5, "A", 8, "ENGRAVE", 10, 0, 20, 0, 40, w, 50, 15, 51, 15 + sweep, 0, "LWPOLYLINE", 5, "P", 8, "POCKET_D6", 70, 1, *box, 0, "LWPOLYLINE", 5, "O", 8, "GROOVE", 38, -3, 70, 0, *box,
+        0, "POLYLINE", 5, "V", 8, "HOLE_X", 70, 1, 0, "VERTEX", 10, 0, 20, 0, 0, "VERTEX", 10, w, 20, 0, 0, "VERTEX", 10, w, 20, h, 0, "SEQEND", 0, "INSERT", 5, "I", 8, "DRILL", 2, "B", 10, 100, 20, 0, 41, 2, 42, 2, 0, "ENDSEC", 0, "EOF")
+    return table(s, d, "part").select(F.concat(F.lit("part_"), k.cast("string")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+add(
+    "dxf_shapes",
+    lambda s, d: dxf.entities(dxf.parse(drawn_parts(s, d))).select("source_file", "seq", "entity_type", "layer", "layer_type", F.col("area_mm2").alias("area"), F.col("perimeter_mm").alias("perimeter"), F.round("diameter_mm", 6).alias("diameter"), "depth_mm", "depth_source"),
+    """with p as (select 'part_' || p_partkey f, p_size::double w, (4 + p_partkey % 120)::double h, (30 * (1 + p_partkey % 9))::double sweep, case when p_partkey % 5 = 0 then 25.4 else 1 end::double u from part),
+    e as (select f, u, 0 seq, 'LINE' entity_type, 'CUT_A' layer, 'cut' layer_type, null::double area, sqrt(w * w + h * h) perimeter, null::double diameter, null::double depth, null depth_source from p union all select f, u, 1, 'ARC', 'ENGRAVE', 'engrave', null, radians(sweep) * w, 2 * w, null, null from p
+      union all select f, u, 2, 'LWPOLYLINE', 'POCKET_D6', 'pocket', w * h, 2 * (w + h), null, 6.0, 'layer_name' from p union all select f, u, 3, 'LWPOLYLINE', 'GROOVE', 'pocket', null, 2 * w + h, null, 3.0 * u, 'z_elevation' from p
+      union all select f, u, 4, 'POLYLINE', 'HOLE_X', 'drill', w * h / 2, w + h + sqrt(w * w + h * h), null, null, null from p union all select f, u, 5, 'CIRCLE', 'DRILL', 'drill', 3.141592653589793::double * 4 * w * w, 4 * 3.141592653589793::double * w, 4 * w, null, null from p)
+    select f source_file, seq, entity_type, layer, layer_type, round(area * u * u, 4) area, round(perimeter * u, 4) perimeter, round(diameter * u, 6) diameter, depth depth_mm, depth_source from e""",
+)
 add(
     "panel_boundaries",
     lambda s, d: dxf.boundaries(dxf.entities(dxf.parse(drawings(s, d)))).select("source_file", "inferred", "seq", "xmin", "ymin", "xmax", "ymax"),
@@ -577,6 +600,7 @@ add(
     union all select 'complexity', case when k > 5 or n > 15 or (mi and dr) then 'complex' when k <= 3 and n <= 5 and not mi then 'simple' else 'medium' end, count(*) from pk group by 2 union all select 'feature_class', feature_class, count(*) from fc group by 2""",
 )
 add("analyze", lambda s, d: analysis.analyze(dxf.parse(drawings(s, d))))
+add("ingest_counts", lambda s, d: dxf.corpus(dxf.parse(drawn_parts(s, d).unionByName(drawings(s, d)))), f"with {SQL_HOLES}, b as (select count(*) n, count(distinct panel_id) p from holes), q as (select count(*) n from part) select (q.n + p)::bigint files, (q.n + p)::bigint with_shapes, 0::bigint without_shapes, 0::bigint unreadable, (6 * q.n + b.n + p)::bigint shapes, 0::bigint warnings from b, q")
 add("corpus_summary", lambda s, d: corpus.summary(bridge.holes(s, d), bridge.panels(s, d), c.nearest_spacing(bridge.holes(s, d))), f"with {SQL_HOLES}, n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200), sp as (select min(dist) spacing from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by panel_id, seq) select (select count(*) from panels) panels, (select count(distinct project) from panels) projects, (select round(avg(w), 6) from panels) mean_width, (select round(avg(h), 6) from panels) mean_height, count(*) holes, count(distinct panel_id) drilled_panels, count(distinct layer) layers, (select count(*) from sp) spacings from holes")
 add("hole_rate", lambda s, d: corpus.hole_rate(bridge.holes(s, d), bridge.panels(s, d)), f"with {SQL_HOLES} select (select count(*) from panels) panels, count(*) holes, round(count(*) / (select count(*) from panels), 6) rate from holes")
 add("dominant_spacing", lambda s, d: corpus.dominant_spacing(c.nearest_spacing(bridge.holes(s, d))), f"with {SQL_HOLES}, n as (select * from {PAIRS} where abs(da - db) <= 0.6 and dist > 0.1 and dist <= 200), sp as (select round_even(min(dist), 0) spacing from (select panel_id, sa seq, dist from n union all select panel_id, sb, dist from n) group by panel_id, seq), b as (select spacing, count(*) n from sp group by 1) select spacing, n, round(n / (select sum(n) from b), 6) share from b order by n desc, spacing limit 1")

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from kerfspark.functions import geometry as g
 from kerfspark.functions.layers import depth_from_layer, layer_type
 
-PARSED = "source_file string, source_file_hash string, version string, units int, seq int, kind string, handle string, entity_type string, layer string, vertices array<array<double>>, numbers array<double>, is_closed boolean, is_approximated boolean, elevation_z double, warning string"
+PARSED = "source_file string, source_file_hash string, version string, units int, seq int, kind string, handle string, entity_type string, layer string, vertices array<array<double>>, numbers array<double>, is_closed boolean, is_approximated boolean, elevation_z double, top_z double, warning string"
 MAX_BYTES, SEGMENTS, CHORD_MM, DEPTH = 50 << 20, 50, 0.05, 5
+#: Bytes of files whose rows a task holds before it hands them on.
+HELD_BYTES = 4 << 20
 
 
 def pairs(text: str) -> list[tuple[int, str]]:
@@ -248,19 +250,24 @@ def parse(files: DataFrame, max_bytes: int = MAX_BYTES, segments: int = SEGMENTS
     names = [x.split()[0] for x in PARSED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for b in batches:
-            rows = []
             for path, content in zip(b["path"], b["content"]):
                 content = bytes(content or b"")
                 try:
                     version, units, found = (None, 0, [{"warning": "too_large"}]) if len(content) > max_bytes else drawing(content, segments)
                 except (ValueError, IndexError, RecursionError) as e:
                     version, units, found = None, 0, [{"warning": f"corrupt: {e}"}]
-                head = {"source_file": path, "source_file_hash": "sha256:" + hashlib.sha256(content).hexdigest(), "version": version, "units": units}
+                top = max((r["elevation_z"] for r in found if r.get("elevation_z") is not None), default=None)
+                head = {"source_file": path, "source_file_hash": "sha256:" + hashlib.sha256(content).hexdigest(), "version": version, "units": units, "top_z": top}
                 for i, r in enumerate(found):
                     row = head | {"seq": i, "kind": "warning" if "warning" in r else "entity"} | r
                     rows.append([row.get(n) for n in names])
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+                held += len(content)
+                if held > HELD_BYTES:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, PARSED)
 
@@ -281,12 +288,18 @@ def entities(parsed: DataFrame) -> DataFrame:
     box = F.when(circle, F.struct((n[0] - r).alias("xmin"), (n[1] - r).alias("ymin"), (n[0] + r).alias("xmax"), (n[1] + r).alias("ymax"))).otherwise(g.box(v))
     kind = layer_type(F.col("layer"))
     out = parsed.where("kind = 'entity'").withColumns({"area_mm2": F.round(area, 4), "perimeter_mm": F.round(length, 4), "box": box, "diameter_mm": F.when(circle, 2 * r), "layer_type": kind})
-    reference = F.greatest(F.lit(0.0), F.coalesce(F.col("_top"), F.lit(0.0)))
-    tops = out.groupBy("source_file").agg(F.max("elevation_z").alias("_top"))
+    reference = F.greatest(F.lit(0.0), F.coalesce(F.col("top_z"), F.lit(0.0)))
     below = F.when(F.col("elevation_z").isNotNull() & (reference - F.col("elevation_z") > 1e-6), F.round(reference - F.col("elevation_z"), 6))
     named = depth_from_layer(F.col("layer"), F.col("layer_type"))
-    met = out.join(tops, "source_file")
-    return met.withColumns({"depth_mm": F.coalesce(below, named), "depth_source": F.when(below.isNotNull(), "z_elevation").when(named.isNotNull(), "layer_name")}).drop("_top", "kind", "warning")
+    return out.withColumns({"depth_mm": F.coalesce(below, named), "depth_source": F.when(below.isNotNull(), "z_elevation").when(named.isNotNull(), "layer_name")}).drop("top_z", "kind", "warning")
+
+
+def corpus(parsed: DataFrame) -> DataFrame:
+    """One row of counters: files, those with and without shapes, shapes, warnings, and files that couldn't be read."""
+    c = F.col
+    by = parsed.groupBy("source_file").agg(F.sum((c("kind") == "entity").cast("bigint")).alias("e"), F.sum((c("kind") == "warning").cast("bigint")).alias("w"), F.max(F.coalesce(c("warning").rlike("^(corrupt|too_large|no_drawing)"), F.lit(False))).alias("bad"))
+    n = lambda cond: F.coalesce(F.sum(cond.cast("bigint")), F.lit(0))
+    return by.agg(F.count(F.lit(1)).alias("files"), n(c("e") > 0).alias("with_shapes"), n(c("e") == 0).alias("without_shapes"), n(c("bad")).alias("unreadable"), F.coalesce(F.sum("e"), F.lit(0)).alias("shapes"), F.coalesce(F.sum("w"), F.lit(0)).alias("warnings"))
 
 
 def boundaries(shapes_: DataFrame) -> DataFrame:

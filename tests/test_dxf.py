@@ -51,6 +51,8 @@ def test_damaged(spark):
     rows = read(spark, b"", None, b"rubbish", text(), text(0, "CIRCLE", 5, "X", 10, 1, 20, 1, 40, 0), text(*CIRCLE)[:-14], text(0, "TEXT", 1, "hi"), b"0\nSECTION\nx\ny\n").collect()
     assert {r.source_file: r.warning for r in rows if r.kind == "warning"}.keys() == {"f0", "f1", "f2", "f3", "f4", "f6", "f7"}
     assert [r.entity_type for r in rows if r.source_file == "f5"] == ["CIRCLE"]
+    whole = read(spark, b"", text(*CIRCLE), text(0, "CIRCLE", 5, "X", 10, 1, 20, 1, 40, 0), b"0\nSECTION\nx\ny\n")
+    assert tuple(dxf.corpus(whole).first()) == (4, 1, 3, 2, 1, 4) and tuple(dxf.corpus(whole.limit(0)).first()) == (0,) * 6
     assert read(spark).count() == 0
 
 
