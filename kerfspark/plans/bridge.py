@@ -114,6 +114,24 @@ def shapes(s: SparkSession, d: str) -> DataFrame:
     return polylines.unionByName(circles)
 
 
+def nests(s: SparkSession, d: str) -> DataFrame:
+    """Sheets with two panels of a project each, and their holes, as ``nesting`` takes them; every third sheet lies on a layer that doesn't say so."""
+    order = Window.partitionBy("project").orderBy("panel_id")
+    p = panels(s, d).withColumn("_n", F.row_number().over(order) - 1)
+    p = p.select("panel_id", (F.col("project") * 1000 + F.floor(F.col("_n") / 2)).alias("drawing"), (F.col("_n") % 2).cast("int").alias("slot"), "xmin", "w", "h")
+    pt = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    box = lambda x0, y0, x1, y1: F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1))
+    n = lambda v: F.lit(float(v))
+    x0 = F.col("slot") * 1300.0
+    row = lambda d, seq, kind, layer, v, x, y: d.select("drawing", seq.cast("bigint").alias("seq"), F.lit(kind).alias("entity_type"), layer.alias("layer"), v.alias("vertices"), F.lit(True).alias("is_closed"), x.alias("x"), y.alias("y"))
+    sheets = p.select("drawing").distinct()
+    sheet = row(sheets, F.lit(0), "LWPOLYLINE", F.when(F.col("drawing") % 3 == 0, "MISC").otherwise("SHEET_1"), box(n(-10), n(-10), n(2600), n(1790)), n(1295), n(890))
+    outline = row(p, F.col("slot") + 1, "LWPOLYLINE", F.lit("CUT"), box(x0, n(0), x0 + F.col("w"), F.col("h")), x0 + F.col("w") / 2, F.col("h") / 2)
+    h = holes(s, d).select("panel_id", F.col("seq").alias("k"), "x", "y").join(p, "panel_id")
+    bore = row(h, 100 * (F.col("slot") + 1) + F.col("k"), "CIRCLE", F.lit("DRILL"), F.lit(None).cast("array<array<double>>"), x0 + F.col("x") - F.col("xmin"), F.col("y"))
+    return sheet.unionByName(outline).unionByName(bore)
+
+
 def components(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     letters = F.element_at(F.array(*map(F.lit, TAG_LETTERS)), (F.floor(k / 26) % 7 + 1).cast("int"))
@@ -191,3 +209,7 @@ crossed as (
     from sides s join sides t on s.panel_id = t.panel_id and s.node = t.node and s.i + 1 < t.i and not (s.i = 1 and t.i = s.n))
   where (s1 * s2 < 0 and s3 * s4 < 0) or (s1 = 0 and cx between least(ax, bx) and greatest(ax, bx) and cy between least(ay, by_) and greatest(ay, by_)) or (s2 = 0 and dx between least(ax, bx) and greatest(ax, bx) and dy between least(ay, by_) and greatest(ay, by_))
     or (s3 = 0 and ax between least(cx, dx) and greatest(cx, dx) and ay between least(cy, dy) and greatest(cy, dy)) or (s4 = 0 and bx between least(cx, dx) and greatest(cx, dx) and by_ between least(cy, dy) and greatest(cy, dy)))"""
+
+SQL_NESTS = f"""{SQL_HOLES}, pn as (select *, (row_number() over (partition by project order by panel_id) - 1) n from panels), sl as (select panel_id, (project * 1000 + n // 2)::bigint drawing, (n % 2)::int slot, xmin px, w, h, (n % 2) * 1300.0::double x0 from pn),
+sd as (select drawing, count(*) k, drawing % 3 <> 0 named, max(w * h) most from sl group by 1), sc as (select *, case when named then 'sheet_layer' when k >= 2 then 'largest_contour' else 'none' end as source, 2610 * 1800::double sheet from sd),
+pl as (select drawing, slot + 1 panel, x0, w, h, w * h area from sl join sc using (drawing) where source <> 'none' and w * h >= greatest(1000, 0.05 * sheet))"""

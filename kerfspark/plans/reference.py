@@ -13,9 +13,9 @@ from kerfspark.operators import classify as c
 from kerfspark.operators import benchmark, corpus, dataset, graphs, identify, metrics, model, nesting, pid, rules, synth, units
 from kerfspark.operators.pairs import band_pairs, distance, near_pairs
 from kerfspark.plans import analysis, bridge
-from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_PANELS, SQL_PID, SQL_SHAPES
+from kerfspark.plans.bridge import SQL_CONTOURS, SQL_HOLES, SQL_NESTS, SQL_PANELS, SQL_PID, SQL_SHAPES
 from kerfspark.runtime import cut, table
-from kerfspark.sources import dxf, export
+from kerfspark.sources import documents, dxf, export
 from kerfspark.streaming.references import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,6 +274,18 @@ def nest_shapes(s: SparkSession, d: str) -> DataFrame:
     return cut(e.select(F.col("source_file").alias("drawing"), F.col("entity_key").alias("seq"), "entity_type", "layer", F.when(ring, F.col("coordinates")).alias("vertices"), "is_closed", F.get("centroid", F.lit(0)).alias("x"), F.get("centroid", F.lit(1)).alias("y")))
 
 
+add(
+    "nest_sheets",
+    lambda s, d: nesting.layouts(cut(bridge.nests(s, d))),
+    f"with {SQL_NESTS}, a as (select drawing, count(*) n, sum(area) area from pl group by 1) select drawing, source, case when source = 'none' then 1 else coalesce(n, 0) end panels, case when source = 'none' then sheet else coalesce(area, 0) end panel_area, case when source <> 'none' then sheet end sheet_area, round(case when source <> 'none' then area / sheet end, 6) utilisation from sc left join a using (drawing)",
+)
+add(
+    "nest_members",
+    lambda s, d: nesting.assign(cut(bridge.nests(s, d))),
+    f"""with {SQL_NESTS}, two as (select drawing from pl group by 1 having count(*) >= 2), hs as (select drawing, 100 * (slot + 1) + seq seq, x0 + x - px x, y from holes join sl using (panel_id) where drawing in (select drawing from two)),
+    m as (select hs.drawing, seq, panel, x >= x0 and x < x0 + w and y >= 0 and y < h held, sqrt(power(greatest(x0 - x, x - x0 - w, 0), 2) + power(greatest(-y, y - h, 0), 2)) gap from hs join pl using (drawing))
+    select drawing, panel::bigint seq, panel::bigint panel, 'outline' how from pl where drawing in (select drawing from two) union all select drawing, seq::bigint, min(panel) filter (held)::bigint, 'inside' from m group by 1, 2 having bool_or(held) union all select drawing, seq::bigint, arg_min(panel, gap)::bigint, 'nearest' from m group by 1, 2 having not bool_or(held)""",
+)
 add("nest_analysis", lambda s, d: nesting.layouts(nest_shapes(s, d)))
 add("nest_split", lambda s, d: nesting.assign(nest_shapes(s, d)))
 add(
@@ -633,3 +645,16 @@ add(
     union all select section, round_even(v, 0)::int::varchar, round(count(*) / (select count(*) from panels), 4) from sz group by 1, 2 union all select 'holes', 'rate', round((select count(*) from holes) / (select count(*) from panels), 6) union all select 'spacing', 'dominant', spacing from ds""",
 )
 add("review_sheet", lambda s, d: export.review_sheet(identify.labels(identify.parts(bridge.panels(s, d), annotated(s, d)), annotated(s, d))), f"with {_PARTS}, l as (select 'f:' || panel_id || ':' || seq id, feature_class v, confidence from classes union all select 'p:' || panel_id, part_type, confidence from parts) select id row_id, lower(replace(v, '_', ' ')) thought_to_be, round(confidence * 100, 0)::int sure_percent, '' other_guesses, '' is_it_right, '' if_not_what, '' notes from l where confidence < 0.75")
+
+
+def reviewed(s: SparkSession, d: str) -> DataFrame:
+    """Labels of parts with decisions on some of them: confirmed, corrected, corrected without a value, rejected."""
+    labels = identify.labels(identify.parts(bridge.panels(s, d), annotated(s, d)), annotated(s, d)).where("kind = 'part'")
+    k = bridge.panels(s, d).select("panel_id").withColumn("_k", F.col("panel_id") % 10).where("_k < 4")
+    said = F.element_at(F.array(*map(F.lit, ("confirm", "correct", "reject", "correct"))), (F.col("_k") + 1).cast("int"))
+    decisions = k.select(F.concat(F.lit("p:"), F.col("panel_id").cast("string")).alias("label_id"), said.alias("decision"), F.when(F.col("_k") == 1, "CABINET_BACK").alias("corrected_value"))
+    return documents.apply_reviews(labels, decisions).select("label_id", "value", "status", "is_gold")
+
+
+add("reviewed_labels", reviewed, f"with {_PARTS}, l as (select panel_id k, 'p:' || panel_id label_id, part_type v, case when confidence >= 0.75 then 'auto_accepted' else 'needs_review' end status from parts) select label_id, case when k % 10 = 1 then 'CABINET_BACK' else v end as value, case k % 10 when 0 then 'confirmed' when 1 then 'corrected' when 2 then 'rejected' else status end status, k % 10 < 2 is_gold from l")
+add("annotation_status", lambda s, d: c.statuses(annotated(s, d)).groupBy("status", "maybe_unknown").agg(F.count(F.lit(1)).alias("n")), f"with {_CLASSES} select case when confidence < 0.3 or feature_class = 'UNKNOWN_FEATURE' then 'unknown' when confidence < 0.6 then 'uncertain' else 'accepted' end status, confidence < 0.75 maybe_unknown, count(*) n from classes group by 1, 2")
