@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerfspark.runtime import lookup
+
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with an end that is no node: src, dst and which ends are missing."""
@@ -147,6 +149,36 @@ def node_features(holes: DataFrame) -> DataFrame:
     )
 
 
+FEATURES = ["area_share", "perimeter_share", "log_aspect", "roundness", "size", "is_circle", "is_closed", "is_outer", "px", "py", "is_cut", "is_drill", "is_pocket", "is_other", "contained", "edge_share"]
+
+
+def shape_features(shapes: DataFrame) -> DataFrame:
+    """(panel_id, node, the 16 FEATURES): what a model takes of every shape of ``rules.with_panel``; what a shape lacks is 0. The panel's largest measures come by a join that a hot panel doesn't slow."""
+    c = F.col
+    most = shapes.groupBy("panel_id").agg(F.max("area").alias("_a"), F.max("perimeter").alias("_p"))
+    s = lookup(shapes, most, "panel_id", "node")
+    w, h = c("xmax") - c("xmin"), c("ymax") - c("ymin")
+    bw, bh = c("bx1") - c("bx0"), c("by1") - c("by0")
+    clamp = lambda x, lo=0.0, hi=1.0: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    share = lambda x, m: F.when(c(m) > 0, F.coalesce(x, F.lit(0.0)) / c(m)).otherwise(0.0)
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    circle = c("geometry_type") == "circle"
+    edge = F.least(c("x") - c("xmin"), c("xmax") - c("x"), c("y") - c("ymin"), c("ymax") - c("y"))
+    values = [
+        share(c("area"), "_a"), share(c("perimeter"), "_p"), F.when((bw > 0) & (bh > 0), clamp(F.log10(bw / bh), -2.0, 2.0)).otherwise(0.0), F.when(c("perimeter") > 0, clamp(4 * 3.141592653589793 * F.coalesce("area", F.lit(0.0)) / (c("perimeter") * c("perimeter")))).otherwise(0.0),
+        F.when(circle & c("radius").isNotNull(), F.least(2 * c("radius") / 100, F.lit(2.0))).otherwise(0.0), flag(circle), flag(c("is_closed")), flag(c("is_boundary")), F.when(w > 0, clamp((c("x") - c("xmin")) / w)).otherwise(0.0), F.when(h > 0, clamp((c("y") - c("ymin")) / h)).otherwise(0.0),
+        flag(c("kind").isin("cut", "border")), flag(c("kind") == "drill"), flag(c("kind") == "pocket"), flag(~c("kind").isin("cut", "border", "drill", "pocket")), F.lit(0.0), F.when(F.greatest(w, h) > 0, clamp(F.greatest(F.lit(0.0), edge) / F.greatest(w, h))).otherwise(0.0),
+    ]
+    return s.select("panel_id", "node", *[F.coalesce(v, F.lit(0.0)).alias(n) for n, v in zip(FEATURES, values)])
+
+
+def edge_index(shapes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(panel_id, src, dst) for a model: edges (panel_id, a, b) between shapes in both directions, and each shape with itself."""
+    own = shapes.select("panel_id", F.col("node").alias("src"), F.col("node").alias("dst"))
+    ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return own.unionByName(edges.select("panel_id", F.explode(ends).alias("_e")).select("panel_id", "_e.*")).distinct()
+
+
 def index_split(ids: DataFrame, ident: str) -> DataFrame:
     """Split of an id by its last run of digits: of a hundred, 70 train, 15 val, 15 test; ids without digits by hash."""
     n = F.coalesce(F.regexp_extract(ident, r"(\d+)\D*$", 1).try_cast("bigint"), F.pmod(F.xxhash64(ident), F.lit(100))) % 100

@@ -658,3 +658,21 @@ def reviewed(s: SparkSession, d: str) -> DataFrame:
 
 add("reviewed_labels", reviewed, f"with {_PARTS}, l as (select panel_id k, 'p:' || panel_id label_id, part_type v, case when confidence >= 0.75 then 'auto_accepted' else 'needs_review' end status from parts) select label_id, case when k % 10 = 1 then 'CABINET_BACK' else v end as value, case k % 10 when 0 then 'confirmed' when 1 then 'corrected' when 2 then 'rejected' else status end status, k % 10 < 2 is_gold from l")
 add("annotation_status", lambda s, d: c.statuses(annotated(s, d)).groupBy("status", "maybe_unknown").agg(F.count(F.lit(1)).alias("n")), f"with {_CLASSES} select case when confidence < 0.3 or feature_class = 'UNKNOWN_FEATURE' then 'unknown' when confidence < 0.6 then 'uncertain' else 'accepted' end status, confidence < 0.75 maybe_unknown, count(*) n from classes group by 1, 2")
+_CUT = lambda x, lo="0.0::double", hi="1.0::double": f"least(greatest({x}, {lo}), {hi})"
+add(
+    "shape_features",
+    lambda s, d: graphs.shape_features(shapes_of(s, d)).withColumns({n: F.col(n) + 1e-9 for n in ("area_share", "perimeter_share")}),  # no ties of rounding
+    f"""with {SQL_SHAPES}, q as (select *, max(area) over (partition by panel_id) ma, max(perimeter) over (partition by panel_id) mp, bx1 - bx0 bw, by1 - by0 bh, xmax - xmin w, ymax - ymin h from shapes)
+    select panel_id, node, round(coalesce(area, 0) / ma + 1e-9::double, 6) area_share, round(perimeter / mp + 1e-9::double, 6) perimeter_share, round(case when bw > 0 and bh > 0 then {_CUT('log10(bw / nullif(bh, 0))', '-2.0::double', '2.0::double')} else 0 end, 6) log_aspect,
+    round(case when perimeter > 0 then {_CUT('4 * 3.141592653589793::double * coalesce(area, 0) / nullif(perimeter * perimeter, 0)')} else 0 end, 6) roundness, round(case when geometry_type = 'circle' then least(2 * r / 100, 2) else 0 end, 6) size, (geometry_type = 'circle')::int::double is_circle, is_closed::int::double is_closed, is_boundary::int::double is_outer,
+    round({_CUT('(x - xmin) / w')}, 6) px, round({_CUT('(y - ymin) / h')}, 6) py, (kind in ('cut', 'border'))::int::double is_cut, (kind = 'drill')::int::double is_drill, (kind = 'pocket')::int::double is_pocket, (kind not in ('cut', 'border', 'drill', 'pocket'))::int::double is_other, 0.0::double contained, round({_CUT(f'greatest(0, {EDGE}) / greatest(w, h)')}, 6) edge_share from q""",
+)
+
+
+def model_edges(s: SparkSession, d: str) -> DataFrame:
+    shapes = shapes_of(s, d)
+    near = near_pairs(shapes.where("geometry_type = 'circle'").withColumn("_d", 2 * F.col("radius")), "panel_id", "node", 10.0, distance() <= 2 * F.greatest("_d_a", "_d_b") + 10, size="_d", per_size=2.0, usual=36.0)
+    return graphs.edge_index(shapes, near.select("panel_id", F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
+add("edge_index", model_edges, f"with {SQL_SHAPES}, n as (select a.panel_id, a.node a, b.node b from discs a join discs b on a.panel_id = b.panel_id and a.node <> b.node and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2 * greatest(2 * a.r, 2 * b.r) + 10) select panel_id, node src, node dst from shapes union select panel_id, a, b from n")
