@@ -174,18 +174,24 @@ def counter(size: int, shared):
 @F.pandas_udf(ArrayType(LongType()))
 def last_contexts(bodies: pd.Series) -> pd.Series:
     """The contexts, by order, at the end of each text."""
-    gap = np.zeros(max(ORDERS), dtype=np.uint64)
-    out = []
+    most = max(ORDERS)
+    gap = np.zeros(most, dtype="<u4")
+    ends, known = [], []
     for text in bodies:
         text = text or ""
         for reach in (64, len(text)):
             f = fold(codes(text[-reach:])) if text else gap[:0]
             f = f[~((f == 48) & (np.append(f[1:], 0) == 48))]
-            if reach >= len(text) or len(f) >= max(ORDERS):
+            if reach >= len(text) or len(f) >= most:
                 break
-        padded = f[-max(ORDERS) :] if len(f) >= max(ORDERS) else np.concatenate([gap, f])
-        out.append([int(h[-1]) for h in contexts(padded)] if len(f) else [])
-    return pd.Series(out)
+        known.append(len(f) > 0)
+        if len(f):
+            ends.append(f[-most:] if len(f) >= most else np.concatenate([gap, f])[-most:])
+    if not ends:
+        return pd.Series([[] for _ in known])
+    # no context reaches beyond its text's last characters, so all are hashed as one sequence
+    rows = iter(np.stack([h[most - 1 :: most] for h in contexts(np.concatenate(ends))], axis=1).tolist())
+    return pd.Series([next(rows) if k else [] for k in known])
 
 
 def bodies(documents: DataFrame) -> DataFrame:
