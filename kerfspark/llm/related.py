@@ -11,6 +11,8 @@ Keys are compared in lower case, without surrounding spaces, with one kind of sl
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from kerfspark.runtime import cut, forget, lookup
 # Stand-ins that relate nothing; the shares of the splits.
 NOTHING = ["", "n/a", "unknown"]
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
-#: So many panels, in the smallest groups, are placed by bitsets; larger groups before them, from the largest down.
-EXACT_TOTAL, EACH = 8_000_000, 64
+#: Bitsets begin with so many bits beyond twice what lacks, and grow until the closest total is known; no total depends on it.
+FIRST_BITS = 1 << 16
+#: A total that tests are measured by.
+EXACT_TOTAL = 8_000_000
 
 
 def relating(c: str) -> Column:
@@ -87,78 +91,98 @@ def found(panels: DataFrame) -> DataFrame:
     return roots(links(panels))
 
 
-def reachable(counts: dict[int, int], target: int) -> dict[int, int]:
-    """Of groups (size: number), how many of each size to take so that their total is the closest to target.
-
-    Bitsets of reachable totals, one a power-of-two batch of a size; the totals wanted are never much above target. Of the
-    bitsets only as many are held as batches can be halved; the others are made again on the way back.
-    """
-    mask = (1 << (2 * target + 2)) - 1
+def batched(counts: dict[int, int], most: int) -> list[tuple[int, int]]:
+    """(size, number) by powers of two whose sums are all multiples of each size up to ``most``."""
     batches = []
     for size in sorted(counts, reverse=True):
-        left, batch = counts[size], 1
+        left, batch = min(counts[size], most // size), 1
         while left > 0:
-            take = min(batch, left)
-            if size * take <= 2 * target + 1:
-                batches.append((size, take))
-            left, batch = left - take, batch * 2
+            batches.append((size, min(batch, left)))
+            left, batch = left - batch, batch * 2
+    return batches
+
+
+def reachable(counts: dict[int, int], target: int, back: dict[int, int] | None = None, most: int | None = None, exact: bool = False) -> dict[int, int] | None:
+    """Of groups (size: number), how many of each size to take so that their total is the closest to target; of two the lower.
+
+    Of the groups in ``back``, already held, some may be given back (negative numbers). Taken are at most ``most`` panels
+    (twice the target and one are enough if none are given back). With ``exact``, None where target itself isn't reached.
+
+    Bitsets of reachable totals in steps of the sizes' common divisor, one a power-of-two batch of a size. Of the bitsets
+    only as many are held as batches can be halved; the others are made again on the way back.
+    """
+    step = math.gcd(*counts, *(back or {})) or 1
+    most = 2 * target + 1 if most is None else most
+    mask = (1 << (most // step + 1)) - 1
+    batches = batched(counts, most) + [(-size, n) for size, n in batched(back or {}, most)]
 
     def after(held: int, start: int, end: int) -> int:
         for size, take in batches[start:end]:
-            held = (held | held << (size * take)) & mask
+            by = size * take // step
+            held = (held | held << by) & mask if by > 0 else held | held >> -by
         return held
 
     full = after(1, 0, len(batches))
-    below = (full & ((1 << (target + 1)) - 1)).bit_length() - 1
-    above = full >> (target + 1)
-    up = target + 1 + ((above & -above).bit_length() - 1) if above else None
+    if exact and (target % step or not full >> target // step & 1):
+        return None
+    low = target // step
+    below = ((full & ((1 << (low + 1)) - 1)).bit_length() - 1) * step
+    above = full >> (low + 1)
+    up = (low + (above & -above).bit_length()) * step if above else None
     total = up if up is not None and up - target < target - below else below
     del full, above
-    mask = (1 << (total + 1)) - 1
     chosen: dict[int, int] = {}
 
-    def back(held: int, start: int, end: int, total: int) -> int:
+    def walk(held: int, start: int, end: int, total: int) -> int:
         if end - start > 1:
             middle = (start + end) // 2
-            return back(held, start, middle, back(after(held, start, middle), middle, end, total))
+            return walk(held, start, middle, walk(after(held, start, middle), middle, end, total))
         size, take = batches[start]
-        if held >> total & 1:
+        if held >> total // step & 1:
             return total
-        chosen[size] = chosen.get(size, 0) + take
+        key = abs(size)
+        chosen[key] = chosen.get(key, 0) + (take if size > 0 else -take)
         return total - size * take
 
     if batches:
-        back(1, 0, len(batches), total)
+        walk(1, 0, len(batches), total)
     return chosen
 
 
 def closest(counts: dict[int, int], target: int) -> dict[int, int]:
-    """Of groups (size: number), how many of each size to take for a total close to the target, whatever the totals.
-
-    Up to EXACT_TOTAL panels the total is the closest there is. Beyond, some groups of each size and the smallest, with so
-    many panels, are kept back for the bitsets and the others fill the target, from the largest down, to within half of what is kept back; a
-    miss is then one of the small groups' reachable totals, so none where there are singles enough. Bitsets never have
-    more than twice EXACT_TOTAL bits.
+    """Of groups (size: number), how many of each size to take for the total closest to the target, of two the lower; exact for all totals.
+
+    Groups are taken from the largest down as they fit. What then lacks is made up by exchanges: groups taken for groups
+    given back. With a the largest size left and b the largest taken, some a numbers up to b and b numbers up to a always
+    have parts of equal sum, which needn't be exchanged. So a closest total is among the exchanges that take at most
+    a * b panels and twice what lacks, nor more than the target and what lacks. Bitsets begin far shorter than that and end
+    as soon as the best total that any multiple of the sizes' common divisor can be is there: the length decides the time
+    only, never the total.
     """
-    kept: dict[int, int] = {}
-    held = 0
-    for most, bound in ((EACH, EXACT_TOTAL // 2), (EXACT_TOTAL, EXACT_TOTAL)):
-        for size in sorted(counts):
-            take = min(most, counts[size] - kept.get(size, 0), (bound - held) // size)
-            if take > 0:
-                kept[size] = kept.get(size, 0) + take
-                held += size * take
-    if sum(size * n for size, n in counts.items()) <= EXACT_TOTAL:
-        return reachable(counts, target)
-    chosen, left = {}, target
-    for size in sorted(counts, reverse=True):
-        take = max(0, min(counts[size] - kept.get(size, 0), (left - held // 2) // size))
-        if take:
+    usable = {s: n for s, n in counts.items() if n > 0 and s <= 2 * target + 1}
+    if not usable:
+        return {}
+    step, chosen, lacks = math.gcd(*usable), {}, target
+    for size in sorted(usable, reverse=True):
+        if take := min(usable[size], lacks // size):
             chosen[size] = take
-            left -= size * take
-    for size, n in (kept if left >= held else reachable(kept, left)).items():
-        chosen[size] = chosen.get(size, 0) + n
-    return chosen
+            lacks -= size * take
+    best = lacks // step * step
+    if 2 * lacks > 2 * best + step:
+        best += step
+    if not best:
+        return chosen
+    rest = {s: left for s, n in usable.items() if (left := n - chosen.get(s, 0))}
+    if not rest:
+        return chosen
+    enough = min(max(rest) * max(chosen, default=0) + 2 * lacks, target + lacks)
+    most = FIRST_BITS * step + 2 * lacks
+    while True:
+        last = most >= enough
+        moved = reachable(rest, lacks if last else best, chosen, min(most, enough), not last)
+        if moved is not None:
+            return {s: n for s in {*chosen, *moved} if (n := chosen.get(s, 0) + moved.get(s, 0))}
+        most *= 16
 
 
 def choose(sizes: dict[int, int], shares: dict[str, float] = SHARES) -> dict[str, dict[int, int]]:

@@ -87,3 +87,23 @@ def test_exact_above_the_limit():
         chosen = related.choose(sizes)
         assert all(chosen[x].get(s, 0) >= 0 for x in chosen for s in sizes) and all(sum(of.get(s, 0) for of in chosen.values()) <= k for s, k in sizes.items())
         assert [sum(s * k for s, k in chosen[x].items()) for x in ("val", "test")] == [round(total * 0.15)] * 2
+
+
+def test_closest_at_any_size(monkeypatch):
+    """The closest total there is, the lower of two, whatever the number of panels and wherever bitsets begin."""
+    total = lambda of: sum(s * k for s, k in of.items())
+    for sizes in ({9_991: 800, 10_003: 700, 9_989: 600}, {700_001: 9, 500_009: 9, 300_007: 9, 90_001: 9}, {99_991: 400, 100_003: 400, 99_989: 300}):
+        target = round(total(sizes) * 0.15)
+        got = related.closest(sizes, target)
+        assert total(sizes) > related.EXACT_TOTAL and total(got) == total(related.reachable(sizes, target)) and all(0 < k <= sizes[s] for s, k in got.items())
+    r = random.Random(2)
+    for first in (4, 1 << 16):
+        monkeypatch.setattr(related, "FIRST_BITS", first, raising=False)
+        for _ in range(1500):
+            by = r.choice([1, 1, 2, 3, 10])
+            sizes = {by * r.randrange(1, 40): r.randrange(1, 6) for _ in range(r.randrange(1, 6))}
+            target, sums = r.randrange(total(sizes) + 1), {0}
+            for s, n in sizes.items():
+                sums = {x + s * k for x in sums for k in range(n + 1)}
+            got = related.closest(sizes, target)
+            assert total(got) == min(sums, key=lambda x: (abs(x - target), x)) and all(0 < k <= sizes[s] for s, k in got.items())
